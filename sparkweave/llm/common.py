@@ -7,9 +7,11 @@ Those are single bytes in UTF-8, so all splitting and hashing here is done on th
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 2_000_000
 
 
+def attach(spark: SparkSession) -> None:
+    """Let Python workers import this package where it lies in the same place for them (else install it there)."""
+    home = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    if home not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [home, environment.get("PYTHONPATH", "")]))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +46,7 @@ class Scratch:
     """Tables written to the shared folder, which cut the lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        attach(spark)
         self.spark = spark
         self.root = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -57,6 +68,7 @@ class Scratch:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    attach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
