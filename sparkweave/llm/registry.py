@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, mixing, near_vectors, simhash, token_counts, toxicity, va_search
+from sparkweave.llm import bpe, debruijn, mixing, near_vectors, simhash, suffix_array, token_counts, toxicity, va_search
 from sparkweave.llm.common import read
 
 
@@ -21,6 +21,10 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(read(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.digests(debruijn.without_earlier(read(spark, sf_dir, "documents")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), *_vocabulary())
 
@@ -37,6 +41,10 @@ def op7_va_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return va_search.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.digests(suffix_array.without_repeats(read(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -75,7 +83,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_vectors, op3_token_counts, op4_simhash, op6_mixing, op7_va_search, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_vectors, op2_debruijn, op3_token_counts, op4_simhash, op6_mixing, op7_va_search, op8_suffix_array, op9_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ not ASCII), each counted once for a text. Hashes have 64 bits, so long texts do
 Only features in enough documents of the sample are included, as is usual with FTRL.
 
 Training uses a bounded sample of labelled rows: all rows whose hash of doc_id is under a threshold that
-makes about SAMPLE_ROWS of them (all, if there are fewer). The sample is spread over SHARDS shards. In each
+makes about SAMPLE_ROWS of them (all, if there are fewer). The sample is spread over shards of about SHARD_ROWS rows. In each
 round every shard runs FTRL-proximal over its rows from the common state (z, n for each feature), and the
 states are averaged. The L1 term leaves few weights that are not zero; they are what is broadcast for
 scoring, and their number is bounded by that of the sample's included features.
@@ -30,10 +30,10 @@ from sparkweave.llm.common import LOWER, Scratch, documents_rows, mixed, small_b
 
 #: The bound on labelled rows in training.
 SAMPLE_ROWS = 20_000
-SHARDS, ROUNDS = 6, 3
+SHARD_ROWS, ROUNDS = 5_000, 8
 #: Documents of the sample that must hold a feature, at the full sample.
 MIN_DOCS = 12
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = _BREAK[48:58] = _BREAK[97:123] = _BREAK[65:91] = False
@@ -91,10 +91,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
     """Feature hashes in order, their weights, and the intercept. learn: which doc_id may be learnt from."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
-    chosen = _sample(labels, F.lit(True) if learn is None else learn)
+    chosen = scratch.table(_sample(labels, F.lit(True) if learn is None else learn))
+    shards = -(-max(1, chosen.count()) // SHARD_ROWS)
     rows = documents_rows(docs).join(F.broadcast(chosen), "doc_id")  # bounded by SAMPLE_ROWS
     order = F.xxhash64("doc_id", F.lit("order"))
-    rows = scratch.table(rows.withColumn("shard", F.pmod(order, F.lit(SHARDS))).repartition(SHARDS, "shard").sortWithinPartitions("shard", order, "doc_id"))
+    rows = scratch.table(rows.withColumn("shard", F.pmod(order, F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", order, "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -108,30 +109,42 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
         yield pa.RecordBatch.from_arrays([pa.array(known[keep].view(np.int64)), pa.array(sums[keep])], names=["feature", "n"])
 
     n_rows = rows.count()
-    least = max(2, round(MIN_DOCS * n_rows / SAMPLE_ROWS))
+    least = max(3, round(MIN_DOCS * n_rows / SAMPLE_ROWS))
     counted = rows.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     included = np.sort(np.array([r.feature for r in counted.select("feature").collect()], np.int64).view(np.uint64))  # bounded by the sample
 
+    vocabulary = spark.sparkContext.broadcast(included)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        for batch in batches:
+            places = []
+            for text in batch.column("text").to_pylist():
+                found = distinct_features(text)
+                place = np.searchsorted(known, found)
+                place[place == len(known)] = 0
+                places.append(place[known[place] == found] if len(known) else place[:0])
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("toxic"), pa.array(places, pa.list_(pa.int64()))], names=["shard", "toxic", "places"])
+
+    encoded = scratch.table(rows.select("shard", "toxic", "text").mapInArrow(encode, "shard long, toxic int, places array<long>"))
+
     state = Ftrl(np.zeros(len(included) + 1), np.zeros(len(included) + 1))
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((included, state.z, state.n))
+        shared = spark.sparkContext.broadcast((state.z, state.n))
 
         def learn_shard(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, z, n = shared.value
             models: dict[int, Ftrl] = {}
             for batch in batches:
-                for shard, text, toxic in zip(*(batch.column(c).to_pylist() for c in ("shard", "text", "toxic")), strict=True):
-                    found = distinct_features(text)
-                    place = np.searchsorted(known, found)
-                    place[place == len(known)] = 0
-                    hit = place[known[place] == found] if len(known) else np.zeros(0, np.int64)
-                    models.setdefault(shard, Ftrl(z, n)).learn(hit, float(toxic))
+                for shard, toxic, places in zip(batch.column("shard").to_pylist(), batch.column("toxic").to_pylist(), batch.column("places"), strict=True):
+                    if shard not in models:
+                        models[shard] = Ftrl(*shared.value)
+                    models[shard].learn(places.values.to_numpy(zero_copy_only=False).astype(np.int64), float(toxic))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([m.z.tobytes() for m in models.values()], pa.binary()), pa.array([m.n.tobytes() for m in models.values()], pa.binary())],
                 names=["z", "n"],
             )
 
-        states = rows.select("shard", "text", "toxic").mapInArrow(learn_shard, "z binary, n binary").collect()  # SHARDS rows of bounded size
+        states = encoded.mapInArrow(learn_shard, "z binary, n binary").collect()  # a row for each shard, of bounded size
         if states:
             order_free = sorted((bytes(s.z), bytes(s.n)) for s in states)
             state = Ftrl(np.mean([np.frombuffer(z) for z, _ in order_free], axis=0), np.mean([np.frombuffer(n) for _, n in order_free], axis=0))
