@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, debruijn, mixing, near_vectors, simhash, suffix_array, token_counts, toxicity, va_search
+from sparkweave.llm import bpe, debruijn, hmm, mixing, near_vectors, simhash, suffix_array, token_counts, toxicity, va_search
 from sparkweave.llm.common import read
 
 
@@ -33,6 +33,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op5_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), (5.0, 2.0, 1.0)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -83,7 +87,7 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_vectors, op2_debruijn, op3_token_counts, op4_simhash, op6_mixing, op7_va_search, op8_suffix_array, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_vectors, op2_debruijn, op3_token_counts, op4_simhash, op5_hmm, op6_mixing, op7_va_search, op8_suffix_array, op9_toxicity, op10_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
