@@ -53,3 +53,21 @@ def least_reached(ids: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = label[order[label]]
         if (label == before).all():
             return ids[order[label]]
+
+
+def spanning_forest(size: int, u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which of the edges make a minimum spanning forest: each tree takes its lightest edge out, until none is left."""
+    rank = np.empty(len(u), np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(u))
+    edge_of = np.argsort(rank)
+    label, live, chosen = np.arange(size), np.arange(len(u)), []
+    while True:
+        live = live[label[u[live]] != label[v[live]]]
+        if not len(live):
+            return np.concatenate(chosen) if chosen else live
+        best = np.full(size, len(u))
+        np.minimum.at(best, label[u[live]], rank[live])
+        np.minimum.at(best, label[v[live]], rank[live])
+        taken = edge_of[np.unique(best[best < len(u)])]
+        chosen.append(taken)
+        label = least_reached(np.arange(size), label[u[taken]], label[v[taken]])[label]

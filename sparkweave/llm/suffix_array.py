@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.common import Scratch, rolling
-from sparkweave.llm.windows import KEY, original_id, packed_texts, resolve, text_chains, unpack
+from sparkweave.llm.windows import KEY, NO_ID, original_id, packed_texts, resolve, text_chains, unpack
 
 LENGTH, SEED_BYTES, TOKEN = 200, 64, 40
 
@@ -148,3 +148,30 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def digests(stripped: DataFrame) -> DataFrame:
     return stripped.select(original_id().alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def strip_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with all its columns; text without its repeated bytes, n_chars (if there) its new length.
+
+    Where a cut leaves part of a character, the part goes too. A null text stays null.
+    """
+    scratch = Scratch(docs.sparkSession, "suffix-array")
+    spans = scratch.table(repeated_spans(docs, scratch, length)).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    names = docs.columns
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                if text is not None and found:
+                    raw = text.encode()
+                    edges = [0, *(x for run in merged([(x["begin"], x["end"]) for x in found]) for x in run), len(raw)]
+                    text = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)).decode(errors="ignore")
+                texts.append(text)
+            new = {"text": pa.array(texts, batch.column("text").type)}
+            if "n_chars" in names:
+                new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
+
+    return keyed.join(spans, ["__id", "__version"], "left").select(*names, "__spans").mapInArrow(strip, docs.schema)

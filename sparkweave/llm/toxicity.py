@@ -154,32 +154,47 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
     return included[kept], weights[kept], float(weights[-1])
 
 
+def _scores(texts: pa.Array, known: np.ndarray, weights: np.ndarray, intercept: float) -> np.ndarray:
+    raw, starts = text_bytes(texts)
+    found, of = features(raw, starts)
+    maybe = np.zeros(1 << 16, bool)
+    maybe[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
+    near = maybe[(found & np.uint64(0xFFFF)).astype(np.int64)]
+    found, of = found[near], of[near]
+    total = np.full(len(texts), intercept)
+    if len(known) and len(found):
+        place = np.searchsorted(known, found)
+        place[place == len(known)] = 0
+        hit = known[place] == found
+        pairs = np.unique(of[hit] * len(known) + place[hit])
+        total += np.bincount(pairs // len(known), weights[pairs % len(known)], len(texts))
+    return 1 / (1 + np.exp(-np.clip(total, -700, 700)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
     """doc_id and score of every text: a map over the scan, with the weights broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights, intercept = shared.value
-        maybe = np.zeros(1 << 16, bool)
-        maybe[(known & np.uint64(0xFFFF)).astype(np.int64)] = True
         for batch in batches:
             for part in small_batches(batch):
-                raw, starts = text_bytes(part.column("text"))
-                found, of = features(raw, starts)
-                near = maybe[(found & np.uint64(0xFFFF)).astype(np.int64)]
-                found, of = found[near], of[near]
-                total = np.full(part.num_rows, intercept)
-                if len(known) and len(found):
-                    place = np.searchsorted(known, found)
-                    place[place == len(known)] = 0
-                    hit = known[place] == found
-                    pairs = np.unique(of[hit] * len(known) + place[hit])
-                    total += np.bincount(pairs // len(known), weights[pairs % len(known)], part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -700, 700))))], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_scores(part.column("text"), *shared.value))], names=["doc_id", "score"])
 
     return documents_rows(docs).mapInArrow(apply, "doc_id long, score double")
 
 
+def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch):
+                yield part.filter(pa.array(_scores(part.column("text").fill_null(""), *shared.value) < threshold))
+
+    return docs.mapInArrow(apply, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted; learnt from rows outside the held-out fold."""
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0
