@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm.common import Scratch, rolling, word_hashes, word_spans
 from sparkweave.llm.suffix_array import merged
-from sparkweave.llm.windows import KEY, original_id, packed_texts, resolve, text_chains, unpack
+from sparkweave.llm.windows import KEY, group_parts, original_id, packed_texts, resolve, text_chains, unpack
 
 LENGTH, SEED_WORDS = 50, 10
 
@@ -119,8 +119,8 @@ def earlier_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed:
     repeated = contents.filter("last_doc > first_doc").select("token", "content", "first_doc")
     paths = path_spans(candidates.join(repeated, ["token", "content"]).select(*KEY, "first", "n", "content", "first_doc"), scratch, length)
 
-    branching = contents.groupBy("token").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b")).filter("a < b")
-    needed = contents.join(branching, "token", "left_semi").select("at.doc_id", "at.version", F.struct("token", "content", "at.first", "at.n").alias("chain"))
+    branching = contents.groupBy("token").agg(F.min("first_doc").alias("a"), F.max("first_doc").alias("b"), F.count(F.lit(1)).alias("contents")).filter("a < b")
+    needed = contents.join(branching.select("token", group_parts().alias("parts")), "token").select("at.doc_id", "at.version", F.struct("token", "content", "at.first", "at.n", "parts").alias("chain"))
     wanted = needed.groupBy(*KEY).agg(F.collect_list("chain").alias("chains"))  # no more than a text's own chains
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +130,12 @@ def earlier_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed:
                 raw = np.frombuffer(unpack(packed), np.uint8)
                 begins, ends, _ = word_spans(raw, np.array([0, len(raw)]))
                 hashes = rolling(word_hashes(raw, begins, ends), length, seed=5)
-                out += [(x["token"], x["content"], x["n"], doc, hashes[x["first"] : x["first"] + x["n"]].tobytes()) for x in found]
-            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["token", "content", "n", "rank", "body"])
+                out += [(x["token"], x["content"], x["n"], doc, hashes[x["first"] : x["first"] + x["n"]].tobytes(), x["parts"]) for x in found]
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["token", "content", "n", "rank", "body", "parts"])
 
     texts = packed_texts(docs).join(wanted, KEY)
-    bodies = scratch.table(texts.select("doc_id", "packed", "chains").mapInArrow(extract, "token long, content long, n int, rank long, body binary"))
+    bodies = scratch.table(texts.select("doc_id", "packed", "chains").mapInArrow(extract, "token long, content long, n int, rank long, body binary, parts long"))
     found = resolve(bodies, *window_sorter(), F.col("least") < F.col("rank"), scratch)
     firsts = candidates.join(contents.join(found, ["token", "content"]).select("token", "content", "first_doc", "begin", "end"), ["token", "content"]).filter("doc_id = first_doc")
     branches = firsts.select(*KEY, (F.col("first") + F.col("begin")).alias("begin"), (F.col("first") + F.col("end") + length).alias("end"))

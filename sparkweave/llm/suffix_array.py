@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.common import Scratch, rolling
-from sparkweave.llm.windows import KEY, NO_ID, original_id, packed_texts, resolve, text_chains, unpack
+from sparkweave.llm.windows import KEY, NO_ID, group_parts, original_id, packed_texts, resolve, text_chains, unpack
 
 LENGTH, SEED_BYTES, TOKEN = 200, 64, 40
 
@@ -87,7 +87,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed
     scratch.drop(every)
     contents = scratch.table(candidates.groupBy("token", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "first", "n")).alias("at")))
     mixed_tokens = contents.groupBy("token").agg(F.count(F.lit(1)).alias("contents"), F.min("copies").alias("fewest")).filter("contents > 1 and fewest = 1")
-    needed = contents.join(mixed_tokens, "token", "left_semi").select("at.doc_id", "at.version", F.struct("token", "content", "at.first", "at.n").alias("chain"))
+    needed = contents.join(mixed_tokens.select("token", group_parts().alias("parts")), "token").select("at.doc_id", "at.version", F.struct("token", "content", "at.first", "at.n", "parts").alias("chain"))
 
     wanted = needed.groupBy(*KEY).agg(F.collect_list("chain").alias("chains"))  # no more than a text's own chains
 
@@ -96,12 +96,12 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed
             out: list[tuple] = []
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("chains").to_pylist(), strict=True):
                 raw = unpack(packed)
-                out += [(x["token"], x["content"], x["n"], raw[x["first"] : x["first"] + x["n"] + length - 1]) for x in found]
-            columns = list(zip(*out, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array([0] * len(out), pa.int64()), pa.array(columns[3], pa.binary())], names=["token", "content", "n", "rank", "body"])
+                out += [(x["token"], x["content"], x["n"], raw[x["first"] : x["first"] + x["n"] + length - 1], x["parts"]) for x in found]
+            columns = list(zip(*out, strict=True)) or [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array([0] * len(out), pa.int64()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.int64())], names=["token", "content", "n", "rank", "body", "parts"])
 
     texts = packed_texts(docs).join(wanted, KEY)  # a text in two rows comes twice, but then all its chains are repeated anyway
-    bodies = scratch.table(texts.select("packed", "chains").mapInArrow(extract, "token long, content long, n int, rank long, body binary"))
+    bodies = scratch.table(texts.select("packed", "chains").mapInArrow(extract, "token long, content long, n int, rank long, body binary, parts long"))
     found = resolve(bodies, *bucket_sorter(length, token), F.col("members") > 1, scratch)
     decided = (
         contents.join(found, ["token", "content"], "left")

@@ -12,9 +12,11 @@ only be repeated if its token is. Chains with a token of their own are dropped f
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from sparkweave.llm.common import Scratch, documents_rows, mixed, rolling, small
 STEP, PLACE_BITS = 1 << 18, 20
 KEY = ["doc_id", "version"]
 NO_ID = -(2**63)
-#: Rows of one token that a bucket sorts by itself; larger groups are compared like those across boundaries.
+#: Chains of one token that a bucket sorts by itself. Larger groups are split, and compared across their parts.
 GROUP_ROWS = 20_000
 
 
@@ -112,6 +114,11 @@ def unpack(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
 
+def group_parts() -> F.Column:
+    """How many parts a token's group (of contents chains) is dealt to."""
+    return F.ceil(F.col("contents") / GROUP_ROWS)
+
+
 #: What sorts the windows of whole groups: it gets columns as arrays and returns, for each window that counts as
 #: repeated, its row and its place in the row's chain.
 Sorter = Callable[[dict], tuple[np.ndarray, np.ndarray]]
@@ -120,14 +127,15 @@ Sorter = Callable[[dict], tuple[np.ndarray, np.ndarray]]
 def resolve(needed: DataFrame, sort: Sorter, digest: Callable[[dict], tuple[np.ndarray, np.ndarray, np.ndarray]], repeated: F.Column, scratch: Scratch, rows_at_once: int = 2000) -> DataFrame:
     """First and last repeated window of chains: token, content, begin, end.
 
-    needed: token, content, n, rank (long) and body (binary). The chains are range-partitioned by token, with
-    sampled splitters, and sorted. Groups of one token that lie inside a bucket are sorted there. A bucket's
-    first and last group may go on in its neighbours: their windows leave as digests, and are compared across
-    the boundaries by one aggregation. So a token that fills many buckets is still spread. repeated is a
-    condition on members (windows of the class), rank and least (the class's least rank).
+    needed: token, content, n, rank (long), body (binary) and parts (as group_parts gives). The chains are
+    range-partitioned by token, with sampled splitters, and sorted; each bucket sorts the windows of its groups.
+    A group of more than GROUP_ROWS chains lies in several parts, which may be in several buckets: its windows
+    leave as digests, and are compared across the boundaries by one aggregation. repeated is a condition on
+    members (windows of the class), rank and least (the class's least rank).
     """
     parts = int(needed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = needed.select("token", "content", "n", "rank", "body").repartitionByRange(parts, "token", "content").sortWithinPartitions("token", "content")
+    part = F.pmod(F.col("content"), F.col("parts"))
+    ranged = needed.select("token", "content", "n", "rank", "body", "parts", part.alias("part")).repartitionByRange(parts, "token", "part").sortWithinPartitions("token", "part", "content")
 
     def rows_of(table: pa.Table) -> dict:
         table = table.combine_chunks()
@@ -162,40 +170,24 @@ def resolve(needed: DataFrame, sort: Sorter, digest: Callable[[dict], tuple[np.n
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        open_token = None
-        for batch in batches:
-            if not batch.num_rows:
+        for batch in chain(batches, [None]):
+            new = [] if batch is None else [pa.Table.from_batches([batch])]
+            split = [x.filter(pa.compute.greater(x.column("parts"), 1)) for x in new]
+            for table in split:
+                yield from opened(table)
+            whole = [x.filter(pa.compute.equal(x.column("parts"), 1)) for x in new]
+            tables = [x for x in ([held] if held is not None else []) + whole if x.num_rows]
+            if not tables:
                 continue
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
+            held = pa.concat_tables(tables)
             tokens = held.column("token").to_numpy()
-            if open_token is None:
-                open_token = tokens[0]
             starts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]])
-            done = 0
-            if tokens[0] == open_token:  # the rows of the first group, or of a large one, leave as they come
-                done = int(starts[1])
-                yield from opened(held.slice(0, done))
-            while True:
-                j = int(np.searchsorted(starts, done + rows_at_once, "left"))
-                if j >= len(starts) - 1:  # the last group may go on
-                    break
+            last, done = len(starts) - (1 if batch is None else 2), 0  # the last group may go on in the next batch
+            while done < starts[last]:
+                j = min(last, int(np.searchsorted(starts, done + rows_at_once, "left")))
                 yield from closed(held.slice(done, int(starts[j]) - done))
                 done = int(starts[j])
-            if len(tokens) - starts[-2] > GROUP_ROWS and starts[-2] >= done:
-                if starts[-2] > done:
-                    yield from closed(held.slice(done, int(starts[-2]) - done))
-                open_token = tokens[-1]
-                yield from opened(held.slice(int(starts[-2])))
-                done = len(tokens)
             held = held.slice(done)
-            held = held if held.num_rows else None
-        if held is not None:
-            tokens = held.column("token").to_numpy()
-            last = int(np.flatnonzero(tokens != tokens[-1])[-1]) + 1 if (tokens != tokens[-1]).any() else 0
-            if last:
-                yield from closed(held.slice(0, last))
-            yield from opened(held.slice(last))
 
     found = scratch.table(ranged.mapInArrow(bucket, "token long, content long, at long, rank long, window long, open boolean"))
     across = found.filter("open")
