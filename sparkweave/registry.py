@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.queries import fragments  # noqa: F401
+from sparkweave.queries import fragments, searches  # noqa: F401
 from sparkweave.queries.base import ORACLE, QUERIES
 
 
