@@ -101,7 +101,7 @@ def histogram(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFram
     ends = rows.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi")).withColumn("width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1e-6))
     placed = rows.join(ends, by).filter(x.isNotNull()).withColumn("bin", F.least(F.floor((x - F.col("lo")) / F.col("width")), F.lit(bins - 1)))
     counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"))
-    grid = ends.select(*by, "lo", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("long").alias("bin"))
+    grid = ends.select(*by, "lo", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     return grid.join(counts, [*by, "bin"], "left").select(*by, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"), F.coalesce("count", F.lit(0)).alias("count"))
 
 

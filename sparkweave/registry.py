@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.queries import fragments, metric_queries, searches, stat_queries  # noqa: F401
+from sparkweave.queries import fragments, metric_queries, report_queries, searches, source_queries, stat_queries  # noqa: F401
 from sparkweave.queries.base import ORACLE, QUERIES
 
 
