@@ -81,8 +81,8 @@ def t9_spearman(spark, d):
 @query(f"""WITH t AS (SELECT p_size AS df, sum(p_partkey % 97)::DOUBLE / count(*) / 24 AS t FROM part GROUP BY 1), u AS (SELECT *, atan(t / sqrt(df)) AS th, df % 2 = 1 AS odd FROM t)
 SELECT df, {R6.format("t")} AS t, {R6.format("1 - CASE WHEN df = 1 THEN 2 * th / pi() WHEN odd THEN 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (df - 3) // 2 + 1), lambda k: pow(cos(th), 2 * k + 1) * exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2))))) ELSE sin(th) * list_sum(list_transform(range(0, (df - 2) // 2 + 1), lambda k: pow(cos(th), 2 * k) * exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1)))) END")} AS p FROM u""")
 def t10_student_t(spark, d):
-    t = table(spark, d, "part").groupBy(F.col("p_size").alias("df")).agg((F.sum(F.col("p_partkey") % 97).cast("double") / F.count(F.lit(1)) / 24).alias("t"))
-    return t.select("df", settle("t").alias("t"), settle(T.student_t_two_sided(F.col("t"), F.col("df"))).alias("p"))
+    t = table(spark, d, "part").groupBy(F.col("p_size").alias("df")).agg((F.sum(F.col("p_partkey") % 97).cast("double") / F.count(F.lit(1)) / 24).alias("raw"))
+    return t.select("df", settle("raw").alias("t"), settle(T.student_t_two_sided(F.col("raw"), F.col("df"))).alias("p"))
 
 
 HOLM = "hm AS (SELECT *, count(p) OVER (PARTITION BY {f}) AS m, row_number() OVER (PARTITION BY {f} ORDER BY p) AS k FROM {src}), h AS (SELECT *, least(1, max((m - k + 1) * p) OVER (PARTITION BY {f} ORDER BY p ROWS UNBOUNDED PRECEDING)) AS p_holm FROM hm)"
