@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -90,32 +89,29 @@ def gray_rank(fp: Column) -> Column:
 
 
 def leaves(classes: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFrame:
-    """node, all_and, all_or, fps, more, reps: runs of leaf classes in Gray order, numbered through all partitions."""
+    """node, all_and, all_or, fps, more, reps: runs of leaf classes in Gray order, numbered through all partitions.
+
+    Places in the order come from a range partitioning and the counts of its parts, so leaves are full wherever
+    the partitions end.
+    """
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = classes.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(parts, "rank").sortWithinPartitions("rank", "rep")
-    ordered = ordered.select(F.spark_partition_id().alias("part"), "fp", "more", "rep")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = 0, None
-        for batch in chain(batches, [None]):
-            rows = [x for x in (held, None if batch is None else pa.Table.from_batches([batch])) if x is not None]
-            if not rows:
-                return
-            table = pa.concat_tables(rows)
-            whole = table.num_rows if batch is None else table.num_rows // leaf * leaf
-            for start in range(0, whole, leaf):
-                some = table.slice(start, min(leaf, whole - start))
-                fps, reps = some.column("fp").to_numpy(), some.column("rep").to_numpy()
-                values = (some.column("part")[0].as_py(), number, np.bitwise_and.reduce(fps), np.bitwise_or.reduce(fps), fps.tobytes(), b"".join(some.column("more").to_pylist()), reps.tobytes())
-                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(values, kinds, strict=True)], names=["part", "number", "all_and", "all_or", "fps", "more", "reps"])
-                number += 1
-            held = table.slice(whole)
-
-    found = scratch.table(ordered.mapInArrow(cut, "part int, number long, all_and long, all_or long, fps binary, more binary, reps binary"))
-    counts = found.groupBy("part").count()
+    ranged = classes.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(parts, "rank")
+    ranged = scratch.table(ranged.select(F.spark_partition_id().alias("part"), "rank", "fp", "more", "rep"))
+    counts = ranged.groupBy("part").count()
     before = counts.select("part", (F.sum("count").over(Window.orderBy("part")) - F.col("count")).alias("before"))  # a row a partition
-    return scratch.table(found.join(before, "part").select((F.col("before") + F.col("number")).alias("node"), "all_and", "all_or", "fps", "more", "reps"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("rank", "rep")) - 1
+    placed = ranged.join(before, "part").select(F.floor(place / leaf).alias("node"), "fp", "more", "rep")
+    gathered = placed.groupBy("node").agg(F.bit_and("fp").alias("all_and"), F.bit_or("fp").alias("all_or"), F.collect_list(F.struct("fp", "more", "rep")).alias("rows"))  # leaf rows at most
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rows = batch.column("rows")[row].values
+                blobs = rows.field("fp").to_numpy().tobytes(), b"".join(rows.field("more").to_pylist()), rows.field("rep").to_numpy().tobytes()
+                one = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays([*(one.column(c) for c in ("node", "all_and", "all_or")), *(pa.array([x], pa.binary()) for x in blobs)], names=["node", "all_and", "all_or", "fps", "more", "reps"])
+
+    return scratch.table(gathered.mapInArrow(pack, "node long, all_and long, all_or long, fps binary, more binary, reps binary"))
 
 
 def _differences(u: str, v: str) -> Column:
@@ -146,38 +142,32 @@ def node_pairs(bottom: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return pairs
 
 
-def _met(bottom: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of leaves with what both hold."""
-    parts = int(bottom.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = lambda x: bottom.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("fps", "more", "reps")))
-    return pairs.join(side("u"), "u").repartition(parts, "v", "u").join(side("v"), "v")
+def _met(bottom: DataFrame, pairs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Pairs of leaves with what both hold. Only one side moves once for each pair: the other is met where it lies."""
+    side = lambda x: bottom.select(F.col("node").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in columns))
+    return pairs.join(side("v"), "v").join(side("u"), "u")
 
 
-def _sides(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, ...]:
-    """Fingerprints, further lanes and classes of the two leaves."""
-    out = []
-    for x in "uv":
-        fps, reps = (np.frombuffer(batch.column(f"{x}_{c}")[row].as_py(), np.int64) for c in ("fps", "reps"))
-        out += [fps.view(np.uint64), np.frombuffer(batch.column(f"{x}_more")[row].as_py(), np.uint64).reshape(len(fps), -1), reps]
-    return tuple(out)
+def _values(batch: pa.RecordBatch, row: int, column: str, kind: type = np.uint64) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_py(), kind)
 
 
 def linked_edges(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """classes: fp, more, rep, one row for each fingerprint. Returns u, v: edges that connect what links of at most radius bits connect."""
+    """classes: fp, more, rep, one row for each fp. Returns u, v: pairs of fp that connect what links of at most radius bits connect."""
     bottom = leaves(classes, scratch)
-    met = _met(bottom, node_pairs(bottom, radius, scratch))
+    met = _met(bottom, node_pairs(bottom, radius, scratch), ("fps",))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                a, _, a_reps, b, _, b_reps = _sides(batch, row)
+                a, b = _values(batch, row, "u_fps"), _values(batch, row, "v_fps")
                 i, j = np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
                 if batch.column("u")[row] == batch.column("v")[row]:
                     i, j = i[i < j], j[i < j]
-                    ids = a_reps
+                    ids = a.view(np.int64)
                 else:
                     j = j + len(a)
-                    ids = np.concatenate([a_reps, b_reps])
+                    ids = np.concatenate([a, b]).view(np.int64)
                 if len(i):
                     least = least_reached(ids, i, j)
                     far = least != ids
@@ -191,12 +181,14 @@ def closest_edges(classes: DataFrame, radius: int, total: int, scratch: Scratch,
     bits of fp and at most total bits of all lanes. So what leaves a task is linear in its classes, and the closest
     links come first: they are what an exact comparison can then confirm."""
     bottom = leaves(classes, scratch, leaf)
-    met = _met(bottom, node_pairs(bottom, radius, scratch))
+    met = _met(bottom, node_pairs(bottom, radius, scratch), ("fps", "more", "reps"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                a, a_more, a_reps, b, b_more, b_reps = _sides(batch, row)
+                a, b = _values(batch, row, "u_fps"), _values(batch, row, "v_fps")
+                a_more, b_more = _values(batch, row, "u_more").reshape(len(a), -1), _values(batch, row, "v_more").reshape(len(b), -1)
+                a_reps, b_reps = _values(batch, row, "u_reps", np.int64), _values(batch, row, "v_reps", np.int64)
                 own = batch.column("u")[row] == batch.column("v")[row]
                 ids = a_reps if own else np.concatenate([a_reps, b_reps])
                 u, v, bits = (np.zeros(0, np.int64) for _ in range(3))
@@ -222,11 +214,12 @@ def closest_edges(classes: DataFrame, radius: int, total: int, scratch: Scratch,
 
 
 def groups(hashed: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
-    """hashed: doc_id, fp. Adds component_id, the least doc_id that links of at most radius bits reach."""
-    classes = scratch.table(hashed.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")))
-    components = connected_components(linked_edges(classes.filter("rep is not null"), radius, scratch), scratch)
-    labelled = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", F.coalesce("component", "rep").alias("component_id"))
-    return hashed.join(labelled, ["fp", "more"])
+    """hashed: doc_id, fp, more. Adds component_id, the least doc_id that links of at most radius bits reach."""
+    classes = scratch.table(hashed.groupBy("fp").agg(F.first("more").alias("more"), F.min("doc_id").alias("rep")))
+    reached = connected_components(linked_edges(classes, radius, scratch), scratch)
+    labelled = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return hashed.join(labelled.join(least, "component").select("fp", "component_id"), "fp")
 
 
 def confirmed(docs: DataFrame, edges: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
