@@ -79,7 +79,7 @@ def _compare(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, side: np.ndarra
         used, place = np.unique(np.concatenate([u, v]), return_inverse=True)
         s = signatures(x[used], hyperplanes(bits, tables, x.shape[1]), bits)[:, :table]
         for start in range(0, len(u), 100_000):
-            p, q = place[start : start + 100_000], place[len(u) + start : len(u) + start + 100_000]
+            p, q = place[: len(u)][start : start + 100_000], place[len(u) :][start : start + 100_000]
             new = ~(s[p] == s[q]).any(1)
             i, j = u[start : start + 100_000][new], v[start : start + 100_000][new]
             links += np.bincount(i, weight[j], len(ids)).astype(np.int64) + np.bincount(j, weight[i], len(ids)).astype(np.int64)
