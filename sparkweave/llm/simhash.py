@@ -36,6 +36,8 @@ from sparkweave.llm.components import connected_components, least_reached, spann
 from sparkweave.llm.windows import packed_texts, unpack
 
 LEAF, FANOUT = 256, 16
+#: Sets, and bytes of their hashes, that a tile of the exact comparison should hold.
+TILE, TILE_BYTES = 128, 1_000_000
 
 
 def shingles(text: str, words: int) -> list[bytes]:
@@ -178,8 +180,8 @@ def linked_edges(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame
 
 def closest_edges(classes: DataFrame, radius: int, total: int, scratch: Scratch, leaf: int = 4096) -> DataFrame:
     """u, v: for each pair of leaves, a minimum spanning forest (by bits) of the links that differ in at most radius
-    bits of fp and at most total bits of all lanes. So what leaves a task is linear in its classes, and the closest
-    links come first: they are what an exact comparison can then confirm."""
+    bits of fp and at most total bits of all lanes. So what leaves a task is linear in its classes and connects what
+    all links connect. Links that a forest leaves out are not lost: unsettled_links compares inside what it connects."""
     bottom = leaves(classes, scratch, leaf)
     met = _met(bottom, node_pairs(bottom, radius, scratch), ("fps", "more", "reps"))
 
@@ -222,19 +224,21 @@ def groups(hashed: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
     return hashed.join(labelled.join(least, "component").select("fp", "component_id"), "fp")
 
 
-def confirmed(docs: DataFrame, edges: DataFrame, words: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The edges (u, v: doc_ids) whose texts' sets of shingles have at least the Jaccard similarity."""
-    edges = scratch.table(edges.distinct())
-    ends = edges.select(F.col("u").alias("doc_id")).union(edges.select(F.col("v").alias("doc_id"))).distinct()
+def shingle_sets(docs: DataFrame, ends: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """rep, shingles (sorted hashes of the distinct shingles) of the texts that ends (rep: doc_ids) names."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.unique(shingle_hashes(unpack(x).decode(), words)).tobytes() for x in batch.column("packed").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "shingles"])
 
-    texts = packed_texts(docs).join(ends, "doc_id").groupBy("doc_id").agg(F.min("packed").alias("packed"))
-    hashed = scratch.table(texts.mapInArrow(sets, "doc_id long, shingles binary"))
-    both = edges.join(hashed.select(F.col("doc_id").alias("u"), F.col("shingles").alias("u_set")), "u").join(hashed.select(F.col("doc_id").alias("v"), F.col("shingles").alias("v_set")), "v")
+    texts = packed_texts(docs).join(ends.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("packed").alias("packed"))
+    return scratch.table(texts.mapInArrow(sets, "rep long, shingles binary"))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) whose sets of shingles have at least the Jaccard similarity."""
+    both = edges.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("u_set")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("v_set")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,13 +252,91 @@ def confirmed(docs: DataFrame, edges: DataFrame, words: int, similarity: float,
     return both.mapInArrow(compare, "u long, v long")
 
 
+def shared_counts(a: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """How many values each set of a shares with each of b; sets lie end to end."""
+    common = np.intersect1d(a, b)
+    out = np.zeros((len(a_sizes), len(b_sizes)), np.float32)  # whole numbers below 2**24
+    found = []
+    for values, sizes in ((a, a_sizes), (b, b_sizes)):
+        of, place = np.repeat(np.arange(len(sizes)), sizes), np.searchsorted(common, values)
+        inside = np.flatnonzero(place < len(common))
+        inside = inside[common[place[inside]] == values[inside]]
+        inside = inside[np.argsort(place[inside], kind="stable")]
+        found.append((of[inside], place[inside], len(sizes)))
+    for start in range(0, len(common), 4096):
+        sides = []
+        for of, place, n in found:
+            low, high = np.searchsorted(place, [start, start + 4096])
+            side = np.zeros((n, 4096), np.float32)
+            side[of[low:high], place[low:high] - start] = 1
+            sides.append(side)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def unsettled_links(edges: DataFrame, links: DataFrame, sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """u, v: what connects the links that edges leave out, as edges is thinned to forests before the exact check.
+
+    A cluster is what edges connect, a part what links (the confirmed edges) connect. Where a cluster has more
+    than one part, each of its sets is compared exactly with all sets of other parts: in tiles of about TILE sets
+    or TILE_BYTES, a large part in tiles of its own, which are never met with each other. A pair of tiles returns
+    a spanning forest of its links.
+    """
+    parts = connected_components(links, scratch).withColumnRenamed("component", "part")
+    state = connected_components(edges, scratch).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    state = scratch.table(state.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("part", "rep")))
+    several = state.groupBy("cluster").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("cluster")
+    opened = scratch.table(state.join(several, "cluster").join(sets, "rep"))
+    tiles = F.ceil(F.greatest(F.sum("n") / TILE, F.sum("bytes") / TILE_BYTES)).cast("long")
+    sized = scratch.table(opened.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("shingles")).alias("bytes")))
+    owner = F.when((F.col("n") >= TILE) | (F.col("bytes") >= TILE_BYTES), F.col("part"))
+    owned = sized.select("cluster", "part", owner.alias("owner"), "n", "bytes")
+    dealt = owned.groupBy("cluster", "owner").agg(F.greatest(tiles, F.lit(1)).alias("tiles")).withColumnRenamed("cluster", "c").withColumnRenamed("owner", "o")
+    owned = owned.join(dealt, (F.col("cluster") == F.col("c")) & F.col("owner").eqNullSafe(F.col("o"))).select("cluster", "part", "owner", "tiles")
+    deal = F.pmod(F.xxhash64(F.when(F.col("owner").isNull(), F.col("part")).otherwise(F.col("rep"))), F.col("tiles"))
+    gathered = opened.join(owned, ["cluster", "part"]).groupBy("cluster", "owner", deal.alias("deal")).agg(F.collect_list(F.struct("rep", "part", "shingles")).alias("rows"))  # a tile
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                rows, one = batch.column("rows")[row].values, batch.slice(row, 1)
+                shingles = rows.field("shingles").to_pylist()
+                sizes = np.array([len(x) // 8 for x in shingles], np.int64)
+                blobs = rows.field("rep").to_numpy().tobytes(), rows.field("part").to_numpy().tobytes(), sizes.tobytes(), b"".join(shingles)
+                yield pa.RecordBatch.from_arrays([one.column("cluster"), one.column("owner"), *(pa.array([x], pa.binary()) for x in blobs)], names=["cluster", "owner", "reps", "parts", "sizes", "shingles"])
+
+    packed = gathered.mapInArrow(pack, "cluster long, owner long, reps binary, parts binary, sizes binary, shingles binary")
+    packed = scratch.table(packed.withColumn("node", F.monotonically_increasing_id()))
+    side = lambda x: packed.select("cluster", F.col("node").alias(x), F.col("owner").alias(f"{x}_owner"))
+    apart = F.col("u_owner").isNull() | F.col("v_owner").isNull() | (F.col("u_owner") != F.col("v_owner"))
+    pairs = scratch.table(side("u").join(side("v"), "cluster").filter((F.col("u") <= F.col("v")) & apart).select("u", "v"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = batch.column("u")[row] == batch.column("v")[row]
+                (a_reps, a_parts, a_sizes), (b_reps, b_parts, b_sizes) = ([_values(batch, row, f"{x}_{c}", np.int64) for c in ("reps", "parts", "sizes")] for x in "uv")
+                shared = shared_counts(_values(batch, row, "u_shingles"), a_sizes, _values(batch, row, "v_shingles"), b_sizes)
+                linked = (shared >= similarity * (a_sizes[:, None] + b_sizes[None, :] - shared)) & (a_parts[:, None] != b_parts[None, :])
+                i, j = np.nonzero(np.triu(linked, 1) if own else linked)
+                if len(i):
+                    ids = a_reps if own else np.concatenate([a_reps, b_reps])
+                    j = j + (0 if own else len(a_reps))
+                    kept = spanning_forest(len(ids), i, j, np.zeros(len(i), np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i[kept]]), pa.array(ids[j[kept]])], names=["u", "v"])
+
+    return _met(packed, pairs, ("reps", "parts", "sizes", "shingles")).mapInArrow(compare, "u long, v long")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles.
 
     Fingerprints of four lanes (256 bits) propose links: at this similarity their bits differ with a
     probability p that follows from the angle between two sets. The radii lie 3.2 standard deviations above
-    the mean, so all but about one in a thousand links are proposed. Every link is then checked exactly. At
-    radii this wide the index prunes little, and comparing grows with the square of the distinct fingerprints.
+    the mean, so all but about one in a thousand links are proposed. Every link is then checked exactly: forests
+    of the proposals first, then, inside what proposals connect, all pairs that the confirmed links don't
+    connect. At radii this wide the index prunes little, and comparing grows with the square of the distinct
+    fingerprints.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     cosine = 2 * similarity / (1 + similarity)
@@ -262,8 +344,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     radius, total = (math.ceil(n * p + 3.2 * math.sqrt(n * p * (1 - p))) for n in (64, 256))
     hashed = scratch.table(fingerprints(docs, words, 4))
     classes = scratch.table(hashed.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")))
-    edges = closest_edges(classes.filter("rep is not null"), radius, total, scratch)
-    links = confirmed(docs, edges, words, similarity, scratch)
+    edges = scratch.table(closest_edges(classes.filter("rep is not null"), radius, total, scratch).distinct())
+    ends = edges.select(F.col("u").alias("rep")).union(edges.select(F.col("v").alias("rep"))).distinct()
+    sets = shingle_sets(docs, ends, words, scratch)
+    links = scratch.table(confirmed(edges, sets, similarity))
+    links = scratch.table(links.union(unsettled_links(edges, links, sets, similarity, scratch)))
     components = connected_components(links, scratch)
     labelled = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", F.coalesce("component", "rep").alias("component_id"))
     return hashed.join(labelled, ["fp", "more"]).select("doc_id", "component_id")

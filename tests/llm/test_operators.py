@@ -173,6 +173,25 @@ def test_similar_groups(spark):
     assert all(got[10 * k] == got[10 * k + 1] == 10 * k and got[10 * k + 2] == 10 * k + 2 for k in range(30))
 
 
+@pytest.mark.parametrize("tile", [128, 6])
+def test_similar_groups_in_a_template(spark, tile, monkeypatch):
+    """Texts that share a template hang together by proposals that fail the exact check; their real near copies are found."""
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(21)
+    new = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    template, rows = new(300), []
+    for k in range(40):
+        own = template[:240] + new(60)
+        rows += [(3 * k, " ".join(own))]
+        rows += [(3 * k + c, " ".join(own[: 270 - 4 * c] + new(26) + own[296 - 4 * c :])) for c in (1, 2)]
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = components(list(sets), links)
+    assert 30 < len(set(want.values())) < len(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_language_model(docs):
     found = [(d, lowered(t).split(), zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows_of(docs)]
     counts = Counter(w for _, words, held in found if not held for w in words)
