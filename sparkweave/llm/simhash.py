@@ -67,8 +67,11 @@ def fingerprint(text: str, words: int) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) and more (the bits of further lanes) of every text: a map over the scan."""
+def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and more (the bits of further lanes) of every text: a map over the scan.
+
+    With distinct, each shingle counts once, however often the text repeats it.
+    """
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,6 +79,7 @@ def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1) -> DataFrame:
                 fp, more = [], []
                 for text in part.column("text").to_pylist():
                     hashes = shingle_hashes(text, words)
+                    hashes = np.unique(hashes) if distinct else hashes
                     fp.append(majority(hashes))
                     more.append(np.array([majority(mixed(hashes + np.uint64(lane))) for lane in range(1, lanes)], np.uint64).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(more, pa.binary())], names=["doc_id", "fp", "more"])
@@ -331,7 +335,7 @@ def unsettled_links(edges: DataFrame, links: DataFrame, sets: DataFrame, similar
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles.
 
-    Fingerprints of four lanes (256 bits) propose links: at this similarity their bits differ with a
+    Fingerprints of the distinct shingles in four lanes (256 bits) propose links: at this similarity their bits differ with a
     probability p that follows from the angle between two sets. The radii lie 3.2 standard deviations above
     the mean, so all but about one in a thousand links are proposed. Every link is then checked exactly: forests
     of the proposals first, then, inside what proposals connect, all pairs that the confirmed links don't
@@ -342,7 +346,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     radius, total = (math.ceil(n * p + 3.2 * math.sqrt(n * p * (1 - p))) for n in (64, 256))
-    hashed = scratch.table(fingerprints(docs, words, 4))
+    hashed = scratch.table(fingerprints(docs, words, 4, distinct=True))
     classes = scratch.table(hashed.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")))
     edges = scratch.table(closest_edges(classes.filter("rep is not null"), radius, total, scratch).distinct())
     ends = edges.select(F.col("u").alias("rep")).union(edges.select(F.col("v").alias("rep"))).distinct()

@@ -192,6 +192,16 @@ def test_similar_groups_in_a_template(spark, tile, monkeypatch):
     assert got == want
 
 
+def test_similar_groups_of_repeats(spark):
+    """Texts with the same shingles are copies however often they repeat a line."""
+    rng = random.Random(9)
+    w = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(314)]
+    line = w[300:]
+    rows = [(n, " ".join(w[:300] + line * n)) for n in (2, 10, 20, 40)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {n: 2 for n, _ in rows}
+
+
 def test_language_model(docs):
     found = [(d, lowered(t).split(), zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows_of(docs)]
     counts = Counter(w for _, words, held in found if not held for w in words)
