@@ -22,6 +22,7 @@ ids give a row each. An empty table gives an empty result. Only doc_id and text
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -67,24 +68,38 @@ def fingerprint(text: str, words: int) -> int:
     return majority(shingle_hashes(text, words))
 
 
-def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) and more (the bits of further lanes) of every text: a map over the scan.
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a long) and more (empty) of every text: a map over the scan."""
 
-    With distinct, each shingle counts once, however often the text repeats it.
-    """
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in small_batches(batch):
+                fp = [fingerprint(text, words) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array([b""] * len(fp), pa.binary())], names=["doc_id", "fp", "more"])
+
+    return documents_rows(docs).mapInArrow(hash_texts, "doc_id long, fp long, more binary")
+
+
+def set_key(hashes: np.ndarray) -> bytes:
+    """A digest of a set of distinct shingles, given as sorted hashes."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
+def set_fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
+    """doc_id, key (of the set of distinct shingles), and the set's fingerprint: fp and more (the bits of further lanes)."""
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_batches(batch):
-                fp, more = [], []
+                keys, fp, more = [], [], []
                 for text in part.column("text").to_pylist():
-                    hashes = shingle_hashes(text, words)
-                    hashes = np.unique(hashes) if distinct else hashes
+                    hashes = np.unique(shingle_hashes(text, words))
+                    keys.append(set_key(hashes))
                     fp.append(majority(hashes))
                     more.append(np.array([majority(mixed(hashes + np.uint64(lane))) for lane in range(1, lanes)], np.uint64).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(more, pa.binary())], names=["doc_id", "fp", "more"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(more, pa.binary())], names=["doc_id", "key", "fp", "more"])
 
-    return documents_rows(docs).mapInArrow(hash_texts, "doc_id long, fp long, more binary")
+    return documents_rows(docs).mapInArrow(hash_texts, "doc_id long, key binary, fp long, more binary")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -229,15 +244,16 @@ def groups(hashed: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, ends: DataFrame, words: int, scratch: Scratch) -> DataFrame:
-    """rep, shingles (sorted hashes of the distinct shingles) of the texts that ends (rep: doc_ids) names."""
+    """rep, shingles (sorted hashes of the distinct shingles) of the classes in ends (rep, doc_id, key)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [np.unique(shingle_hashes(unpack(x).decode(), words)).tobytes() for x in batch.column("packed").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(out, pa.binary())], names=["rep", "shingles"])
+            out = [np.unique(shingle_hashes(unpack(x).decode(), words)) for x in batch.column("packed").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(x) for x in out], pa.binary()), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "key", "shingles"])
 
-    texts = packed_texts(docs).join(ends.withColumnRenamed("rep", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("packed").alias("packed"))
-    return scratch.table(texts.mapInArrow(sets, "rep long, shingles binary"))
+    texts = packed_texts(docs).join(ends.select("doc_id").distinct(), "doc_id").groupBy("doc_id", "version").agg(F.min("packed").alias("packed"))
+    found = texts.mapInArrow(sets, "doc_id long, key binary, shingles binary").join(ends, ["doc_id", "key"])  # rows of one id may differ
+    return scratch.table(found.groupBy("rep").agg(F.min("shingles").alias("shingles")))
 
 
 def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -335,7 +351,7 @@ def unsettled_links(edges: DataFrame, links: DataFrame, sets: DataFrame, similar
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles.
 
-    Fingerprints of the distinct shingles in four lanes (256 bits) propose links: at this similarity their bits differ with a
+    Texts with the same set of shingles are one class. Fingerprints of the sets in four lanes (256 bits) propose links: at this similarity their bits differ with a
     probability p that follows from the angle between two sets. The radii lie 3.2 standard deviations above
     the mean, so all but about one in a thousand links are proposed. Every link is then checked exactly: forests
     of the proposals first, then, inside what proposals connect, all pairs that the confirmed links don't
@@ -346,16 +362,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     cosine = 2 * similarity / (1 + similarity)
     p = math.acos(cosine) / math.pi
     radius, total = (math.ceil(n * p + 3.2 * math.sqrt(n * p * (1 - p))) for n in (64, 256))
-    hashed = scratch.table(fingerprints(docs, words, 4, distinct=True))
-    classes = scratch.table(hashed.groupBy("fp", "more").agg(F.min("doc_id").alias("rep")))
-    edges = scratch.table(closest_edges(classes.filter("rep is not null"), radius, total, scratch).distinct())
+    hashed = scratch.table(set_fingerprints(docs, words, 4))
+    classes = hashed.groupBy("key", "fp", "more").agg(F.min("doc_id").alias("doc_id"))
+    classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()))
+    edges = scratch.table(closest_edges(classes.filter("doc_id is not null"), radius, total, scratch).distinct())
     ends = edges.select(F.col("u").alias("rep")).union(edges.select(F.col("v").alias("rep"))).distinct()
-    sets = shingle_sets(docs, ends, words, scratch)
+    sets = shingle_sets(docs, classes.select("rep", "doc_id", "key").join(ends, "rep"), words, scratch)
     links = scratch.table(confirmed(edges, sets, similarity))
     links = scratch.table(links.union(unsettled_links(edges, links, sets, similarity, scratch)))
-    components = connected_components(links, scratch)
-    labelled = classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "more", F.coalesce("component", "rep").alias("component_id"))
-    return hashed.join(labelled, ["fp", "more"]).select("doc_id", "component_id")
+    components = connected_components(links, scratch).withColumnRenamed("node", "rep")
+    labelled = scratch.table(classes.join(components, "rep", "left").select("key", "doc_id", F.coalesce("component", "rep").alias("component")))
+    least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return hashed.select("doc_id", "key").join(labelled.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

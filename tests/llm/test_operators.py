@@ -202,6 +202,17 @@ def test_similar_groups_of_repeats(spark):
     assert got == {n: 2 for n, _ in rows}
 
 
+def test_similar_groups_of_filler(spark):
+    """Texts that share a filler and nothing else are no copies, and rows of one id are told apart by their texts."""
+    rng = random.Random(10)
+    new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    filler = " x" * 500
+    one = new(100)
+    rows = [(1, new(100) + filler), (2, one + filler), (3, new(100) + filler), (4, one + " " + filler), (5, new(100)), (5, one), (6, None), (7, " ")]
+    got = sorted((r.doc_id, r.component_id) for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 2), (5, 2), (5, 5), (6, 6), (7, 6)]
+
+
 def test_language_model(docs):
     found = [(d, lowered(t).split(), zlib.crc32(str(d).encode()) % 10 == 0) for d, t in rows_of(docs)]
     counts = Counter(w for _, words, held in found if not held for w in words)
