@@ -10,8 +10,9 @@ of sizes by source, so its cost follows the number of distinct sizes, not the nu
 
 Rates become whole copies: running sums of the rates, taken through the sizes of a source from large to
 small, are rounded, and their differences are the copies of each size. Inside a size, copies differ by one
-at most and the documents that come first by a hash of their id get the larger number. Two small
-corrections of one copy bring a source's words closer to its target.
+at most and the documents that come first by a hash of their id get the larger number. What this leaves of a
+source's target in words, such as half a very long text, is spread over the sizes that fit into it, again and
+again until none does; two corrections of one copy then bring the words closer still.
 
 Sizes that many documents share are split into cells of about 4096 documents by a hash of the id, so no
 window holds a hot source or a hot size.
@@ -105,6 +106,28 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, scratch: Scratch, step
     return state.select(*KEY, "target", "source_size", "mean_size", F.round("lam", 7).alias("lam"), "fixed")
 
 
+def _spread(cells: DataFrame, scratch: Scratch) -> DataFrame:
+    """What rounding left of each source's target in words, taken up by the sizes that fit into it.
+
+    Each such cell gives the same share of its room: of the copies it may still get, or of those it has. The
+    copies are running sums from large to small again, so what is left at least halves, until no size fits.
+    """
+    through = Window.partitionBy(*KEY).orderBy(F.col("size").desc(), "cell")
+    while True:
+        lefts = cells.groupBy(*KEY).agg((F.max("target") - F.sum(F.col("k") * F.col("size"))).alias("left"))
+        fits = (F.col("size") > 0) & (F.col("size") <= F.abs("left"))
+        room = F.when(fits, F.when(F.col("left") > 0, 3 * F.col("n") - F.col("k")).otherwise(F.col("k"))).otherwise(F.lit(0))
+        roomy = cells.join(lefts, KEY).withColumn("room", room)
+        shares = roomy.groupBy(*KEY).agg(F.first("left").alias("left"), F.sum(F.col("room") * F.col("size")).alias("words")).filter("words > 0")
+        shares = scratch.table(shares.select(*KEY, "left", F.least(F.lit(1.0), F.abs("left") / F.col("words")).alias("share")))
+        if shares.isEmpty():
+            return cells
+        spread = cells.join(shares, KEY, "left").withColumn("room", F.coalesce(room, F.lit(0)))
+        run = F.floor(F.round(F.sum(F.col("room") * F.coalesce("share", F.lit(0.0))).over(through.rowsBetween(Window.unboundedPreceding, 0)), 6) + 0.5)
+        moved = spread.withColumn("run", run).withColumn("step", F.col("run") - F.coalesce(F.lag("run").over(through), F.lit(0)))
+        cells = scratch.table(moved.withColumn("k", F.col("k") + F.when(F.col("left") < 0, -F.col("step")).otherwise(F.col("step"))).select(*KEY, "size", "cell", "n", "target", "k"))
+
+
 def _corrected(cells: DataFrame) -> DataFrame:
     """One copy more or less of one document in each source, where that brings its words closer to the target."""
     left = F.col("target") - F.col("words")
@@ -149,7 +172,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFr
     run = F.round(F.sum(F.col("n") * F.col("rate")).over(through.rowsBetween(Window.unboundedPreceding, 0)), 6)
     rounded = counted.withColumn("run", F.floor(run + 0.5))
     copies = scratch.table(rounded.withColumn("k", F.col("run") - F.coalesce(F.lag("run").over(through), F.lit(0))).select(*KEY, "size", "cell", "n", "target", "k"))
-    copies = scratch.table(_corrected(_corrected(copies)).select(*KEY, "size", "cell", "n", "k"))
+    copies = scratch.table(_corrected(_corrected(_spread(copies, scratch))).select(*KEY, "size", "cell", "n", "k"))
 
     rank = F.row_number().over(Window.partitionBy(*KEY, "size", "cell").orderBy(F.xxhash64("doc_id", F.lit("copy")), "doc_id"))
     return (

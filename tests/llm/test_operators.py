@@ -264,6 +264,17 @@ def test_mixing_targets(spark):
     assert all(abs(r.taken - r.target) <= 60 for r in by)
 
 
+def test_mixing_with_a_long_text(spark):
+    """Half a very long text is more than any correction of single copies; the small texts take it up."""
+    rng = random.Random(4)
+    rows = [(0, "w " * 50_000, "a"), *((i, "w " * 10, "a") for i in range(1, 10_001))]
+    rows += [(20_000 + i, "w " * rng.randint(1, 60), "b") for i in range(3000)] + [(30_000, "w " * 30_001, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for weights in ((5.0, 3.0), (2.0, 5.0)):
+        by = mixing.mix(docs, weights).groupBy("source_size").agg(F.first("target").alias("target"), F.sum("taken").alias("taken"), F.min("copies").alias("low"), F.max("copies").alias("high")).collect()
+        assert len(by) == 2 and all(abs(r.taken - r.target) <= 10 and 0 <= r.low and r.high <= 3 for r in by)
+
+
 def vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((60, 16))
