@@ -9,10 +9,10 @@ vocabulary, while every word's count in the whole training corpus enters its pro
 Counts: texts are packed into blocks of about BLOCK_BYTES. A block lists its distinct words once; these lists,
 not the tokens, are aggregated to corpus counts and joined back to their blocks. After that a block is a row
 of class numbers. Baum-Welch runs on those: every partition computes expected counts of starts, transitions
-and emissions over segments of SEGMENT tokens (a segment inside a text starts from the model's stationary
-states), the counts are summed, and the driver only normalises bounded tables. The first WARM rounds use about
-WARM_TEXTS texts to separate the states, then FULL rounds use all training texts. Scoring is the scaled
-forward recursion over each whole text, so the likelihood is exact: all texts of a block advance together.
+and emissions over segments of SEGMENT moves (a segment inside a text starts at the last token of the one before,
+from the model's stationary states, so every move counts once), the counts are summed, and the driver only
+normalises bounded tables. Each of the ROUNDS rounds uses all training texts. Scoring is the scaled forward
+recursion over each whole text, so the likelihood is exact: all texts of a block advance together.
 
 score = log10 P(text) = log10 P(classes) + sum of log10 P(word | class).
 
@@ -37,7 +37,7 @@ from sparkweave.llm.common import LOWER, Scratch, documents_rows, mixed, small_b
 
 BLOCK_BYTES = 8_000_000
 STATES, OWN, ENDINGS, SEGMENT = 8, 1500, 1024, 64
-WARM, WARM_TEXTS, FULL = 6, 3000, 2
+ROUNDS = 8
 #: Class numbers: the end, then endings, then words of their own.
 END, CLASSES = 0, 1 + ENDINGS + OWN
 
@@ -209,13 +209,16 @@ def forward(model: Model, classes: np.ndarray, lengths: np.ndarray) -> np.ndarra
 
 
 def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Expected starts, transitions and emissions over segments of the chosen sequences, end to end in one array."""
+    """Expected starts, transitions and emissions over segments of the chosen sequences, end to end in one array.
+
+    A segment's first token is the last of the segment before, where its emission is counted.
+    """
     begin = (np.cumsum(lengths) - lengths)[chosen]
-    pieces = -(-lengths[chosen] // SEGMENT)
+    pieces = np.maximum(1, -(-(lengths[chosen] - 1) // SEGMENT))
     text = np.repeat(np.arange(len(begin)), pieces)
     piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     at = begin[text] + piece * SEGMENT
-    size = np.minimum(SEGMENT, lengths[chosen][text] - piece * SEGMENT)
+    size = np.minimum(SEGMENT + 1, lengths[chosen][text] - piece * SEGMENT)
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
     stationary = model.stationary()
     order = np.argsort(-size, kind="stable")
@@ -243,14 +246,15 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, chos
                 beta = np.concatenate([right @ model.move.T, np.ones((n - m, STATES))])
             weights.append(alphas[t] * beta)
         start += weights[-1][opens].sum(0)
+        weights[-1] = weights[-1] * opens[:, None]
         symbol, weight = np.concatenate(symbols[::-1]), np.concatenate(weights)
         for s in range(STATES):
             emit[:, s] += np.bincount(symbol, weight[:, s], CLASSES)
     return np.concatenate([start, (move * model.move).ravel(), emit.ravel()])
 
 
-def baum_welch(classed: DataFrame, model: Model, shares: np.ndarray, share: float) -> Model:
-    """One round over a share of the training texts: expected counts of all partitions, summed, then normalised."""
+def baum_welch(classed: DataFrame, model: Model, shares: np.ndarray) -> Model:
+    """One round over all training texts: expected counts of all partitions, summed, then normalised."""
     spark = classed.sparkSession
     shared = spark.sparkContext.broadcast((model.start, model.move, model.emit))
 
@@ -260,16 +264,14 @@ def baum_welch(classed: DataFrame, model: Model, shares: np.ndarray, share: floa
         for batch in batches:
             for row in range(batch.num_rows):
                 held = batch.column("held")[row].values.to_numpy(zero_copy_only=False)
-                ids = batch.column("doc_ids")[row].values.fill_null(0).to_numpy()
-                picked = mixed(ids.view(np.uint64)) % np.uint64(1 << 20) < np.uint64(round(share * (1 << 20)))
-                chosen = np.flatnonzero(~held & picked)
+                chosen = np.flatnonzero(~held)
                 if len(chosen):
                     lengths = batch.column("lengths")[row].values.to_numpy().astype(np.int64)
                     total += expected_counts(own, _values(batch.column("classes")[row].as_py(), np.int16), lengths, chosen)
         place = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], names=["place", "value"])
 
-    counted = classed.select("doc_ids", "held", "lengths", "classes").mapInArrow(count, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
+    counted = classed.select("held", "lengths", "classes").mapInArrow(count, "place long, value double").groupBy("place").agg(F.sum("value").alias("value"))
     total = np.zeros(STATES + STATES * STATES + CLASSES * STATES)
     for row in counted.collect():  # bounded by the model's tables
         total[row.place] = row.value
@@ -305,9 +307,8 @@ def score_texts(docs: DataFrame, folds: int = 10) -> DataFrame:
     tokens = class_totals(classed)
     shares = (tokens + 0.1) / (tokens + 0.1).sum()
     model = Model.first(shares)
-    warm = min(1.0, WARM_TEXTS / max(1, totals["texts"]))
-    for share in [warm] * WARM + [1.0] * FULL:
-        model = baum_welch(classed, model, shares, share)
+    for _ in range(ROUNDS):
+        model = baum_welch(classed, model, shares)
 
     # A class of several words shares out its tokens and a tenth for each word it knows and for one it doesn't.
     inside = np.zeros(CLASSES)

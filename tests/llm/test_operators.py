@@ -243,6 +243,36 @@ def test_forward_recursion_is_exact():
         at += n
 
 
+def test_expected_counts_cross_segments():
+    rng = np.random.default_rng(2)
+    model = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES), hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES), hmm.STATES).T)
+    lengths = np.array([1, 64, 65, 66, 300])
+    classes = rng.integers(0, hmm.CLASSES, lengths.sum()).astype(np.int16)
+    total = hmm.expected_counts(model, classes, lengths, np.arange(len(lengths)))
+    moves = hmm.STATES + hmm.STATES**2
+    assert total[: hmm.STATES].sum() == pytest.approx(len(lengths))
+    assert total[hmm.STATES : moves].sum() == pytest.approx(lengths.sum() - len(lengths))
+    assert total[moves:].reshape(hmm.CLASSES, hmm.STATES).sum(1) == pytest.approx(np.bincount(classes, minlength=hmm.CLASSES))
+
+
+def test_every_round_reads_every_training_text(spark, monkeypatch):
+    rng, one_round, rounds = random.Random(12), hmm.baum_welch, []
+
+    def watched(classed, model, shares, *more):
+        after, total = one_round(classed, model, shares, *more), 0
+        for row in classed.select("held", "lengths", "classes").collect():
+            total = total + hmm.expected_counts(model, hmm._values(row.classes, np.int16), np.array(row.lengths, np.int64), np.flatnonzero(~np.array(row.held)))
+        moves = hmm.STATES + hmm.STATES**2
+        want = hmm.Model.of(total[: hmm.STATES], total[hmm.STATES : moves].reshape(hmm.STATES, hmm.STATES), total[moves:].reshape(hmm.CLASSES, hmm.STATES), shares)
+        rounds.append(np.allclose(after.move, want.move) and np.allclose(after.emit, want.emit))
+        return after
+
+    monkeypatch.setattr(hmm, "baum_welch", watched)
+    rows = [(i, " ".join(rng.choice(("la", "de", "ein", "und", "the")) for _ in range(rng.randint(1, 9)))) for i in range(5000)]
+    assert hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
+    assert len(rounds) == 8 and all(rounds)
+
+
 def test_mixing(docs):
     got = mixing.mix(docs).withColumn("n", F.lit(1)).collect()
     assert len(got) == docs.count() and all(0 <= r.taken <= 3 * r["size"] for r in got)
