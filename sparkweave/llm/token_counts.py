@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.llm.bpe import token_lengths
+from sparkweave.llm.common import Scratch
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
@@ -61,8 +62,9 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """The histogram with its sums, for every document's whole text."""
-    return with_suffix_sums(length_histogram(token_lengths(docs, vocabulary, pattern)))
+    """The histogram with its sums, for every document's whole text. Encoding is done once: the histogram is written, then summed."""
+    scratch = Scratch(docs.sparkSession, "token-counts")
+    return with_suffix_sums(scratch.table(length_histogram(token_lengths(docs, vocabulary, pattern))))
 
 
 def at_limits(summed: DataFrame, limits: list[int]) -> DataFrame:
