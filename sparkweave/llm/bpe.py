@@ -29,12 +29,16 @@ from pyspark.sql import functions as F
 
 from sparkweave.llm.common import documents_rows, small_batches
 
-#: Entries that a worker remembers, for chunks, pieces and pairs of tokens each, before it starts afresh.
-MEMO = 350_000
+#: Entries that a worker remembers, for chunks, pieces and pairs of tokens each. Chunks have two generations
+#: of half as many: what is met again moves to the young one, and a full young one replaces the old one.
+MEMO = 400_000
 
 #: The characters with Unicode's White_Space property, which the pattern's \\s stands for.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Patterns whose matches never go on from another character into white space.
+CUT_AT_WHITE = {r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"}
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """The ranks in a .tiktoken file: a base64 token and its rank on each line. Bounded by the vocabulary."""
@@ -47,7 +51,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
-        self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+        self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+" if pattern in CUT_AT_WHITE else r"(?s).+").findall
         self.token_of = dict(sorted((rank, token) for token, rank in ranks.items()))
         self.length = {rank: len(token) for rank, token in self.token_of.items()}
         self.automaton = ahocorasick.Automaton()
@@ -72,6 +76,7 @@ class Encoder:
         self.together.clear()
         self.pieces: dict[str, list[int]] = {}
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def _compatible(self, left: int, right: int) -> bool:
         """Do merges of the two tokens' joined bytes end in these two tokens?
@@ -144,11 +149,13 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> tuple[tuple[int, ...], str]:
         """Ids of a chunk and the same in decimal, joined by commas."""
-        ids = [rank for piece in self.pattern.findall(chunk) for rank in self._piece(piece)]
-        known = tuple(ids), ",".join(map(str, ids))
+        known = self.known.get(chunk) or self.older.get(chunk)
+        if known is None:
+            ids = [rank for piece in self.pattern.findall(chunk) for rank in self._piece(piece)]
+            known = tuple(ids), ",".join(map(str, ids))
         if len(chunk) <= 64:
-            if len(self.known) >= MEMO:
-                self.known.clear()
+            if len(self.known) >= MEMO // 2:
+                self.known, self.older = {}, self.known
             self.known[chunk] = known
         return known
 
@@ -156,7 +163,8 @@ class Encoder:
         """The text's chunks, encoded: white space and what follows it up to the next white space.
 
         No match of the pattern goes on from another character into white space, and what it looks at
-        behind a run of white space is in the same chunk. So the text may be cut before every run.
+        behind a run of white space is in the same chunk. So the text may be cut before every run. A pattern
+        that doesn't start its matches over at white space in this way is not cut (see __init__).
         """
         get, chunk = self.known.get, self._chunk
         return [get(x) or chunk(x) for x in self.cut(text)]
