@@ -34,9 +34,11 @@ def attach(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named in spark.checkpoint.dir. In local mode, as in tests, one is made where none is set."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -89,6 +91,16 @@ def small_batches(batch: pa.RecordBatch, column: str = "text", limit: int = STEP
         start = end
 
 
+def few_rows(batches: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """All batches in slices as small_batches makes them, so that what a slice unpacks to stays bounded."""
+    for batch in batches:
+        yield from small_batches(batch, column, limit)
+
+
+#: Compressed bytes that are unpacked at a time.
+PACKED_BYTES = 400_000
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts in one array, and where each text starts in it, with the end."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)

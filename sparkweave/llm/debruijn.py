@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import Scratch, rolling, word_hashes, word_spans
+from sparkweave.llm.common import PACKED_BYTES, Scratch, few_rows, rolling, word_hashes, word_spans
 from sparkweave.llm.suffix_array import merged
 from sparkweave.llm.windows import KEY, group_parts, original_id, packed_texts, resolve, text_chains, unpack
 
@@ -112,7 +112,7 @@ def earlier_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed:
     """doc_id, version, begin, end (words) of what windows cover that start in a document with a smaller doc_id."""
     every = scratch.table(text_chains(docs, length, seed, words=True))
     shared = every.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b")
-    candidates = scratch.table(every.join(shared, "token", "left_semi"))
+    candidates = scratch.table(every.join(scratch.table(shared.select("token")), "token", "left_semi"))  # a written side lets Spark split a hot token
     scratch.drop(every)
     contents = scratch.table(candidates.groupBy("token", "content").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(F.struct(*KEY, "first", "n")).alias("at")))
 
@@ -124,7 +124,7 @@ def earlier_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed:
     wanted = needed.groupBy(*KEY).agg(F.collect_list("chain").alias("chains"))  # no more than a text's own chains
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, "packed", PACKED_BYTES):
             out: list[tuple] = []
             for doc, packed, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "chains")), strict=True):
                 raw = np.frombuffer(unpack(packed), np.uint8)
@@ -148,7 +148,7 @@ def without_earlier(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = scratch.table(earlier_spans(docs, scratch, length).groupBy(*KEY).agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, "packed", PACKED_BYTES):
             n, removed, kept = [], [], []
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = unpack(packed).split()

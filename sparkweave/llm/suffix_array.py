@@ -22,10 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkweave.llm.common import Scratch, rolling
+from sparkweave.llm.common import PACKED_BYTES, Scratch, few_rows, rolling
 from sparkweave.llm.windows import KEY, NO_ID, group_parts, original_id, packed_texts, resolve, text_chains, unpack
 
 LENGTH, SEED_BYTES, TOKEN = 200, 64, 40
@@ -83,7 +85,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed
     """doc_id, version, spans: array of (begin, end) that repeated strings cover; they may overlap. length is a multiple of token."""
     every = scratch.table(text_chains(docs, length, seed, words=False))
     twice = every.groupBy("token").agg(F.count(F.lit(1)).alias("chains")).filter("chains > 1")
-    candidates = scratch.table(every.join(twice, "token", "left_semi"))
+    candidates = scratch.table(every.join(scratch.table(twice.select("token")), "token", "left_semi"))  # a written side lets Spark split a hot token
     scratch.drop(every)
     contents = scratch.table(candidates.groupBy("token", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*KEY, "first", "n")).alias("at")))
     mixed_tokens = contents.groupBy("token").agg(F.count(F.lit(1)).alias("contents"), F.min("copies").alias("fewest")).filter("contents > 1 and fewest = 1")
@@ -92,7 +94,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, seed
     wanted = needed.groupBy(*KEY).agg(F.collect_list("chain").alias("chains"))  # no more than a text's own chains
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, "packed", PACKED_BYTES):
             out: list[tuple] = []
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("chains").to_pylist(), strict=True):
                 raw = unpack(packed)
@@ -129,7 +131,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = scratch.table(repeated_spans(docs, scratch, length))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, "packed", PACKED_BYTES):
             n, removed, counts, kept = [], [], [], []
             for packed, found in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 raw = unpack(packed)
@@ -157,21 +159,30 @@ def strip_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "suffix-array")
     spans = scratch.table(repeated_spans(docs, scratch, length)).select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("spans").alias("__spans"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__version", F.xxhash64(F.coalesce("text", F.lit(""))))
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in few_rows(batches, "text"):
+            packed = [None if t is None else press.compress(t.encode()) for t in batch.column("text").to_pylist()]
+            new = {"text": pa.array(packed, pa.binary())}
+            yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, "text", PACKED_BYTES):
             texts = []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-                if text is not None and found:
-                    raw = text.encode()
+            for packed, found in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+                raw = unpack(packed)
+                if found:
                     edges = [0, *(x for run in merged([(x["begin"], x["end"]) for x in found]) for x in run), len(raw)]
-                    text = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)).decode(errors="ignore")
-                texts.append(text)
-            new = {"text": pa.array(texts, batch.column("text").type)}
+                    raw = b"".join(raw[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True))
+                texts.append(None if packed is None else raw.decode(errors="ignore"))
+            new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
                 new["n_chars"] = pa.array([None if t is None else len(t) for t in texts], batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
-    return keyed.join(spans, ["__id", "__version"], "left").select(*names, "__spans").mapInArrow(strip, docs.schema)
+    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("__version", F.xxhash64(F.coalesce("text", F.lit(""))))
+    moved = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in keyed.schema])
+    joined = keyed.mapInArrow(pack, moved).join(spans, ["__id", "__version"], "left")
+    return joined.select(*names, "__spans").mapInArrow(strip, schema)
