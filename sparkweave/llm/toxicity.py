@@ -13,7 +13,7 @@ scoring, and their number is bounded by that of the sample's included features.
 
 Edge cases: an empty, null or wordless text gets the score of the intercept. Labels that are null are left
 out; a document with several labels is toxic if one of them says so. Labels without a document do nothing.
-Without any training label every score is 0.5 and predicted 1. Repeated rows are scored each. An empty
+Without any training label nothing speaks for toxicity: every score is 0 (to double precision). Repeated rows are scored each. An empty
 table gives an empty result. Only doc_id and text of docs, and doc_id and toxic of labels, are read.
 """
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import LOWER, Scratch, documents_rows, mixed, small_batches, text_bytes, word_hashes, word_spans
+from sparkweave.llm.common import LOWER, Scratch, documents_rows, few_rows, mixed, small_batches, text_bytes, word_hashes, word_spans
 
 #: The bound on labelled rows in training.
 SAMPLE_ROWS = 20_000
@@ -34,6 +34,8 @@ SHARD_ROWS, ROUNDS = 5_000, 8
 #: Documents of the sample that must hold a feature, at the full sample.
 MIN_DOCS = 12
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
+#: The intercept where there is no label to learn from.
+NO_LABELS = -700.0
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = _BREAK[48:58] = _BREAK[97:123] = _BREAK[65:91] = False
@@ -87,7 +89,7 @@ def _sample(labels: DataFrame, learn: Column) -> DataFrame:
     return usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray, float]:
     """Feature hashes in order, their weights, and the intercept. learn: which doc_id may be learnt from."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -99,17 +101,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
+        for batch in few_rows(batches, "text"):
             found = [distinct_features(t) for t in batch.column("text").to_pylist()]
             values, counts = np.unique(np.concatenate(found or [known]), return_counts=True)
             merged, place = np.unique(np.concatenate([known, values]), return_inverse=True)
             sums = np.bincount(place, np.concatenate([sums, counts]), len(merged)).astype(np.int64)
             known = merged
-        keep = sums > 1
-        yield pa.RecordBatch.from_arrays([pa.array(known[keep].view(np.int64)), pa.array(sums[keep])], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums)], names=["feature", "n"])
 
     n_rows = rows.count()
-    least = max(3, round(MIN_DOCS * n_rows / SAMPLE_ROWS))
+    least = max(3, round(min_docs * n_rows / SAMPLE_ROWS))
     counted = rows.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     included = np.sort(np.array([r.feature for r in counted.select("feature").collect()], np.int64).view(np.uint64))  # bounded by the sample
 
@@ -117,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = vocabulary.value
-        for batch in batches:
+        for batch in few_rows(batches, "text"):
             places = []
             for text in batch.column("text").to_pylist():
                 found = distinct_features(text)
@@ -149,6 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None) -> tu
             order_free = sorted((bytes(s.z), bytes(s.n)) for s in states)
             state = Ftrl(np.mean([np.frombuffer(z) for z, _ in order_free], axis=0), np.mean([np.frombuffer(n) for _, n in order_free], axis=0))
         shared.unpersist()
+    if not n_rows:
+        return included, np.zeros(0), NO_LABELS
     weights = state.weights()
     kept = np.flatnonzero(weights[:-1])
     return included[kept], weights[kept], float(weights[-1])
