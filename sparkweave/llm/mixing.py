@@ -3,9 +3,9 @@
 A document's size is the number of its words. Sources in code point order (null last) weigh 5, 2, 1,
 repeating, and share all words; a source's target stops at 3 times its size and what is over is shared
 again by weight. Rates w(d) between 0 and 3 are then sought for the documents of each source that meet
-sum(w * size) = target and stay closest to 1 in (two-sided) relative entropy. The dual of that convex
-problem has one multiplier for each source, w = 3 / (1 + 2 exp(-lambda * size / mean size)), and Newton
-steps, kept inside a bracket, solve it for all sources at once. A step is one aggregation of the histogram
+sum(w * size) = target and stay closest to 1 in relative entropy. The dual of that convex problem has one
+multiplier for each source, w = min(3, exp(lambda * size / mean size)), an exponential tilt cut at the bound, and
+Newton steps, kept inside a bracket, solve it for all sources at once. A step is one aggregation of the histogram
 of sizes by source, so its cost follows the number of distinct sizes, not the number of documents.
 
 Rates become whole copies: running sums of the rates, taken through the sizes of a source from large to
@@ -36,7 +36,7 @@ CELL = 4096
 
 
 def _rate(lam: Column, x: Column) -> Column:
-    return F.lit(3.0) / (F.lit(1.0) + F.lit(2.0) * F.exp(-lam * x))
+    return F.least(F.lit(3.0), F.exp(lam * x))
 
 
 def source_targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: float = 3.0) -> DataFrame:
@@ -83,7 +83,7 @@ def solve_rates(histogram: DataFrame, sources: DataFrame, scratch: Scratch, step
         sums = (
             histogram.join(state.filter(~F.col("done")).select(*KEY, "lam", "mean_size"), KEY)
             .groupBy(*KEY)
-            .agg(F.sum(words * rate).alias("got"), F.sum(words * rate * (1 - rate / 3.0) * x).alias("slope"))
+            .agg(F.sum(words * rate).alias("got"), F.sum(F.when(rate < 3.0, words * rate * x).otherwise(0.0)).alias("slope"))
         )
         miss = F.col("got") - F.col("target")
         low, high = F.when(miss < 0, F.col("lam")).otherwise(F.col("low")), F.when(miss > 0, F.col("lam")).otherwise(F.col("high"))
@@ -140,8 +140,13 @@ def _corrected(cells: DataFrame) -> DataFrame:
     return cells.join(best, KEY, "left").withColumn("k", F.col("k") + F.when(chosen, F.col("best.sign")).otherwise(F.lit(0))).drop("best")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, rate: one row for each row of docs."""
+def words_of(text: str) -> Column:
+    """A document's size: the number of its words, 0 for a null text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), named: bool = False) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, rate: one row for each row of docs. named: with its source (src, and src_null)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     sized = scratch.table(
@@ -149,7 +154,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFr
             F.col("doc_id").cast("long").alias("doc_id"),
             F.coalesce(F.col("source").cast("string"), F.lit("")).alias("src"),
             F.col("source").isNull().alias("src_null"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            words_of("text").alias("size"),
         )
     )
     histogram = scratch.table(sized.groupBy(*KEY, "size").agg(F.count(F.lit(1)).alias("n")))
@@ -179,5 +184,5 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFr
         celled.withColumn("rank", rank)
         .join(copies, [*KEY, "size", "cell"])
         .withColumn("copies", F.floor(F.col("k") / F.col("n")) + F.when(F.col("rank") <= F.col("k") % F.col("n"), 1).otherwise(0))
-        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+        .select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", *(KEY if named else []))
     )
