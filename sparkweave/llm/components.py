@@ -13,6 +13,10 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first())
 
 
+#: Edges up to which a round is dealt by node to few partitions; above it Spark chooses, and may split a hub's edges.
+FEW_EDGES, EDGES_A_PART = 2_000_000, 100_000
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges: u, v (long). Returns node, component for each node that has an edge to another: the least node it reaches.
 
@@ -23,14 +27,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     edges = scratch.table(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _state(edges)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(-(-before[0] // EDGES_A_PART), "u") if before[0] <= FEW_EDGES else df
+
     while before[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = dealt(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.table(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        following = scratch.table(small)
+        large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.table(dealt(large).distinct())
+        again = dealt(large)
+        least = again.groupBy("u").agg(F.min("v").alias("m"))
+        small = again.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        following = scratch.table(dealt(small).distinct())
         scratch.drop(edges)
         scratch.drop(large)
         edges, now = following, _state(following)

@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import Scratch, documents_rows, mixed, small_batches
+from sparkweave.llm.common import LOWER, PACKED_BYTES, Scratch, documents_rows, few_rows, mixed, rolling, small_batches, text_bytes, word_hashes, word_spans
 from sparkweave.llm.components import connected_components, least_reached, spanning_forest
 from sparkweave.llm.windows import packed_texts, unpack
 
 LEAF, FANOUT = 256, 16
+#: Classes that share a pattern, about; classes of one that are compared in one piece; share of links that may meet in no table.
+BUCKET, BLOCK, MISS = 64, 1024, 0.01
+#: Members of a group above which only a forest of its links is kept.
+DENSE = 96
 #: Sets, and bytes of their hashes, that a tile of the exact comparison should hold.
 TILE, TILE_BYTES = 128, 1_000_000
 
@@ -85,21 +90,52 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def shingle_set_hashes(raw: np.ndarray, starts: np.ndarray, words: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of each text (texts end to end): of all its words, if it has fewer than a shingle."""
+    raw = LOWER[raw]
+    begins, ends, at = word_spans(raw, starts)
+    hashes = word_hashes(raw, begins, ends, seed=4)
+    rolled = rolling(hashes, words, seed=6)
+    out = []
+    for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        out.append(np.unique(rolled[s : e - words + 1]) if e - s >= words else rolling(hashes[s:e], e - s, seed=6) if e > s else hashes[:0])
+    return out
+
+
+def majorities(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The majority of each set; sets lie end to end. Four 16-bit counters are summed at a time; larger sets go one by one."""
+    out, starts = np.zeros(len(sizes), np.uint64), np.cumsum(sizes) - sizes
+    large = sizes > 0xFFFF
+    for i in np.flatnonzero(large):
+        out[i] = majority(hashes[starts[i] : starts[i] + sizes[i]])
+    some = np.flatnonzero(sizes > 0)
+    half = sizes[some].astype(np.uint64)
+    for k in range(16 if len(some) else 0):
+        sums = np.add.reduceat((hashes >> np.uint64(k)) & np.uint64(0x0001000100010001), starts[some])
+        for j in range(4):
+            ones = (sums >> np.uint64(16 * j)) & np.uint64(0xFFFF)
+            out[some] |= np.where(large[some], np.uint64(0), (2 * ones > half).astype(np.uint64) << np.uint64(16 * j + k))
+    return out
+
+
+def lane_bits(sets: list[np.ndarray], lanes: int) -> np.ndarray:
+    """The fingerprints of sets in several lanes (sets x lanes): majorities of the hashes, mixed anew in each lane."""
+    hashes = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    return np.stack([majorities(mixed(hashes + np.uint64(lane)) if lane else hashes, sizes) for lane in range(lanes)], axis=1)
+
+
 def set_fingerprints(docs: DataFrame, words: int, lanes: int) -> DataFrame:
-    """doc_id, key (of the set of distinct shingles), and the set's fingerprint: fp and more (the bits of further lanes)."""
+    """doc_id, version (a hash of the text), key (of the set of distinct shingles), and bits (the set's fingerprint in all lanes)."""
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_batches(batch):
-                keys, fp, more = [], [], []
-                for text in part.column("text").to_pylist():
-                    hashes = np.unique(shingle_hashes(text, words))
-                    keys.append(set_key(hashes))
-                    fp.append(majority(hashes))
-                    more.append(np.array([majority(mixed(hashes + np.uint64(lane))) for lane in range(1, lanes)], np.uint64).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(more, pa.binary())], names=["doc_id", "key", "fp", "more"])
+        for part in few_rows(batches, "text"):
+            sets = shingle_set_hashes(*text_bytes(part.column("text")), words)
+            bits = [x.tobytes() for x in lane_bits(sets, lanes)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("version"), pa.array([set_key(x) for x in sets], pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "version", "key", "bits"])
 
-    return documents_rows(docs).mapInArrow(hash_texts, "doc_id long, key binary, fp long, more binary")
+    rows = documents_rows(docs).withColumn("version", F.xxhash64("text"))
+    return rows.mapInArrow(hash_texts, "doc_id long, version long, key binary, bits binary")
 
 
 def gray_rank(fp: Column) -> Column:
@@ -197,41 +233,144 @@ def linked_edges(classes: DataFrame, radius: int, scratch: Scratch) -> DataFrame
     return met.mapInArrow(compare, "u long, v long")
 
 
-def closest_edges(classes: DataFrame, radius: int, total: int, scratch: Scratch, leaf: int = 4096) -> DataFrame:
-    """u, v: for each pair of leaves, a minimum spanning forest (by bits) of the links that differ in at most radius
-    bits of fp and at most total bits of all lanes. So what leaves a task is linear in its classes and connects what
-    all links connect. Links that a forest leaves out are not lost: unsettled_links compares inside what it connects."""
-    bottom = leaves(classes, scratch, leaf)
-    met = _met(bottom, node_pairs(bottom, radius, scratch), ("fps", "more", "reps"))
+def plan_patterns(classes: int, p: float, lanes: int) -> np.ndarray:
+    """Which bits each table takes as its pattern: tables x bits.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Bits grow with the logarithm of the classes, so that a pattern has about BUCKET of them. The number of tables
+    follows from the share of links that may have no pattern in common, MISS: over all counts of differing bits,
+    p being the probability that a bit differs at the similarity asked for.
+    """
+    n = 64 * lanes
+    bits = max(8, round(math.log2(max(1, classes) / BUCKET)) if classes > BUCKET else 8)
+    share = [math.comb(n, d) * p**d * (1 - p) ** (n - d) for d in range(n + 1)]
+    agree = [math.comb(n - d, bits) / math.comb(n, bits) for d in range(n + 1)]
+    tables = 1
+    while sum(x * (1 - y) ** tables for x, y in zip(share, agree, strict=True)) > MISS:
+        tables += 1
+    rng = np.random.default_rng(bits)
+    return np.array([rng.choice(n, bits, replace=False) for _ in range(tables)])
+
+
+def bucket_links(group: np.ndarray, side: np.ndarray, lanes: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """u, v (places) and differing bits of the pairs in a group that differ in at most total bits. group is sorted.
+
+    side is 0 for a group that is met with itself; of two blocks that meet, one has 1 and one 2. Groups of more
+    than DENSE members give a minimum spanning forest of their pairs only.
+    """
+    found: list[list[np.ndarray]] = [[], [], []]
+    starts = np.concatenate([np.flatnonzero(np.append(True, group[1:] != group[:-1])), [len(group)]])
+    sizes = np.diff(starts)
+    live, k = np.flatnonzero(np.repeat(sizes <= DENSE, sizes)), 1
+    while True:
+        live = live[: np.searchsorted(live, len(group) - k)]
+        live = live[group[live] == group[live + k]]
+        if not len(live):
+            break
+        i = live[(side[live] == 0) | (side[live] != side[live + k])]
+        differ = np.bitwise_count(lanes[i] ^ lanes[i + k]).sum(1, dtype=np.int64)
+        near = differ <= total
+        for x, y in zip(found, (i[near], i[near] + k, differ[near]), strict=True):
+            x.append(y)
+        k += 1
+    for n in np.flatnonzero(sizes > DENSE):
+        s, e = starts[n], starts[n + 1]
+        a, b = (s + np.flatnonzero(side[s:e] != x) for x in (2, 1))
+        for x, y in zip(found, dense_forest(a, b, lanes, total), strict=True):
+            x.append(y)
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+
+
+def dense_forest(a: np.ndarray, b: np.ndarray, lanes: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the links between the places a and b (the same, or apart): each round every
+    place takes its nearest one outside its tree."""
+    nodes = np.unique(np.concatenate([a, b]))
+    at, bt = np.searchsorted(nodes, a), np.searchsorted(nodes, b)
+    differ = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(lanes.shape[1]):
+        differ += np.bitwise_count(lanes[a, k][:, None] ^ lanes[b, k][None, :])
+    far = np.uint16(0xFFFF)
+    differ[differ > total] = far
+    label = np.arange(len(nodes))
+    found: list[list[np.ndarray]] = [[], [], []]
+    while True:
+        differ[label[at][:, None] == label[bt][None, :]] = far
+        ends = differ.argmin(1), differ.argmin(0)
+        u, v = np.concatenate([np.arange(len(a)), ends[1]]), np.concatenate([ends[0], np.arange(len(b))])
+        bits = differ[u, v]
+        u, v, bits = (x[bits < far] for x in (u, v, bits))
+        if not len(u):
+            return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+        trees = label[at[u]], label[bt[v]]
+        kept = spanning_forest(len(nodes), *trees, bits)
+        for x, y in zip(found, (a[u[kept]], b[v[kept]], bits[kept].astype(np.int64)), strict=True):
+            x.append(y)
+        label = least_reached(np.arange(len(nodes)), trees[0][kept], trees[1][kept])[label]
+
+
+def proposed_edges(classes: DataFrame, patterns: np.ndarray, total: int, lanes: int, scratch: Scratch) -> DataFrame:
+    """u, v, differ: edges that connect all classes (rep, bits) with a pattern in common and at most total differing bits.
+
+    Every class goes to one bucket a table. A bucket of more than BLOCK classes is split, and its blocks are met
+    pair by pair. A task leaves a minimum spanning forest (by bits) of what it found, so its output is linear in
+    its classes; links left out lie inside what the forest connects, where unsettled_links compares exactly.
+    """
+    spark = classes.sparkSession
+    names = [f"lane{k}" for k in range(lanes)]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                a, b = _values(batch, row, "u_fps"), _values(batch, row, "v_fps")
-                a_more, b_more = _values(batch, row, "u_more").reshape(len(a), -1), _values(batch, row, "v_more").reshape(len(b), -1)
-                a_reps, b_reps = _values(batch, row, "u_reps", np.int64), _values(batch, row, "v_reps", np.int64)
-                own = batch.column("u")[row] == batch.column("v")[row]
-                ids = a_reps if own else np.concatenate([a_reps, b_reps])
-                u, v, bits = (np.zeros(0, np.int64) for _ in range(3))
-                for start in range(0, len(a), 64):
-                    differ = np.bitwise_count(a[start : start + 64, None] ^ b[None, :])
-                    i, j = np.nonzero(differ <= radius)
-                    near = differ[i, j].astype(np.int64)
-                    i = i + start
-                    if own:
-                        up = i < j
-                        i, j, near = i[up], j[up], near[up]
-                    near += np.bitwise_count(a_more[i] ^ b_more[j]).sum(1, dtype=np.int64)
-                    close = near <= total
-                    if close.any():
-                        i, j, near = i[close], j[close] + (0 if own else len(a)), near[close]
-                        u, v, bits = np.concatenate([u, i]), np.concatenate([v, j]), np.concatenate([bits, near])
-                        kept = spanning_forest(len(ids), u, v, bits)
-                        u, v, bits = u[kept], v[kept], bits[kept]
-                if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
+            raw = b"".join(batch.column("bits").to_pylist())
+            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(batch), -1), axis=1, bitorder="little")
+            columns = [pa.array(x) for x in np.frombuffer(raw, np.int64).reshape(len(batch), -1).T]
+            for table, chosen in enumerate(patterns):
+                pattern = bits[:, chosen].astype(np.int64) @ (1 << np.arange(len(chosen), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), table, np.int32)), pa.array(pattern), batch.column("rep"), *columns], names=["table", "pattern", "rep", *names])
+
+    placed = classes.select("rep", "bits").mapInArrow(place, "table int, pattern long, rep long, " + ", ".join(f"{x} long" for x in names))
+    key = ["table", "pattern"]
+    large = scratch.table(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > BLOCK))
+    blocks = F.coalesce(F.ceil(F.col("members") / BLOCK), F.lit(1)).cast("long")
+    met = (
+        placed.join(large, key, "left")  # a written side: Spark can split a hot pattern
+        .withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(*key, F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), F.when(F.col("blocks") == 1, 0).when(F.col("block") < F.col("other"), 1).when(F.col("block") > F.col("other"), 2).otherwise(0).alias("side"), "rep", *names)
+    )
+    group = [*key, "first", "second"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = met.repartition(parts, *group).sortWithinPartitions(*group)
 
-    return met.mapInArrow(compare, "u long, v long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            table = pa.concat_tables([x for x in (held, None if batch is None else pa.Table.from_batches([batch])) if x is not None]) if batch is not None or held is not None else None
+            if table is None or not table.num_rows:
+                continue
+            keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in group])
+            new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])
+            whole = table.num_rows if batch is None else int(np.flatnonzero(new)[-1])  # the last group may go on
+            held = table.slice(whole)
+            if whole < 2:
+                continue
+            table = table.slice(0, whole)
+            bits = np.stack([table.column(x).to_numpy() for x in names], axis=1).view(np.uint64)
+            u, v, differ = bucket_links(np.cumsum(new[:whole]), table.column("side").to_numpy(), bits, total)
+            if len(u):
+                ids, place = np.unique(table.column("rep").to_numpy(), return_inverse=True)
+                u, v = place[u], place[v]
+                kept = spanning_forest(len(ids), u, v, differ)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[np.minimum(u, v)[kept]]), pa.array(ids[np.maximum(u, v)[kept]]), pa.array(differ[kept])], names=["u", "v", "differ"])
+
+    return ordered.mapInArrow(compare, "u long, v long, differ long").distinct()
+
+
+def nearest_edges(edges: DataFrame, few: int = 4) -> DataFrame:
+    """u, v: for each node the edges with the fewest differing bits, few of them."""
+    both = edges.union(edges.select("v", "u", "differ"))
+    rank = F.row_number().over(Window.partitionBy("u").orderBy("differ", "v"))
+    near = both.withColumn("rank", rank).filter(F.col("rank") <= few)
+    return near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def groups(hashed: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
@@ -247,8 +386,8 @@ def shingle_sets(docs: DataFrame, ends: DataFrame, words: int, scratch: Scratch)
     """rep, shingles (sorted hashes of the distinct shingles) of the classes in ends (rep, doc_id, key)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.unique(shingle_hashes(unpack(x).decode(), words)) for x in batch.column("packed").to_pylist()]
+        for batch in few_rows(batches, "packed", PACKED_BYTES):
+            out = shingle_set_hashes(*text_bytes(pa.array([unpack(x) for x in batch.column("packed").to_pylist()], pa.binary())), words)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([set_key(x) for x in out], pa.binary()), pa.array([x.tobytes() for x in out], pa.binary())], names=["doc_id", "key", "shingles"])
 
     texts = packed_texts(docs).join(ends.select("doc_id").distinct(), "doc_id").groupBy("doc_id", "version").agg(F.min("packed").alias("packed"))
@@ -261,7 +400,7 @@ def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     both = edges.join(sets.select(F.col("rep").alias("u"), F.col("shingles").alias("u_set")), "u").join(sets.select(F.col("rep").alias("v"), F.col("shingles").alias("v_set")), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, "u_set"):
             keep = []
             for a, b in zip(batch.column("u_set").to_pylist(), batch.column("v_set").to_pylist(), strict=True):
                 a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -348,32 +487,34 @@ def unsettled_links(edges: DataFrame, links: DataFrame, sets: DataFrame, similar
     return _met(packed, pairs, ("reps", "parts", "sizes", "shingles")).mapInArrow(compare, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id: groups of texts linked by a Jaccard similarity of word shingles.
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """doc_id, version (xxhash64 of the text), component, component_id (the component's least doc_id): groups of
+    texts linked by a Jaccard similarity of word shingles, one row for each row of docs.
 
-    Texts with the same set of shingles are one class. Fingerprints of the sets in four lanes (256 bits) propose links: at this similarity their bits differ with a
-    probability p that follows from the angle between two sets. The radii lie 3.2 standard deviations above
-    the mean, so all but about one in a thousand links are proposed. Every link is then checked exactly: forests
-    of the proposals first, then, inside what proposals connect, all pairs that the confirmed links don't
-    connect. At radii this wide the index prunes little, and comparing grows with the square of the distinct
-    fingerprints.
+    Texts with the same set of shingles are one class. Fingerprints of the sets in four lanes (256 bits) propose
+    links: at this similarity a bit differs with a probability p that follows from the angle between two sets,
+    and the radius lies 3.2 standard deviations above the mean. That is too wide for the Gray-order index to
+    prune, so patterns of some of the bits, in several tables, say what is compared. Links are then checked
+    exactly: the nearest proposals first, then, inside what proposals connect, all pairs that the confirmed
+    links don't connect.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    cosine = 2 * similarity / (1 + similarity)
-    p = math.acos(cosine) / math.pi
-    radius, total = (math.ceil(n * p + 3.2 * math.sqrt(n * p * (1 - p))) for n in (64, 256))
-    hashed = scratch.table(set_fingerprints(docs, words, 4))
-    classes = hashed.groupBy("key", "fp", "more").agg(F.min("doc_id").alias("doc_id"))
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = math.ceil(64 * lanes * p + 3.2 * math.sqrt(64 * lanes * p * (1 - p)))
+    hashed = scratch.table(set_fingerprints(docs, words, lanes))
+    classes = hashed.groupBy("key").agg(F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()))
-    edges = scratch.table(closest_edges(classes.filter("doc_id is not null"), radius, total, scratch).distinct())
+    known = classes.filter("doc_id is not null")
+    edges = scratch.table(proposed_edges(known, plan_patterns(known.count(), p, lanes), total, lanes, scratch))
     ends = edges.select(F.col("u").alias("rep")).union(edges.select(F.col("v").alias("rep"))).distinct()
     sets = shingle_sets(docs, classes.select("rep", "doc_id", "key").join(ends, "rep"), words, scratch)
-    links = scratch.table(confirmed(edges, sets, similarity))
-    links = scratch.table(links.union(unsettled_links(edges, links, sets, similarity, scratch)))
+    links = scratch.table(confirmed(nearest_edges(edges), sets, similarity))
+    links = scratch.table(links.union(unsettled_links(edges.select("u", "v"), links, sets, similarity, scratch)))
     components = connected_components(links, scratch).withColumnRenamed("node", "rep")
     labelled = scratch.table(classes.join(components, "rep", "left").select("key", "doc_id", F.coalesce("component", "rep").alias("component")))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return hashed.select("doc_id", "key").join(labelled.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+    labels = labelled.join(least, "component").select("key", "component", "component_id")
+    return hashed.select("doc_id", "version", "key").join(labels, "key").select("doc_id", "version", "component", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:

@@ -173,6 +173,37 @@ def test_similar_groups(spark):
     assert all(got[10 * k] == got[10 * k + 1] == 10 * k and got[10 * k + 2] == 10 * k + 2 for k in range(30))
 
 
+@pytest.mark.parametrize("dense", [0, 5, 10**6])
+def test_bucket_links_connect_what_all_pairs_connect(dense, monkeypatch):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, (12, 4)).astype(np.uint64)
+    lanes = base[rng.integers(0, 12, 200)] ^ (np.uint64(1) << rng.integers(0, 60, (200, 4)).astype(np.uint64))
+    group, side = np.sort(rng.integers(0, 9, 200)), rng.integers(1, 3, 200)
+    side[group < 5] = 0
+    u, v, differ = simhash.bucket_links(group, side, lanes, 7)
+    bits = np.bitwise_count(lanes[:, None] ^ lanes[None, :]).sum(2)
+    apart = (side[:, None] == 0) | (side[:, None] != side[None, :])
+    want = np.argwhere(np.triu((group[:, None] == group[None, :]) & apart & (bits <= 7), 1)).tolist()
+    assert (bits[u, v] == differ).all() and {tuple(sorted(x)) for x in zip(u.tolist(), v.tolist())} <= {tuple(x) for x in want}
+    assert components(range(200), list(zip(u.tolist(), v.tolist()))) == components(range(200), want) != {i: i for i in range(200)}
+
+
+def test_proposals_find_links_at_the_threshold(spark, monkeypatch):
+    """Recall over planted pairs at a similarity of 0.80 to 0.82, small blocks included."""
+    monkeypatch.setattr(simhash, "BLOCK", 40)
+    rng = random.Random(31)
+    new = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows = []
+    for k in range(1200):
+        w = new(220)
+        other = w[:196] + new(24)  # 192 of 240 shingles in common
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(other))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(1200)) >= 0.97 * 1200
+    assert all(c // 2 == d // 2 for d, c in got.items())
+
+
 @pytest.mark.parametrize("tile", [128, 6])
 def test_similar_groups_in_a_template(spark, tile, monkeypatch):
     """Texts that share a template hang together by proposals that fail the exact check; their real near copies are found."""
@@ -294,6 +325,22 @@ def test_mixing_targets(spark):
     assert all(abs(r.taken - r.target) <= 60 for r in by)
 
 
+def test_mixing_solves_the_dual(spark):
+    """Rates are exponential tilts cut at 3 that meet the targets; multipliers by bisection."""
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randint(0, 40), f"s{i % 3}") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = mixing.mix(docs, named=True).collect()
+    for source in ("s0", "s1", "s2"):
+        own = [r for r in found if r.src == source]
+        sizes, mean = np.array([r["size"] for r in own]), own[0].source_size / len(own)
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            lam = (low + high) / 2
+            low, high = (lam, high) if (sizes * np.minimum(3, np.exp(lam * sizes / mean))).sum() < own[0].target else (low, lam)
+        assert np.allclose([r.rate for r in own], np.minimum(3, np.exp(lam * sizes / mean)), atol=1e-4)
+
+
 def test_mixing_with_a_long_text(spark):
     """Half a very long text is more than any correction of single copies; the small texts take it up."""
     rng = random.Random(4)
