@@ -9,9 +9,8 @@ vocabulary, while every word's count in the whole training corpus enters its pro
 Counts: texts are packed into blocks of about BLOCK_BYTES. A block lists its distinct words once; these lists,
 not the tokens, are aggregated to corpus counts and joined back to their blocks. After that a block is a row
 of class numbers. Baum-Welch runs on those: every partition computes expected counts of starts, transitions
-and emissions over segments of SEGMENT moves (a segment inside a text starts at the last token of the one before,
-from the model's stationary states, so every move counts once), the counts are summed, and the driver only
-normalises bounded tables. Each of the ROUNDS rounds uses all training texts. Scoring is the scaled forward
+and emissions over whole texts (a text of more than SEGMENT moves in segments, whose forward and backward rows are
+handed on as products of their matrices), the counts are summed, and the driver only normalises bounded tables. Each of the ROUNDS rounds uses all training texts. Scoring is the scaled forward
 recursion over each whole text, so the likelihood is exact: all texts of a block advance together.
 
 score = log10 P(text) = log10 P(classes) + sum of log10 P(word | class).
@@ -36,7 +35,9 @@ from pyspark.sql import functions as F
 from sparkweave.llm.common import LOWER, Scratch, documents_rows, mixed, small_batches, text_bytes, word_hashes, word_spans
 
 BLOCK_BYTES = 8_000_000
-STATES, OWN, ENDINGS, SEGMENT = 8, 1500, 1024, 64
+STATES, OWN, ENDINGS, SEGMENT = 8, 1500, 1024, 1024
+#: Tokens whose forward and backward rows are held at a time.
+CHUNK_TOKENS = 250_000
 ROUNDS = 8
 #: Class numbers: the end, then endings, then words of their own.
 END, CLASSES = 0, 1 + ENDINGS + OWN
@@ -182,12 +183,6 @@ class Model:
         move, start = move + 1.0, start + 1.0
         return cls(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def stationary(self) -> np.ndarray:
-        x = np.full(STATES, 1 / STATES)
-        for _ in range(200):
-            x = x @ self.move
-        return x / x.sum()
-
 
 def forward(model: Model, classes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log likelihood of each sequence, by the scaled forward recursion over its whole length."""
@@ -208,10 +203,47 @@ def forward(model: Model, classes: np.ndarray, lengths: np.ndarray) -> np.ndarra
     return out
 
 
+def transfers(model: Model, classes: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What a segment makes of the forward row at its first token: a matrix each, up to a factor. Longest segments first."""
+    out = np.broadcast_to(np.eye(STATES), (len(at), STATES, STATES)).copy()
+    for t in range(1, size[0] if len(size) else 0):
+        n = np.searchsorted(-size, -t, "left")
+        out[:n] = (out[:n] @ model.move) * model.emit[classes[at[:n] + t]][:, None, :]
+        out[:n] /= out[:n].max((1, 2), keepdims=True)
+    return out
+
+
+def boundaries(model: Model, classes: np.ndarray, piece: np.ndarray, last: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward row at the first token and backward row at the last one of every segment, up to factors.
+
+    Segments of a text lie in order. Only texts of several segments need their matrices.
+    """
+    enter = model.start * model.emit[classes[at]]
+    leave = np.ones((len(at), STATES))
+    several = np.flatnonzero((piece > 0) | ~last)
+    order = several[np.argsort(-size[several], kind="stable")]
+    for low in range(0, len(order), 4096):
+        some = order[low : low + 4096]
+        if low == 0:
+            through = np.zeros((len(at), STATES, STATES)) if len(several) else None
+        through[some] = transfers(model, classes, at[some], size[some])
+    most = int(piece.max(initial=0))
+    for p in range(most):
+        i = np.flatnonzero((piece == p) & ~last)
+        row = (enter[i][:, None, :] @ through[i])[:, 0]
+        enter[i + 1] = row / row.sum(1, keepdims=True)
+    for p in range(most, 0, -1):
+        i = np.flatnonzero(piece == p)
+        column = (through[i] @ leave[i][:, :, None])[:, :, 0]
+        leave[i - 1] = column / column.max(1, keepdims=True)
+    return enter, leave
+
+
 def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Expected starts, transitions and emissions over segments of the chosen sequences, end to end in one array.
+    """Expected starts, transitions and emissions of the chosen sequences, end to end in one array.
 
-    A segment's first token is the last of the segment before, where its emission is counted.
+    Long sequences are dealt with in segments that hand the forward and backward rows on, so the counts are those
+    of whole sequences. A segment's first token is the last of the segment before, where its emission is counted.
     """
     begin = (np.cumsum(lengths) - lengths)[chosen]
     pieces = np.maximum(1, -(-(lengths[chosen] - 1) // SEGMENT))
@@ -219,15 +251,17 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, chos
     piece = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     at = begin[text] + piece * SEGMENT
     size = np.minimum(SEGMENT + 1, lengths[chosen][text] - piece * SEGMENT)
+    enter, leave = boundaries(model, classes, piece, piece == pieces[text] - 1, at, size)
     start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-    stationary = model.stationary()
     order = np.argsort(-size, kind="stable")
-    for low in range(0, len(order), 4096):
-        some = order[low : low + 4096]
+    chunk = np.cumsum(size[order]) // CHUNK_TOKENS
+    for some in np.split(order, np.flatnonzero(chunk[1:] != chunk[:-1]) + 1):
+        if not len(some):
+            continue
         place, long, opens = at[some], size[some], piece[some] == 0
         active = np.searchsorted(-long, -np.arange(1, long[0] + 1), "right").tolist()
         alphas, scales, emits, symbols = [], [], [], []
-        alpha = np.where(opens[:, None], model.start, stationary)
+        alpha = enter[some] / model.emit[classes[place]]
         for t, n in enumerate(active):
             symbols.append(classes[place[:n] + t])
             emits.append(model.emit[symbols[-1]])
@@ -235,16 +269,17 @@ def expected_counts(model: Model, classes: np.ndarray, lengths: np.ndarray, chos
             scales.append(alpha.sum(1, keepdims=True))
             alpha = alpha / scales[-1]
             alphas.append(alpha)
-        beta = np.ones((active[-1], STATES))
-        weights = []
+        beta, weights, m = np.zeros((0, STATES)), [], 0
         for t in range(len(active) - 1, -1, -1):
             n = active[t]
             if t + 1 < len(active):
-                m = active[t + 1]
                 right = emits[t + 1] * beta / scales[t + 1]
                 move += alphas[t][:m].T @ right
-                beta = np.concatenate([right @ model.move.T, np.ones((n - m, STATES))])
+                beta = right @ model.move.T
+            ending = leave[some[m:n]]
+            beta = np.concatenate([beta, ending / (alphas[t][m:] * ending).sum(1, keepdims=True)])
             weights.append(alphas[t] * beta)
+            m = n
         start += weights[-1][opens].sum(0)
         weights[-1] = weights[-1] * opens[:, None]
         symbol, weight = np.concatenate(symbols[::-1]), np.concatenate(weights)
