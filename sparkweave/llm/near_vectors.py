@@ -14,12 +14,14 @@ No pairs are written, however large a group of near copies is.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components, and those with a null
 label, link with nothing and are components of their own. Vectors of different lengths never link. Repeated
-rows link with each other. Repeated ids are rows of their own with a common component. An empty table gives
-an empty result. Only vec_id, embedding and label are read.
+rows link with each other. Repeated ids are rows of their own: each has its vector's links, and all have a
+common component. A row without an id counts as a link; it has its component's least id, null if there is none,
+and is never kept. An empty table gives an empty result. Only vec_id, embedding and label are read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -47,6 +49,7 @@ def plan_tables(classes: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISS) / math.log(1 - agree**bits))
 
 
+@functools.lru_cache(maxsize=4)
 def hyperplanes(bits: int, tables: int, dim: int) -> np.ndarray:
     return np.random.default_rng(dim).standard_normal((dim, tables * bits))
 
@@ -77,7 +80,7 @@ def _compare(x: np.ndarray, ids: np.ndarray, weight: np.ndarray, side: np.ndarra
     parent = ids
     if len(u):
         used, place = np.unique(np.concatenate([u, v]), return_inverse=True)
-        s = signatures(x[used], hyperplanes(bits, tables, x.shape[1]), bits)[:, :table]
+        s = signatures(x[used], hyperplanes(bits, tables, x.shape[1])[:, : table * bits], bits)
         for start in range(0, len(u), 100_000):
             p, q = place[: len(u)][start : start + 100_000], place[len(u) :][start : start + 100_000]
             new = ~(s[p] == s[q]).any(1)
@@ -117,7 +120,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     hashed = classes.select("class", "label", "dim", "vector").mapInArrow(hash_rows, f"class long, label {label_type}, dim int, buckets array<long>")
     key = ["label", "dim", "table", "bucket"]
     members = scratch.table(hashed.select("class", "label", "dim", F.posexplode("buckets").alias("table", "bucket")))
-    counts = members.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    counts = scratch.table(members.groupBy(*key).agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))  # a written side lets Spark split a hot bucket
     blocks = F.ceil(F.col("members") / BLOCK)
     placed = (
         members.join(counts, key)
@@ -128,7 +131,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = ["label", "dim", "table", "bucket", "first", "second"]
-    together = placed.join(classes.select("class", "rep", "n", "label", "dim", "vector"), "class").repartition(parts, *group).sortWithinPartitions(*group, "class")
+    together = placed.join(classes.select("class", "n", "label", "dim", "vector"), "class").repartition(parts, *group).sortWithinPartitions(*group, "class")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -143,7 +146,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
             if whole <= 0:
                 return
             table = table.slice(0, starts[whole]).combine_chunks()
-            ids, weight, block = (table.column(c).to_numpy() for c in ("rep", "n", "block"))
+            ids, weight, block = (table.column(c).to_numpy() for c in ("class", "n", "block"))
             dims = keys[1]
             values = table.column("vector").combine_chunks()
             values = (values.flatten() if not isinstance(values, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in values.chunks])).to_numpy(zero_copy_only=False)
@@ -159,7 +162,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 changed = (links > 0) | (parent != ids[s:e])
                 out_ids.append(ids[s:e][changed]), out_links.append(links[changed]), out_parents.append(parent[changed])
             if out_ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_ids, out_links, out_parents)], names=["rep", "links", "parent"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_ids, out_links, out_parents)], names=["class", "links", "parent"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -168,15 +171,19 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
         if held is not None:
             yield from groups(held, True)
 
-    columns = ["rep", "n", F.xxhash64("label").alias("code"), "dim", "table", "bucket", "first", "second", "block", "vector"]
-    found = scratch.table(together.select(*columns).mapInArrow(verify, "rep long, links long, parent long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(found.select(F.col("rep").alias("u"), F.col("parent").alias("v")), scratch)
-    per_class = scratch.table(
-        classes.join(links, "rep", "left")
-        .join(components.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    )
-    linked = good.join(per_class, ["label", "vector"]).select("vec_id", "n_links", "component_id")
-    alone = rows.filter("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    columns = ["class", "n", F.xxhash64("label").alias("code"), "dim", "table", "bucket", "first", "second", "block", "vector"]
+    found = scratch.table(together.select(*columns).mapInArrow(verify, "class long, links long, parent long"))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    of_row = scratch.table(good.join(classes.select("label", "vector", "class"), ["label", "vector"]).select("vec_id", "class"))
+    # Vectors that share an id have a common component, though no link.
+    shared = scratch.table(of_row.filter("vec_id is not null").groupBy("vec_id").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high"))
+    same_id = of_row.join(shared, "vec_id").select(F.col("class").alias("u"), F.col("low").alias("v"))
+    components = connected_components(found.select(F.col("class").alias("u"), F.col("parent").alias("v")).union(same_id), scratch)
+    per_class = classes.select("class", "rep", "n").join(links, "class", "left").join(components.withColumnRenamed("node", "class"), "class", "left")
+    per_class = scratch.table(per_class.select("class", "rep", F.coalesce("component", "class").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    least = per_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = of_row.join(per_class.join(least, "component").select("class", "n_links", "component_id"), "class").select("vec_id", "n_links", "component_id")
+    bare = rows.filter("vector is null").select("vec_id", F.lit(0).cast("long").alias("n_links"))
+    by_id = of_row.join(per_class.join(least, "component").select("class", "component_id"), "class").groupBy(F.col("vec_id").alias("id")).agg(F.min("component_id").alias("component_id"))
+    alone = bare.join(by_id, F.col("vec_id") == F.col("id"), "left").select("vec_id", "n_links", F.coalesce("component_id", "vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
