@@ -286,6 +286,42 @@ def test_expected_counts_cross_segments():
     assert total[moves:].reshape(hmm.CLASSES, hmm.STATES).sum(1) == pytest.approx(np.bincount(classes, minlength=hmm.CLASSES))
 
 
+def test_expected_counts_are_those_of_whole_sequences(monkeypatch):
+    """Against a plain forward-backward pass, with sequences cut into many segments; likelihood rises."""
+    monkeypatch.setattr(hmm, "SEGMENT", 7)
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 50)
+    rng = np.random.default_rng(5)
+    model = hmm.Model(rng.dirichlet(np.ones(hmm.STATES)), rng.dirichlet(np.ones(hmm.STATES) * 0.3, hmm.STATES), rng.dirichlet(np.ones(hmm.CLASSES), hmm.STATES).T)
+    lengths = np.array([1, 7, 8, 9, 15, 40, 2])
+    classes, chosen = rng.integers(0, 30, lengths.sum()).astype(np.int16), np.array([0, 1, 2, 3, 4, 5])
+    want, at = np.zeros(hmm.STATES + hmm.STATES**2 + hmm.CLASSES * hmm.STATES), 0
+    for n in lengths[:6]:
+        c = classes[at : at + n]
+        f, g = [model.start * model.emit[c[0]]], [np.ones(hmm.STATES)]
+        for x in c[1:]:
+            f.append(f[-1] @ model.move * model.emit[x])
+        for x in c[:0:-1]:
+            g.insert(0, model.move @ (model.emit[x] * g[0]))
+        p = f[-1].sum()
+        gamma = [a * b / p for a, b in zip(f, g)]
+        want[: hmm.STATES] += gamma[0]
+        for t in range(n - 1):
+            want[hmm.STATES : hmm.STATES + hmm.STATES**2] += (f[t][:, None] * model.move * (model.emit[c[t + 1]] * g[t + 1])[None, :] / p).ravel()
+        for x, w in zip(c, gamma):
+            want[hmm.STATES + hmm.STATES**2 + x * hmm.STATES :][: hmm.STATES] += w
+        at += n
+    assert np.allclose(hmm.expected_counts(model, classes, lengths, chosen), want)
+    shares, before = np.full(hmm.CLASSES, 1e-9), -np.inf
+    for _ in range(5):
+        now = hmm.forward(model, classes, lengths).sum()
+        assert now > before
+        total, before = hmm.expected_counts(model, classes, lengths, np.arange(7)), now
+        moves = hmm.STATES + hmm.STATES**2
+        emit = total[moves:].reshape(hmm.CLASSES, hmm.STATES) + shares[:, None]
+        move = total[hmm.STATES : moves].reshape(hmm.STATES, hmm.STATES)
+        model = hmm.Model(total[: hmm.STATES] / total[: hmm.STATES].sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+
+
 def test_every_round_reads_every_training_text(spark, monkeypatch):
     rng, one_round, rounds = random.Random(12), hmm.baum_welch, []
 
@@ -388,6 +424,29 @@ def test_near_vectors_in_blocks(spark, monkeypatch):
     assert [r.n_links for r in got] == want and {r.component_id for r in got} == {0}
 
 
+def test_near_vectors_of_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 0.0, 1.0]), (2, [1.0, 0.01, 0.0]), (3, [1.0, 0.0, 0.01]), (None, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.01]), (1, None), (4, [0.0, 1.0, 0.02])]
+    df = spark.createDataFrame([(a, b, 1) for a, b in rows], "vec_id long, embedding array<float>, label int")
+    got = near_vectors.near_vectors(df).collect()
+    text = lambda rows: sorted(map(str, rows))
+    want = [(1, 2, 1, True), (1, 0, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 2, 4, False), (None, 2, 4, False), (1, 0, 1, True), (4, 2, 4, True)]
+    assert text(tuple(r) for r in got) == text(want)
+
+
+def test_near_vectors_recall_at_the_threshold(spark):
+    rng = np.random.default_rng(12)
+    a = rng.standard_normal((3000, 32))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9301, 0.94, (3000, 1))
+    pairs = cosine * a + np.sqrt(1 - cosine**2) * b
+    rows = [(2 * i + k, [float(y) for y in x], 0) for i in range(3000) for k, x in enumerate((a[i], pairs[i]))]
+    got = {r.vec_id: r.component_id for r in near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)).collect()}
+    assert sum(got[2 * i + 1] == 2 * i for i in range(3000)) >= 0.998 * 3000
+
+
 def test_va_search(spark):
     df = vectors(spark)
     found = [(r.vec_id, [math.floor(256 * x) for x in r.embedding]) for r in df.collect() if r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding)]
