@@ -109,3 +109,14 @@ def binned_means(rows: DataFrame, by: list[str], x: str, y: str, width: int, las
     """Mean of y in bins (low, low + width] of x up to last; what lies beyond is counted as bin null."""
     bin_ = F.when(F.col(x) <= last, (F.ceil(F.col(x) / width) - 1) * width)
     return rows.groupBy(*by, bin_.alias("low")).agg(F.count(F.lit(1)).alias("n"), nanmean(F.col(y)).alias("mean"))
+
+
+def gain_histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """As histogram, in min(20, max(6, n // 5)) bins for the n values of a group."""
+    x = finite(F.col(value))
+    ends = rows.groupBy(*by).agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.least(F.lit(20), F.greatest(F.lit(6), F.floor(F.count(x) / 5))).cast("long").alias("bins"))
+    ends = ends.withColumn("width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / F.col("bins")).otherwise(1e-6))
+    placed = rows.join(ends, by).filter(x.isNotNull()).withColumn("bin", F.least(F.floor((x - F.col("lo")) / F.col("width")), F.col("bins") - 1))
+    counts = placed.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("count"))
+    grid = ends.select(*by, "lo", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("bin"))
+    return grid.join(counts, [*by, "bin"], "left").select(*by, "bin", (F.col("lo") + F.col("bin") * F.col("width")).alias("low"), F.coalesce("count", F.lit(0)).alias("count"))
