@@ -16,7 +16,8 @@ def seqs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def frags(spark: SparkSession, d: str) -> DataFrame:
-    return S.segment(seqs(spark, d), "trypsin", 0.3, 3, 42)
+    """Three replicas of all sequences, cut once."""
+    return Q.once(S.segment(seqs(spark, d), "trypsin", 0.3, 3, 42), "fragments")
 
 
 @query(
@@ -24,7 +25,7 @@ def frags(spark: SparkSession, d: str) -> DataFrame:
 )
 def entry_confirmed_edges(spark, d):
     s = seqs(spark, d)
-    edges = E.confirmed_edges(S.segment(s, "trypsin", 0.3, 3, 42)).join(s.select("seq_id", "grp"), "seq_id")
+    edges = E.confirmed_edges(frags(spark, d)).join(s.select("seq_id", "grp"), "seq_id")
     return edges.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("seq_id").alias("n_seqs"), F.sum(F.col("i") * 31 + F.col("j")).alias("checksum"))
 
 
@@ -126,7 +127,8 @@ def sg12_assemble_records(spark, d):
 
 # Edges
 
-PAIRS = EDGES + ", pairs AS (SELECT a.seq_id, a.idx AS i, b.idx AS j, a.fragment AS a, b.fragment AS b FROM prim a JOIN prim b ON a.seq_id = b.seq_id AND a.idx <> b.idx)"
+_PAIRS = ", pairs AS (SELECT a.seq_id, a.idx AS i, b.idx AS j, a.fragment AS a, b.fragment AS b FROM prim a JOIN prim b ON a.seq_id = b.seq_id AND a.idx <> b.idx)"
+PAIRS, UNPROVED_PAIRS = EDGES + _PAIRS, FRAGS + _PAIRS
 
 
 @query(f"WITH {EDGES} SELECT seq_id, i, j FROM edges")
@@ -209,7 +211,7 @@ def j9_filter_recall(spark, d):
     return E.filter_recall(S.primary(frags(spark, d)))
 
 
-@query(f"WITH {PAIRS} SELECT seq_id, i, j FROM pairs WHERE {IMPOSSIBLE.format('a', 'b')}")
+@query(f"WITH {UNPROVED_PAIRS} SELECT seq_id, i, j FROM pairs WHERE {IMPOSSIBLE.format('a', 'b')}")
 def pf5_impossible_pairs(spark, d):
     return E.ordered_pairs(S.primary(frags(spark, d))).filter(E.impossible(F.col("a"), F.col("b"))).select("seq_id", "i", "j")
 

@@ -11,6 +11,7 @@ from sparkweave.operators import segment as S
 from sparkweave.queries.base import FRAGS, query
 from sparkweave.queries.fragments import ORDERED, frags, seqs, shuffled_order
 from sparkweave.queries.searches import SCORED, scored
+from sparkweave.sources import sequences as Q
 from sparkweave.sources.sequences import table
 
 R6 = "round({} + 1e-10::DOUBLE, 6)"
@@ -22,9 +23,10 @@ made AS MATERIALIZED (SELECT seq_id, string_agg(fragment, '' ORDER BY place) AS
 
 
 def orders(spark, d):
-    s = seqs(spark, d)
-    prim = S.primary(S.segment(s, "trypsin", 0.3, 3, 42))
-    predicted = M.with_text(shuffled_order(prim), prim).select("seq_id", "place", "fragment")
+    """Sequences, primary fragments, the seeded and the true order with fragments, and what the seeded one makes."""
+    s = Q.once(seqs(spark, d), "sequences")
+    prim = S.primary(Q.once(S.segment(s, "trypsin", 0.3, 3, 42), "fragments"))
+    predicted = Q.once(M.with_text(shuffled_order(prim), prim).select("seq_id", "place", "fragment"), "order")
     true = prim.select("seq_id", F.col("idx").alias("place"), "fragment")
     made = predicted.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "fragment"))), lambda x: x["fragment"]), "").alias("reconstruction"))
     return s, prim, predicted, true, made
@@ -167,7 +169,8 @@ def samples(spark, d):
     s, prim, predicted, true, made = orders(spark, d)
     a = M.compute_all(s.select("seq_id", "seq"), predicted, true, made)
     starts = shuffled_order(prim).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), (F.min_by("idx", "place") == 0).alias("start_ok"))
-    return a.join(starts, "seq_id").join(s.select("seq_id", "grp"), "seq_id").select("seq_id", "grp", F.col("exact_match").alias("em"), *(settle(c).alias(c) for c in ("apa", "lcr", "tau")), "n", "start_ok")
+    rows = a.join(starts, "seq_id").join(s.select("seq_id", "grp"), "seq_id").select("seq_id", "grp", F.col("exact_match").alias("em"), *(settle(c).alias(c) for c in ("apa", "lcr", "tau")), "n", "start_ok")
+    return Q.once(rows, "samples")
 
 
 @query(f"WITH {SAMPLE} SELECT seq_id, {R6.format('CASE WHEN n >= 2 THEN (n - 1) * (1 - apa) END')} AS breakpoints, {R6.format('CASE WHEN n >= 2 THEN 1 - apa END')} AS normalised FROM sample")

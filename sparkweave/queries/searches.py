@@ -10,7 +10,8 @@ from sparkweave.operators import scoring as C
 from sparkweave.operators import search as O
 from sparkweave.operators import segment as S
 from sparkweave.queries.base import DRAW, IMPOSSIBLE, query
-from sparkweave.queries.fragments import ORDERED, PAIRS, frags, seqs, shuffled_order
+from sparkweave.queries.fragments import ORDERED, PAIRS, UNPROVED_PAIRS, frags, seqs, shuffled_order
+from sparkweave.sources import sequences as Q
 
 MODEL = """,
 places AS (SELECT seq, unnest(range(2, length(seq))) AS p FROM seqs),
@@ -31,9 +32,8 @@ FULL = SCORED + f""", flagged AS MATERIALIZED (SELECT s.seq_id, s.i, s.j, CASE W
 
 
 def scored(spark, d, window: int = 3):
-    s = seqs(spark, d)
-    pairs = E.ordered_pairs(S.primary(S.segment(s, "trypsin", 0.3, 3, 42)))
-    return C.score_pairs(C.junction_targets(pairs, window), C.residue_model(s))
+    pairs = E.ordered_pairs(S.primary(frags(spark, d)))
+    return C.score_pairs(C.junction_targets(pairs, window), C.residue_model(seqs(spark, d)))
 
 
 def flagged(spark, d):
@@ -41,10 +41,11 @@ def flagged(spark, d):
     f = frags(spark, d)
     pairs = E.ordered_pairs(S.primary(f))
     marks = pairs.select("seq_id", "i", "j", E.impossible(F.col("a"), F.col("b")).alias("impossible"))
-    return E.apply_confirmed(scored(spark, d), E.confirmed_edges(f)).join(marks, ["seq_id", "i", "j"]), S.primary(f)
+    rows = E.apply_confirmed(scored(spark, d), E.confirmed_edges(f)).join(marks, ["seq_id", "i", "j"])
+    return Q.once(rows, "scores"), S.primary(f)
 
 
-@query(f"WITH {PAIRS}, t AS (SELECT *, unnest(range(0, least(3, length(b)))) AS p FROM pairs) SELECT seq_id, i, j, p::INTEGER AS p, a || substr(b, 1, p) AS \"left\", substr(b, p + 2) AS \"right\", substr(b, p + 1, 1) AS target FROM t")
+@query(f"WITH {UNPROVED_PAIRS}, t AS (SELECT *, unnest(range(0, least(3, length(b)))) AS p FROM pairs) SELECT seq_id, i, j, p::INTEGER AS p, a || substr(b, 1, p) AS \"left\", substr(b, p + 2) AS \"right\", substr(b, p + 1, 1) AS target FROM t")
 def sc1_junction_targets(spark, d):
     return C.junction_targets(E.ordered_pairs(S.primary(frags(spark, d))), 3)
 

@@ -20,11 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors see; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sparkweave-")
+    """A new folder under spark.checkpoint.dir, which all executors see. In local mode one is made where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="sparkweave-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what several branches of a plan use is computed once."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def sequences(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """seq_id, doc_id, grp, seq: the letters, upper-cased, of each run of words of a text. A map over the scan.
 
