@@ -8,9 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweave.functions.rounding import settle
+
 from sparkweave.operators.segment import draw
 
 
+#: Degrees of freedom up to which Student's series is summed.
+MANY_DEGREES = 100_000
+
+
 def finite(x: Column) -> Column:
     """x where it is a finite number, else null."""
     return F.when(x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")), x.cast("double"))
@@ -68,14 +74,6 @@ def mcnemar_exact(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return counts.withColumn("p", F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail)))
 
 
-def average_ranks(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Adds the rank of value within by, equal values sharing their mean rank, and the size of the tie."""
-    order = Window.partitionBy(*by).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    tie = F.count(F.lit(1)).over(same)
-    return rows.withColumn(name, F.rank().over(order) + (tie - 1) / 2).withColumn(f"{name}_tie", tie)
-
-
 def wilcoxon_exact_p(w: Column, n: Column) -> Column:
     """Two-sided p of the smaller rank sum w of n untied differences, by counting subsets of ranks with each sum."""
     total = (n * (n + 1) / 2).cast("int")
@@ -124,12 +122,15 @@ def student_t_two_sided(t: Column, df: Column) -> Column:
     theta = F.atan(F.abs(t) / F.sqrt(df))
     c2 = F.pow(F.cos(theta), 2)
     odd = df % 2 == 1
-    count = F.floor((df - F.when(odd, 3).otherwise(2)) / 2).cast("int")
+    count = F.when(df <= MANY_DEGREES, F.floor((df - F.when(odd, 3).otherwise(2)) / 2)).otherwise(0).cast("int")
     step = lambda s, k: F.struct((s["term"] * c2 * F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))).alias("term"), (s["sum"] + s["term"] * c2 * F.when(odd, 2.0 * k / (2.0 * k + 1)).otherwise((2.0 * k - 1) / (2.0 * k))).alias("sum"))
     first = F.when(odd, F.cos(theta)).otherwise(F.lit(1.0))
     series = F.aggregate(F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")), F.struct(first.alias("term"), first.alias("sum")), step)["sum"]
     inside = F.when(df == 1, 2 * theta / 3.141592653589793).when(odd, 2 / F.lit(3.141592653589793) * (theta + F.sin(theta) * series)).otherwise(F.sin(theta) * series)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - inside))
+    exact = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - inside))
+    # With very many degrees the series is long; the corrected normal approximation is then within 1e-10.
+    z = F.abs(t) * (1 - 1 / (4 * df)) / F.sqrt(1 + t * t / (2 * df))
+    return F.when(df > MANY_DEGREES, 2 * (1 - normal_cdf(z))).otherwise(exact)
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
@@ -212,3 +213,13 @@ def bca_bootstrap(rows: DataFrame, by: list[str], idx: str, value: str, resample
     method = F.when(F.col("n") < 2, "bca (insufficient n)").when(F.col("least") == F.col("most"), "bca (degenerate: constant sample)").when(~ok, "percentile (BCa z0 undefined)").when(lo.isNull() | hi.isNull(), "percentile (BCa acceleration unstable)").otherwise("bca")
     end = lambda q, p: F.when(F.col("n") < 2, float("nan")).when(F.col("least") == F.col("most"), F.col("point")).when(ok & lo.isNotNull() & hi.isNotNull(), quantile(q)).otherwise(quantile(F.lit(p)))
     return out.select(*by, "n", "point", end(lo, alpha / 2).alias("low"), end(hi, 1 - alpha / 2).alias("high"), method.alias("method"))
+
+
+def compare_arms(pairs: DataFrame, family: list[str], binary: list[str], alpha: float = 0.05) -> DataFrame:
+    """pairs: family, comparison, metric, a, b. A test for each comparison and metric: McNemar for binary metrics,
+    Wilcoxon for the others; p, p_holm over the family, and reject."""
+    key = [*family, "comparison", "metric"]
+    of = F.col("metric").isin(*binary)
+    exact = mcnemar_exact(pairs.filter(of), "a", "b", key).select(*key, F.lit("mcnemar").alias("test"), (F.col("n10") + F.col("n01")).alias("n"), "p")
+    ranked = wilcoxon_signed_rank(pairs.filter(~of), "a", "b", key).select(*key, F.lit("wilcoxon").alias("test"), F.col("n_nonzero").alias("n"), "p")
+    return holm(exact.unionByName(ranked).withColumn("p", settle("p")), "p", family).withColumn("reject", F.col("p_holm") <= alpha)

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sparkweave.functions import stats as T
 from sparkweave.functions.rounding import settle
 from sparkweave.operators import reports as A
 from sparkweave.operators.search import combo_overrides
 from sparkweave.queries.base import query
 from sparkweave.queries.report_queries import ARMS, BIN_GRID, LONG, R6, arms, long
+from sparkweave.queries.stat_queries import HOLM, RAW_W, phi
 from sparkweave.sources import runs as R
 from sparkweave.sources.sequences import shared_folder, table
 
@@ -163,3 +165,34 @@ def a38_arm_pair_means(spark, d):
     """The control arm's and the selected arm's mean for each group."""
     means = arms(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), A.nanmean(F.col("control")).alias("c"), A.nanmean(F.col("selected")).alias("s"))
     return means.select("grp", "n", settle("c").alias("control"), settle("s").alias("selected"), settle(F.col("s") - F.col("c")).alias("difference"))
+
+
+COMPARISONS = [("selected_vs_control", "selected", "control"), ("selected_vs_baseline", "selected", "baseline"), ("ceiling_vs_selected", "ceiling", "selected")]
+TESTS = f"""{ARMS}, pairs AS MATERIALIZED ({' UNION ALL '.join(f"SELECT run, '{name}' AS comparison, {a} AS a, {b} AS b FROM arms WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for name, a, b in COMPARISONS)}),
+keyed AS (SELECT run || '/' || comparison AS k, a, b FROM pairs), {RAW_W.format(by='k', a='a', b='b', source='keyed')},
+mc AS (SELECT run || '/' || comparison AS k, count(*) FILTER ((a >= 0.5) <> (b >= 0.5)) AS n, least(count(*) FILTER (a >= 0.5 AND b < 0.5), count(*) FILTER (a < 0.5 AND b >= 0.5)) AS m FROM pairs GROUP BY ALL),
+tests AS (SELECT k, 'exact' AS metric, 'mcnemar' AS test, n, CASE WHEN n = 0 THEN 1.0::DOUBLE ELSE {R6.format('least(1, 2 * list_sum(list_transform(range(0, m + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))))')} END AS p FROM mc
+UNION ALL SELECT k, 'value', 'wilcoxon', n_nonzero, {R6.format('least(1, 2 * (1 - (' + phi('z') + ')))')} FROM z),
+q AS (SELECT split_part(k, '/', 1) AS run, split_part(k, '/', 2) AS comparison, metric, test, n, p FROM tests), {HOLM.format(f='run', src='q')}"""
+
+
+def compared(spark, d):
+    rows = arms(spark, d)
+    pairs = [rows.select("run", F.lit(name).alias("comparison"), F.col(a).alias("a"), F.col(b).alias("b")) for name, a, b in COMPARISONS]
+    every = pairs[0].union(pairs[1]).union(pairs[2]).filter("a is not null and b is not null")
+    met = lambda c: (F.col(c) >= 0.5).cast("double").alias(c)
+    metrics = every.select("run", "comparison", F.lit("value").alias("metric"), "a", "b").union(every.select("run", "comparison", F.lit("exact").alias("metric"), met("a"), met("b")))
+    return T.compare_arms(metrics, ["run"], ["exact"])
+
+
+@query(f"WITH {TESTS} SELECT run, comparison, metric, test, n, p, {R6.format('p_holm')} AS p_holm, p_holm <= 0.05 AS reject FROM h")
+def a20_tests_rows(spark, d):
+    """Every run, comparison and metric with its test, Holm over a run."""
+    return compared(spark, d).select("run", "comparison", "metric", "test", "n", "p", settle("p_holm").alias("p_holm"), "reject")
+
+
+@query(f"WITH {TESTS} SELECT comparison, metric, count(*) AS runs, count(*) FILTER (p_holm <= 0.05) AS rejected, {R6.format('min(p_holm)')} AS least_p FROM h GROUP BY ALL")
+def t17_significance_records(spark, d):
+    """How many runs each comparison and metric is significant in."""
+    found = compared(spark, d).groupBy("comparison", "metric")
+    return found.agg(F.count(F.lit(1)).alias("runs"), F.count(F.when(F.col("reject"), 1)).alias("rejected"), settle(F.min("p_holm")).alias("least_p"))

@@ -85,7 +85,7 @@ def t10_student_t(spark, d):
     return t.select("df", settle("raw").alias("t"), settle(T.student_t_two_sided(F.col("raw"), F.col("df"))).alias("p"))
 
 
-HOLM = "hm AS (SELECT *, count(p) OVER (PARTITION BY {f}) AS m, row_number() OVER (PARTITION BY {f} ORDER BY p) AS k FROM {src}), h AS (SELECT *, least(1, max((m - k + 1) * p) OVER (PARTITION BY {f} ORDER BY p ROWS UNBOUNDED PRECEDING)) AS p_holm FROM hm)"
+HOLM = "hm AS (SELECT *, count(p) OVER (PARTITION BY {f}) AS m, row_number() OVER (PARTITION BY {f} ORDER BY p) AS place FROM {src}), h AS (SELECT *, least(1, max((m - place + 1) * p) OVER (PARTITION BY {f} ORDER BY p ROWS UNBOUNDED PRECEDING)) AS p_holm FROM hm)"
 
 
 @query(f"WITH q AS (SELECT s_nationkey AS family, s_suppkey AS id, round(abs(s_acctbal) / 200000, 6) AS p FROM supplier), {HOLM.format(f='family', src='q')} SELECT family, id, p, {R6.format('p_holm')} AS p_holm FROM h")
@@ -179,9 +179,15 @@ def t5_bca_paired_delta(spark, d):
     return b.select("n_regionkey", "n", settle("point").alias("point"), settle("low").alias("low"), settle("high").alias("high"), "method")
 
 
+#: Student's two-sided p of t >= 0 with df degrees, th being atan(t / sqrt(df)).
+T_P = "1 - CASE WHEN df = 1 THEN 2 * th / pi() WHEN df % 2 = 1 THEN 2 / pi() * (th + sin(th) * list_sum(list_transform(range(0, (df - 3) // 2 + 1), lambda k: pow(cos(th), 2 * k + 1) * exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2))))) ELSE sin(th) * list_sum(list_transform(range(0, (df - 2) // 2 + 1), lambda k: pow(cos(th), 2 * k) * exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1)))) END"
+
+
 @query(f"""WITH s AS (SELECT l_returnflag, unnest(['quantity', 'price', 'discount']) AS predictor, unnest([l_quantity, l_extendedprice, l_discount]) AS x, l_tax AS y FROM lineitem), t AS (SELECT l_returnflag || '/' || predictor AS k, x, y FROM s),
-{RANKS.format(by='k', x='x', y='y', source='t')} SELECT k, count(*) AS n, {R6.format('corr(rx, ry)')} AS rho FROM rk GROUP BY k""")
+{RANKS.format(by='k', x='x', y='y', source='t')}, c AS (SELECT k, count(*) AS n, corr(rx, ry) AS r FROM rk GROUP BY k), u AS (SELECT k, n, r, n - 2 AS df, atan(abs(r) / sqrt(1 - r * r)) AS th FROM c),
+q AS (SELECT 'all' AS family, k, n, {R6.format('r')} AS rho, {R6.format(T_P)} AS p FROM u), {HOLM.format(f='family', src='q')} SELECT k, n, rho, p, {R6.format('p_holm')} AS p_holm FROM h""")
 def t16_correlation_sweep(spark, d):
     rows = table(spark, d, "lineitem").select("l_returnflag", F.expr("stack(3, 'quantity', l_quantity, 'price', l_extendedprice, 'discount', l_discount) as (predictor, x)"), F.col("l_tax").alias("y"))
     rows = rows.withColumn("k", F.concat_ws("/", "l_returnflag", "predictor"))
-    return T.spearman(rows, "x", "y", ["k"]).select("k", "n", settle("rho").alias("rho"))
+    found = T.spearman(rows, "x", "y", ["k"]).select("k", F.lit("all").alias("family"), "n", settle("rho").alias("rho"), settle("p").alias("p"))
+    return T.holm(found, "p", ["family"]).select("k", "n", "rho", "p", settle("p_holm").alias("p_holm"))

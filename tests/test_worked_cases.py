@@ -1,6 +1,7 @@
 """Worked cases and invariants of the operators outside the llm subpackage."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from sparkweave.operators import metrics as M
 from sparkweave.operators import reports as A
 from sparkweave.operators import search as O
 from sparkweave.operators import segment as S
+from sparkweave.sources import runs as R
 from sparkweave.sources import sequences as Q
 
 
@@ -18,21 +20,31 @@ def prim(spark, pieces):
     return spark.createDataFrame([(1, "x", i, p) for i, p in enumerate(pieces)], "seq_id long, grp string, idx int, fragment string")
 
 
-def test_true_order_and_ranking(spark):
-    pieces = ["MAK", "LVR", "PPK", "GG"]
-    p = prim(spark, pieces)
-    target = spark.createDataFrame([(1, "".join(pieces))], "seq_id long, seq string")
-    assert M.recover_true_order(target, p).first().path == [0, 1, 2, 3]
-    scores = spark.createDataFrame([(1, i, j, 1.0 if j == i + 1 else 0.1) for i in range(4) for j in range(4) if i != j], "seq_id long, i int, j int, score double")
-    true = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3)], "seq_id long, i int, j int")
-    r = M.junction_ranking(scores, true).first()
-    assert (r.top1, r.mrr, r.junctions) == (1.0, 1.0, 3)
-    assert M.junction_ranking(scores, true, true.filter("i = 0")).first().junctions == 2
-
-
-def test_untileable_target(spark):
-    target = spark.createDataFrame([(1, "MAKLVR")], "seq_id long, seq string")
-    assert M.recover_true_order(target, prim(spark, ["QQQ", "ZZZ"])).first().path is None
+def test_true_order_is_the_order_of_cutting(spark):
+    """Fragments of a text, given in any numbering, are found in the order in which they were cut."""
+    rng = random.Random(17)
+    for _ in range(5):
+        pieces = ["".join(rng.choice("ABCDEFGH") for _ in range(3 + k)) for k in range(5)]
+        numbered = pieces[:]
+        rng.shuffle(numbered)
+        found = M.recover_true_order(spark.createDataFrame([(1, "".join(pieces))], "seq_id long, seq string"), prim(spark, numbered)).first().path
+        assert [numbered[i] for i in found] == pieces
+    longer = spark.createDataFrame([(1, "".join(pieces) + "Z")], "seq_id long, seq string")
+    assert M.recover_true_order(longer, prim(spark, numbered)).first().path is None
+
+
+def test_junction_ranks_against_brute_force(spark):
+    rng = random.Random(18)
+    n = 6
+    scores = {(i, j): rng.random() for i in range(n) for j in range(n) if i != j}
+    true = [(i, i + 1) for i in range(n - 1)]
+    ranks = [1 + sum(scores[i, k] > scores[i, j] for k in range(n) if k not in (i, j)) for i, j in true]
+    rows = spark.createDataFrame([(1, i, j, s) for (i, j), s in scores.items()], "seq_id long, i int, j int, score double")
+    edges = spark.createDataFrame([(1, i, j) for i, j in true], "seq_id long, i int, j int")
+    r = M.junction_ranking(rows, edges).first()
+    assert (r.junctions, r.top1) == (n - 1, sum(k == 1 for k in ranks) / (n - 1))
+    assert r.mrr == pytest.approx(sum(1 / k for k in ranks) / (n - 1))
+    assert M.junction_ranking(rows, edges, edges.filter("i < 2")).first().junctions == n - 3
 
 
 def test_filter_recall_counts_match_pairs(spark):
@@ -118,3 +130,13 @@ def test_grid_needs_values(spark):
     assert O.lever_grid(spark, {"a": [1, 2], "b": [3]}).count() == 2
     with pytest.raises(ValueError):
         O.lever_grid(spark, {"a": []})
+
+
+def test_sample_records_with_gaps(spark):
+    """Records without fragments, order, iterations or control give a row with nulls, never an error."""
+    rows = [(1, "g", "ABC", ["A", "BC"], [0, 1], ("ABD", None), [(1, 0.1, 0.2), (2, 0.3, 0.2)]), (2, None, "AB", None, None, None, None), (3, "g", "AB", ["A", "B"], [0, 0], (None, 0.25), [])]
+    samples = spark.createDataFrame(rows, R.SAMPLE_RECORD).withColumn("run", F.lit("r"))
+    flat = {r["sample"]: r for r in R.sample_rows(samples).collect()}
+    assert (flat[1].exact, flat[1].best_iteration, flat[1].gain) == (1.0, 1, 0.0) and flat[2].best_validity is None and len(flat) == 3
+    filled = {r["sample"]: (r.control_similarity, r.random_similarity) for r in R.backfill_edit_similarity(samples).collect()}
+    assert filled[1] == (pytest.approx(2 / 3), 1.0) and filled[2] == (None, None) and filled[3] == (0.25, None)
