@@ -38,7 +38,7 @@ BLOCK_BYTES = 8_000_000
 STATES, OWN, ENDINGS, SEGMENT = 8, 1500, 1024, 1024
 #: Tokens whose forward and backward rows are held at a time.
 CHUNK_TOKENS = 250_000
-ROUNDS = 8
+ROUNDS = 5
 #: Class numbers: the end, then endings, then words of their own.
 END, CLASSES = 0, 1 + ENDINGS + OWN
 
@@ -208,9 +208,10 @@ def transfers(model: Model, classes: np.ndarray, at: np.ndarray, size: np.ndarra
     out = np.broadcast_to(np.eye(STATES), (len(at), STATES, STATES)).copy()
     for t in range(1, size[0] if len(size) else 0):
         n = np.searchsorted(-size, -t, "left")
-        out[:n] = (out[:n] @ model.move) * model.emit[classes[at[:n] + t]][:, None, :]
-        out[:n] /= out[:n].max((1, 2), keepdims=True)
-    return out
+        out[:n] = (out[:n].reshape(-1, STATES) @ model.move).reshape(n, STATES, STATES) * model.emit[classes[at[:n] + t]][:, None, :]
+        if t % 16 == 0:
+            out[:n] /= out[:n].max((1, 2), keepdims=True)
+    return out / out.max((1, 2), keepdims=True)
 
 
 def boundaries(model: Model, classes: np.ndarray, piece: np.ndarray, last: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -337,7 +337,7 @@ def test_every_round_reads_every_training_text(spark, monkeypatch):
     monkeypatch.setattr(hmm, "baum_welch", watched)
     rows = [(i, " ".join(rng.choice(("la", "de", "ein", "und", "the")) for _ in range(rng.randint(1, 9)))) for i in range(5000)]
     assert hmm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).count() == len(rows)
-    assert len(rounds) == 8 and all(rounds)
+    assert len(rounds) == hmm.ROUNDS and all(rounds)
 
 
 def test_mixing(docs):
