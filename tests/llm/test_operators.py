@@ -507,3 +507,23 @@ def test_pipeline_stages(spark, docs, tmp_path):
             before = spark.read.parquet(f"{tmp_path}/{name.replace(' ', '-')}")
         else:
             assert after.count() == before.count()
+
+
+def test_pipeline_stages_on_edge_cases(spark, docs, empty, tmp_path):
+    """Without labels nothing goes as toxic; near-dedup equals brute force, rows of one id told apart; empty tables stay empty."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == docs.count()
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    sets = []
+    for _, text in rows:
+        w = lowered(text).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = components(range(len(rows)), links)
+    best = {}
+    for i, row in enumerate(rows):
+        best.setdefault(label[i], []).append(row)
+    kept = [(r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert sorted(d for d, _ in kept) == sorted(min(d for d, _ in group) for group in best.values()) and set(kept) <= set(rows)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
