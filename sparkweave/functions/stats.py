@@ -215,6 +215,17 @@ def bca_bootstrap(rows: DataFrame, by: list[str], idx: str, value: str, resample
     return out.select(*by, "n", "point", end(lo, alpha / 2).alias("low"), end(hi, 1 - alpha / 2).alias("high"), method.alias("method"))
 
 
+def metric_interval(rows: DataFrame, by: list[str], idx: str, value: str, binary: list[str], resamples: int = 1000, seed: int = 42) -> DataFrame:
+    """rows: by, metric, idx, value. by, metric, n, point, low, high, method: the score interval for binary metrics
+    (values 0 and 1), the bootstrap's for the others. idx numbers a group's values of a metric from 0."""
+    key = [*by, "metric"]
+    of = F.col("metric").isin(*binary)
+    counts = rows.filter(of).groupBy(*key).agg(F.count(value).alias("n"), F.sum(value).alias("k"), F.avg(value).alias("point"))
+    low, high = wilson_interval(F.col("k"), F.col("n"))
+    shares = counts.select(*key, "n", "point", low.alias("low"), high.alias("high"), F.lit("wilson").alias("method"))
+    return shares.unionByName(bca_bootstrap(rows.filter(~of), key, idx, value, resamples, seed))
+
+
 def compare_arms(pairs: DataFrame, family: list[str], binary: list[str], alpha: float = 0.05) -> DataFrame:
     """pairs: family, comparison, metric, a, b. A test for each comparison and metric: McNemar for binary metrics,
     Wilcoxon for the others; p, p_holm over the family, and reject."""

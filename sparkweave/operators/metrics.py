@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkweave.operators import edges as E
+
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -118,6 +120,23 @@ def junction_ranking(scores: DataFrame, true_pairs: DataFrame, skip: DataFrame |
     )
 
 
+def sample_diagnostics(targets: DataFrame, prim: DataFrame, scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row for each of targets (seq_id, seq), whatever fails: fragments, recovered (whether they tile the target),
+    ranks of the true neighbours that edges don't confirm, how many it confirms (excluded), and what cleavage rules prune.
+
+    Ranks are null without a true order or without an unconfirmed neighbour; fragments is 0 where there are none.
+    """
+    paths = recover_true_order(targets, prim).filter("path is not null")
+    order = paths.select("seq_id", F.posexplode("path").alias("place", "idx"))
+    true = E.consecutive(order).select("seq_id", "i", "j")
+    excluded = true.join(edges, ["seq_id", "i", "j"], "left_semi").groupBy("seq_id").agg(F.count(F.lit(1)).alias("excluded"))
+    pruned = E.filter_recall(prim).select("seq_id", F.col("n").alias("fragments"), "recall", "pruned_total")
+    out = targets.select("seq_id").join(pruned, "seq_id", "left").join(paths.select("seq_id", F.lit(True).alias("recovered")), "seq_id", "left")
+    out = out.join(junction_ranking(scores, true, edges), "seq_id", "left").join(excluded, "seq_id", "left")
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("seq_id", whole("fragments"), F.coalesce("recovered", F.lit(False)).alias("recovered"), "top1", "top3", "mrr", whole("junctions"), whole("excluded"), "recall", "pruned_total")
+
+
 def rank_concordance(candidates: DataFrame) -> DataFrame:
     """candidates: sample, validity, quality. Share of comparable pairs in a sample where the lower validity has the higher quality.
 

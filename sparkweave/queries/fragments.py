@@ -200,10 +200,11 @@ def j8_unconfirmed_junctions(spark, d):
     return E.unconfirmed_junctions(shuffled_order(S.primary(f)), E.confirmed_edges(f))
 
 
-RECALL = PAIRS + f""", tj AS (SELECT seq_id, idx, fragment, lead(fragment) OVER (PARTITION BY seq_id ORDER BY idx) AS nxt FROM prim),
+PRUNED = f""", tj AS (SELECT seq_id, idx, fragment, lead(fragment) OVER (PARTITION BY seq_id ORDER BY idx) AS nxt FROM prim),
 t AS (SELECT seq_id, count(*) AS n, count(nxt) AS true_junctions, count(*) FILTER (nxt IS NOT NULL AND {IMPOSSIBLE.format("fragment", "nxt")}) AS pruned_true FROM tj GROUP BY seq_id),
 p AS (SELECT seq_id, count(*) AS pruned_total FROM pairs WHERE {IMPOSSIBLE.format("a", "b")} GROUP BY seq_id),
 recall AS (SELECT seq_id, n, true_junctions, pruned_true, CASE WHEN true_junctions > 0 THEN 1 - pruned_true / true_junctions::DOUBLE END AS recall, coalesce(pruned_total, 0) AS pruned_total FROM t LEFT JOIN p USING (seq_id))"""
+RECALL = PAIRS + PRUNED
 
 
 @query(f"WITH {RECALL} SELECT * FROM recall")

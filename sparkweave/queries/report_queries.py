@@ -94,10 +94,10 @@ def a7_taxonomy_counts(spark, d):
     return A.counts_with_zeros(s, ["grp"], "kind", KINDS).select("grp", "kind", "count", settle("share").alias("share"))
 
 
-@query(f"WITH {SAMPLE} SELECT grp, count(*) AS n, {R6.format('avg(start_ok::INTEGER)')} AS p_start, {R6.format('avg(em) FILTER (start_ok)')} AS exact_if_right, {R6.format('avg(em) FILTER (NOT start_ok)')} AS exact_if_wrong, {R6.format('avg(1.0::DOUBLE / n)')} AS p_shuffled FROM sample GROUP BY grp")
+@query(f"WITH {SAMPLE} SELECT grp, count(*) AS n, {R6.format('avg(start_ok::INTEGER)')} AS p_start, {R6.format('avg(em) FILTER (start_ok)')} AS exact_if_right, {R6.format('avg(em) FILTER (NOT start_ok)')} AS exact_if_wrong, {R6.format('avg(1.0::DOUBLE / n)')} AS p_shuffled, count(*) FILTER (start_ok) AS n_right, count(*) FILTER (NOT start_ok) AS n_wrong, count(*) FILTER (em = 1) AS hits FROM sample GROUP BY grp")
 def a8_nterm_analysis(spark, d):
     ok = F.col("start_ok")
-    return samples(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), settle(F.avg(ok.cast("double"))).alias("p_start"), settle(F.avg(F.when(ok, F.col("em")))).alias("exact_if_right"), settle(F.avg(F.when(~ok, F.col("em")))).alias("exact_if_wrong"), settle(F.avg(1 / F.col("n"))).alias("p_shuffled"))
+    return samples(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n"), settle(F.avg(ok.cast("double"))).alias("p_start"), settle(F.avg(F.when(ok, F.col("em")))).alias("exact_if_right"), settle(F.avg(F.when(~ok, F.col("em")))).alias("exact_if_wrong"), settle(F.avg(1 / F.col("n"))).alias("p_shuffled"), F.count(F.when(ok, 1)).alias("n_right"), F.count(F.when(~ok, 1)).alias("n_wrong"), F.count(F.when(F.col("em") == 1, 1)).alias("hits"))
 
 
 @query(f"WITH {SAMPLE}, b AS (SELECT grp, {R6.format('(n - 1) * (1 - apa)')} AS b, 1 - apa AS x FROM sample WHERE n >= 2) SELECT grp, count(*) AS n, {R6.format('avg(b)')} AS mean, list_sort(list(b))[count(*) // 2 + 1] AS median, min(b) AS min, max(b) AS max, {R6.format('avg(x)')} AS normalised, count(*) FILTER (b < 0.5) AS zeros FROM b GROUP BY grp")

@@ -146,17 +146,40 @@ def by_nation(spark, d):
     return rows.select("g", "x", (F.col("k") - 1).alias("idx"))
 
 
-SUPPLIERS = "v AS (SELECT s_nationkey AS g, s_acctbal AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS idx FROM supplier)"
-BOOT = SUPPLIERS + f""", n AS (SELECT g, count(*) AS n FROM v GROUP BY g), dr AS (SELECT v.g, rep.range AS replicate, floor({DRAW.format('42, v.g, rep.range, v.idx')} * n)::BIGINT AS idx FROM v JOIN n USING (g), range(200) rep),
+def boot(replicates: int = 200) -> str:
+    """Seeded resamples of v (g, x, idx): bm has the mean of each replicate."""
+    return f""", n AS (SELECT g, count(*) AS n FROM v GROUP BY g), dr AS (SELECT v.g, rep.range AS replicate, floor({DRAW.format('42, v.g, rep.range, v.idx')} * n)::BIGINT AS idx FROM v JOIN n USING (g), range({replicates}) rep),
 bm AS (SELECT g, replicate, avg(x) AS mean FROM dr JOIN v USING (g, idx) GROUP BY ALL)"""
 
 
+def bca(replicates: int = 200) -> str:
+    """bca (g, n, point, low, high, method) from v and the replicates of boot; z0 comes from 60 halvings of [-8, 8]."""
+    halving = f"list_reduce(list_concat([0::DOUBLE], list_transform(range(1, 61), lambda h: 8 / pow(2, h))), lambda y, step: y + CASE WHEN ({phi('y')}) < share THEN step ELSE -step END)"
+    end = "CASE WHEN 1 - a * (z0 + {0}) > 0 THEN z0 + (z0 + {0}) / (1 - a * (z0 + {0})) END"
+    place = "m[floor({0} * {1})::INTEGER + 1] + (m[least(floor({0} * {1})::INTEGER + 2, {2})] - m[floor({0} * {1})::INTEGER + 1]) * ({0} * {1} - floor({0} * {1}))"
+    at = lambda q: place.format(q, replicates - 1, replicates)
+    value = lambda q, p: f"CASE WHEN n < 2 THEN 'nan'::DOUBLE WHEN small = large THEN point WHEN plain = '' THEN {at(q)} ELSE {at(p)} END"
+    return boot(replicates) + f""", pt AS (SELECT g, count(*) AS n, avg(x) AS point, sum(x) AS s, min(x) AS small, max(x) AS large FROM v GROUP BY g),
+dv AS (SELECT g, s / n - CASE WHEN n > 1 THEN (s - x) / (n - 1) END AS dev FROM v JOIN pt USING (g)),
+ac AS (SELECT g, CASE WHEN sum(dev * dev) > 0 THEN sum(dev * dev * dev) / (6 * pow(sum(dev * dev), 1.5)) ELSE 0 END AS a FROM dv GROUP BY g),
+ms AS (SELECT g, list(mean ORDER BY mean) AS m FROM bm GROUP BY g),
+sh AS (SELECT g, n, point, small, large, a, m, len(list_filter(m, lambda y: y < point)) / {replicates}::DOUBLE AS share FROM pt JOIN ac USING (g) JOIN ms USING (g)),
+z0 AS (SELECT *, {halving} AS z0 FROM sh), zs AS (SELECT *, {end.format('(-' + Z + ')')} AS z_low, {end.format(Z)} AS z_high FROM z0),
+qs AS (SELECT *, {phi('z_low')} AS q_low, {phi('z_high')} AS q_high, CASE WHEN share <= 0 OR share >= 1 THEN 'percentile (BCa z0 undefined)' WHEN z_low IS NULL OR z_high IS NULL THEN 'percentile (BCa acceleration unstable)' ELSE '' END AS plain FROM zs),
+bca AS (SELECT g, n, {R6.format('point')} AS point, {R6.format(value('q_low', '0.025::DOUBLE'))} AS low, {R6.format(value('q_high', '0.975::DOUBLE'))} AS high,
+  CASE WHEN n < 2 THEN 'bca (insufficient n)' WHEN small = large THEN 'bca (degenerate: constant sample)' WHEN plain = '' THEN 'bca' ELSE plain END AS method FROM qs)"""
+
+
+SUPPLIERS = "v AS (SELECT s_nationkey AS g, s_acctbal AS x, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS idx FROM supplier)"
+BOOT = SUPPLIERS + boot()
+
+
 @query(f"WITH {BOOT} SELECT g, replicate::INTEGER AS replicate, {R6.format('mean')} AS mean FROM bm")
 def t2_bootstrap_replicates(spark, d):
     return T.bootstrap_means(by_nation(spark, d), ["g"], "idx", "x", 200, 42).select("g", "replicate", settle("mean").alias("mean"))
 
 
-@query()
+@query(f"WITH {SUPPLIERS}{bca()} SELECT * FROM bca")
 def t2_bca_bootstrap(spark, d):
     b = T.bca_bootstrap(by_nation(spark, d), ["g"], "idx", "x", 200, 42)
     return b.select("g", "n", settle("point").alias("point"), settle("low").alias("low"), settle("high").alias("high"), "method")
@@ -171,7 +194,10 @@ def t3_jackknife_acceleration(spark, d):
     return out.select("g", settle(F.when(F.col("d2") > 0, F.col("d3") / (6 * F.pow("d2", F.lit(1.5)))).otherwise(0.0)).alias("acceleration"))
 
 
-@query()
+DELTAS = "v AS (SELECT n_regionkey AS g, round(s_acctbal - s_suppkey, 6) AS x, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) - 1 AS idx FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+@query(f"WITH {DELTAS}{bca()} SELECT g AS n_regionkey, n, point, low, high, method FROM bca")
 def t5_bca_paired_delta(spark, d):
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     rows = rows.select("n_regionkey", F.round(F.col("s_acctbal") - F.col("s_suppkey"), 6).alias("delta"), F.row_number().over(Window.partitionBy("n_regionkey").orderBy("s_suppkey")).alias("k"))
@@ -191,3 +217,20 @@ def t16_correlation_sweep(spark, d):
     rows = rows.withColumn("k", F.concat_ws("/", "l_returnflag", "predictor"))
     found = T.spearman(rows, "x", "y", ["k"]).select("k", F.lit("all").alias("family"), "n", settle("rho").alias("rho"), settle("p").alias("p"))
     return T.holm(found, "p", ["family"]).select("k", "n", "rho", "p", settle("p_holm").alias("p_holm"))
+
+
+WILSON = "({p} + {z} * {z} / (2 * n) {s} {z} * sqrt({p} * (1 - {p}) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)"
+CUSTOMERS = "c AS (SELECT c_nationkey AS nation, c_acctbal AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS idx FROM customer WHERE c_acctbal IS NOT NULL), v AS (SELECT nation || '|value' AS g, x, idx FROM c)"
+
+
+@query(f"""WITH {CUSTOMERS}{bca()}, w AS (SELECT nation, count(*)::DOUBLE AS n, count(*) FILTER (x >= 4500)::DOUBLE AS k FROM c GROUP BY nation)
+SELECT nation, 'exact' AS metric, n::BIGINT AS n, {R6.format('k / n')} AS point, {R6.format('CASE WHEN k = 0 THEN 0 ELSE ' + WILSON.format(p='(k / n)', z=Z, s='-') + ' END')} AS low, {R6.format('CASE WHEN k = n THEN 1 ELSE ' + WILSON.format(p='(k / n)', z=Z, s='+') + ' END')} AS high, 'wilson' AS method FROM w
+UNION ALL SELECT split_part(g, '|', 1)::INTEGER, 'value', n, point, low, high, method FROM bca""")
+def t15_metric_interval(spark, d):
+    """Intervals of two metrics of each nation's customers: whether the balance reaches 4500, and the balance."""
+    rows = table(spark, d, "customer").filter("c_acctbal is not null")
+    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    rows = rows.select(F.col("c_nationkey").alias("nation"), k.alias("idx"), F.col("c_acctbal").alias("x"))
+    stacked = rows.select("nation", "idx", F.explode(F.create_map(F.lit("exact"), (F.col("x") >= 4500).cast("double"), F.lit("value"), F.col("x").cast("double"))).alias("metric", "x"))
+    b = T.metric_interval(stacked, ["nation"], "idx", "x", ["exact"], 200, 42)
+    return b.select("nation", "metric", "n", settle("point").alias("point"), settle("low").alias("low"), settle("high").alias("high"), "method")

@@ -10,8 +10,8 @@ from sparkweave.operators import edges as E
 from sparkweave.operators import metrics as M
 from sparkweave.operators import search as O
 from sparkweave.operators import segment as S
-from sparkweave.queries.base import DRAW, EDGES, query
-from sparkweave.queries.fragments import RECALL, frags, seqs
+from sparkweave.queries.base import DRAW, EDGES, FRAGS, query
+from sparkweave.queries.fragments import PRUNED, RECALL, frags, seqs
 from sparkweave.queries.report_queries import ARMS, arms
 from sparkweave.queries.searches import GRID, SCORED, combo_grid, scored
 from sparkweave.sources.sequences import table
@@ -20,12 +20,12 @@ R6 = "round({} + 1e-10::DOUBLE, 6)"
 
 
 @query(f"""WITH {SCORED}, k AS (SELECT *, rank() OVER (PARTITION BY seq_id, i ORDER BY score DESC) AS rank FROM scores),
-r AS (SELECT seq_id, avg((rank <= 1)::INTEGER) AS top1, avg(1.0::DOUBLE / rank) AS mrr, count(*) AS junctions FROM k WHERE j = i + 1 GROUP BY seq_id)
-SELECT count(*) AS n, {R6.format('avg(top1)')} AS top1, {R6.format('avg(mrr)')} AS mrr, sum(junctions)::BIGINT AS junctions FROM r""")
+r AS (SELECT seq_id, avg((rank <= 1)::INTEGER) AS top1, avg((rank <= 3)::INTEGER) AS top3, avg(1.0::DOUBLE / rank) AS mrr, count(*) AS junctions FROM k WHERE j = i + 1 GROUP BY seq_id)
+SELECT count(*) AS n, {R6.format('avg(top1)')} AS top1, {R6.format('avg(top3)')} AS top3, {R6.format('avg(mrr)')} AS mrr, sum(junctions)::BIGINT AS junctions FROM r""")
 def a13_junction_ranking_summary(spark, d):
     true = E.consecutive(S.primary(frags(spark, d)).select("seq_id", F.col("idx").alias("place"), "idx")).select("seq_id", "i", "j")
     r = M.junction_ranking(scored(spark, d), true)
-    return r.agg(F.count(F.lit(1)).alias("n"), settle(F.avg("top1")).alias("top1"), settle(F.avg("mrr")).alias("mrr"), F.sum("junctions").alias("junctions"))
+    return r.agg(F.count(F.lit(1)).alias("n"), settle(F.avg("top1")).alias("top1"), settle(F.avg("top3")).alias("top3"), settle(F.avg("mrr")).alias("mrr"), F.sum("junctions").alias("junctions"))
 
 
 @query(f"WITH {RECALL} SELECT {R6.format('1 - sum(pruned_true) / sum(true_junctions)::DOUBLE')} AS recall, count(*) FILTER (pruned_true > 0) AS with_loss, sum(pruned_total)::BIGINT AS pruned_total FROM recall")
@@ -46,10 +46,45 @@ def a16_overlap_strength(spark, d):
     return x.groupBy("grp").agg(settle(F.avg("c")).alias("mean_edges"), settle(F.avg(F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1)))).alias("mean_share"))
 
 
-@query(f"WITH {EDGES.replace('range(3) t(replica)', 'range(2) t(replica)')}, two AS (SELECT count(*) AS edges FROM edges) SELECT 2 AS replicas, edges FROM two")
+#: Edges that the first r replicas prove, r being the least replicas that do: that of the fragment which is split.
+SCALED = FRAGS + """,
+whole AS (SELECT seq_id, fragment, min(replica) + 1 AS needs FROM frag WHERE length(fragment) > 1 GROUP BY ALL),
+halves AS (SELECT seq_id, fragment, needs, unnest(range(1, length(fragment))) AS n FROM whole),
+proved AS (SELECT h.seq_id, a.idx AS i, b.idx AS j, min(needs) AS needs FROM halves h
+  JOIN known a ON a.seq_id = h.seq_id AND a.fragment = substr(h.fragment, 1, n)
+  JOIN known b ON b.seq_id = h.seq_id AND b.fragment = substr(h.fragment, n + 1) GROUP BY ALL),
+n AS (SELECT seq_id, any_value(grp) AS grp, count(*) AS n FROM prim GROUP BY seq_id),
+c AS (SELECT seq_id, r.range AS replicas, count(*) AS c FROM proved JOIN range(2, 4) r ON needs <= r.range GROUP BY ALL)"""
+
+
+@query(f"WITH {SCALED} SELECT grp, r.range::INTEGER AS replicas, count(*) AS sequences, coalesce(sum(c), 0)::BIGINT AS edges, {R6.format('avg(coalesce(c, 0))')} AS mean_edges, {R6.format('avg(CASE WHEN n > 1 THEN coalesce(c, 0) / (n - 1)::DOUBLE END)')} AS mean_share FROM n CROSS JOIN range(2, 4) r LEFT JOIN c ON c.seq_id = n.seq_id AND c.replicas = r.range GROUP BY ALL")
 def a24_replica_scaling(spark, d):
-    edges = E.confirmed_edges(S.segment(seqs(spark, d), "trypsin", 0.3, 2, 42))
-    return edges.agg(F.count(F.lit(1)).alias("edges")).select(F.lit(2).alias("replicas"), "edges")
+    """What two and three replicas confirm in each group."""
+    f = frags(spark, d)
+    n = S.primary(f).groupBy("seq_id", "grp").agg(F.count(F.lit(1)).alias("n"))
+    found = [E.confirmed_edges(f.filter(F.col("replica") < r)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("c")).withColumn("replicas", F.lit(r)) for r in (2, 3)]
+    sizes = n.select("*", F.explode(F.array(F.lit(2), F.lit(3))).alias("replicas"))
+    x = sizes.join(found[0].union(found[1]), ["seq_id", "replicas"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    share = F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1))
+    return x.groupBy("grp", "replicas").agg(F.count(F.lit(1)).alias("sequences"), F.sum("c").alias("edges"), settle(F.avg("c")).alias("mean_edges"), settle(F.avg(share)).alias("mean_share"))
+
+
+DIAGNOSED = SCORED + PRUNED + """, tile(seq_id, cur, path) AS (SELECT seq_id, 0::BIGINT, []::INTEGER[] FROM seqs UNION ALL
+SELECT seq_id, cur + len, list_append(path, idx) FROM (SELECT t.seq_id, t.cur, t.path, p.idx, length(p.fragment) AS len, row_number() OVER (PARTITION BY t.seq_id ORDER BY -length(p.fragment), p.idx) AS r
+  FROM tile t JOIN seqs s ON s.seq_id = t.seq_id JOIN prim p ON p.seq_id = t.seq_id AND NOT list_contains(t.path, p.idx) AND substr(s.seq, t.cur + 1, length(p.fragment)) = p.fragment) WHERE r = 1),
+best AS (SELECT seq_id, max(cur) AS cur, arg_max(path, len(path)) AS path FROM tile GROUP BY seq_id),
+ok AS (SELECT b.seq_id, path FROM best b JOIN seqs s ON s.seq_id = b.seq_id JOIN t ON t.seq_id = b.seq_id WHERE cur = length(seq) AND len(path) = n),
+pathed AS (SELECT seq_id, path, unnest(range(1, len(path))) AS k FROM ok), tp AS (SELECT seq_id, path[k] AS i, path[k + 1] AS j FROM pathed),
+ranked AS (SELECT *, rank() OVER (PARTITION BY seq_id, i ORDER BY score DESC) AS rank FROM scores),
+marked AS (SELECT tp.seq_id, rank, e.i IS NOT NULL AS confirmed FROM tp LEFT JOIN ranked k ON k.seq_id = tp.seq_id AND k.i = tp.i AND k.j = tp.j LEFT JOIN edges e ON e.seq_id = tp.seq_id AND e.i = tp.i AND e.j = tp.j),
+m AS (SELECT seq_id, avg((rank <= 1)::INTEGER) FILTER (NOT confirmed) AS top1, avg((rank <= 3)::INTEGER) FILTER (NOT confirmed) AS top3, avg(1.0::DOUBLE / rank) FILTER (NOT confirmed) AS mrr, count(rank) FILTER (NOT confirmed) AS junctions, count(*) FILTER (confirmed) AS excluded FROM marked GROUP BY seq_id)"""
+
+
+@query(f"WITH RECURSIVE {DIAGNOSED} SELECT seq_id, coalesce(n, 0) AS fragments, ok.path IS NOT NULL AS recovered, {R6.format('top1')} AS top1, {R6.format('top3')} AS top3, {R6.format('mrr')} AS mrr, coalesce(junctions, 0) AS junctions, coalesce(excluded, 0) AS excluded, {R6.format('recall')} AS recall, pruned_total FROM seqs LEFT JOIN recall USING (seq_id) LEFT JOIN ok USING (seq_id) LEFT JOIN m USING (seq_id)")
+def m16_sample_diagnostics(spark, d):
+    f = frags(spark, d)
+    rows = M.sample_diagnostics(seqs(spark, d), S.primary(f), scored(spark, d), E.confirmed_edges(f))
+    return rows.select("seq_id", "fragments", "recovered", *(settle(c).alias(c) for c in ("top1", "top3", "mrr")), "junctions", "excluded", settle("recall").alias("recall"), "pruned_total")
 
 
 @query("""WITH v AS (SELECT n_chars::DOUBLE AS x, row_number() OVER (ORDER BY n_chars) - 1 AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL), c AS (SELECT x AS cap, n FROM v WHERE k = floor(0.99::DOUBLE * (n - 1))),
