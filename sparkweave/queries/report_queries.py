@@ -123,9 +123,16 @@ def a11_ceiling_gap(spark, d):
     return A.ceiling_gap(arms(spark, d), ["run"], "ceiling", "selected").select("run", "n", settle("mean_gap").alias("mean_gap"), "n_gap")
 
 
-@query(f"WITH {ARMS} SELECT run, count(*) AS n, {R6.format('sum(coalesce(cost, 0))')} AS total, {R6.format('sum(coalesce(baseline, 0)) / count(*)')} AS mean_baseline, count(*) FILTER (baseline IS NULL) AS failures FROM arms GROUP BY run".replace("round(sum(coalesce(cost, 0)) + 1e-10::DOUBLE, 6)", "round(sum(coalesce(cost, 0)) + 1e-6::DOUBLE, 2)"))
+@query(f"""WITH {ARMS} SELECT run, count(*) AS n, round(sum(coalesce(cost, 0)) + 1e-6::DOUBLE, 2) AS total, round(sum(coalesce(cost, 0)) / count(*) + 1e-6::DOUBLE, 2) AS mean_cost, {R6.format('sum(coalesce(baseline, 0)) / count(*)')} AS mean_baseline,
+count(*) FILTER (baseline IS NULL) AS failures, count(baseline) AS completed, count(*) FILTER (baseline IS NULL AND selected IS NOT NULL) AS recovered FROM arms GROUP BY run""")
 def a12_cost_summary(spark, d):
-    return arms(spark, d).groupBy("run").agg(F.count(F.lit(1)).alias("n"), settle(F.sum(F.coalesce("cost", F.lit(0.0))), 2).alias("total"), settle(F.sum(F.coalesce("baseline", F.lit(0.0))) / F.count(F.lit(1))).alias("mean_baseline"), F.count(F.when(F.col("baseline").isNull(), 1)).alias("failures"))
+    """Totals and means over all samples (null is 0); a sample without a baseline failed, and recovered if another arm has a value."""
+    missing, n = F.col("baseline").isNull(), F.count(F.lit(1))
+    cost = F.sum(F.coalesce("cost", F.lit(0.0)))
+    return arms(spark, d).groupBy("run").agg(
+        n.alias("n"), settle(cost, 2).alias("total"), settle(cost / n, 2).alias("mean_cost"), settle(F.sum(F.coalesce("baseline", F.lit(0.0))) / n).alias("mean_baseline"),
+        F.count(F.when(missing, 1)).alias("failures"), F.count("baseline").alias("completed"), F.count(F.when(missing & F.col("selected").isNotNull(), 1)).alias("recovered"),
+    )
 
 
 @query(f"WITH {LONG} SELECT arm, {R6.format('avg(value)')} AS mean, {R6.format('avg(value) - (SELECT avg(baseline) FROM arms)')} AS delta FROM long GROUP BY arm")
@@ -136,12 +143,16 @@ def a17_run_averages(spark, d):
 
 
 Z = "1.959963984540054::DOUBLE"
+BOUND = "(k / n + {z} * {z} / (2 * n) {s} {z} * sqrt(k / n * (1 - k / n) / n + {z} * {z} / (4 * n * n))) / (1 + {z} * {z} / n)"
 
 
-@query(f"WITH {LONG}, c AS (SELECT run, arm, count(*) FILTER (value >= 0.5)::DOUBLE AS k, count(value)::DOUBLE AS n, avg(value) AS point FROM long GROUP BY ALL) SELECT run, arm, n::BIGINT AS n, {R6.format('point')} AS point, {R6.format(f'CASE WHEN k = 0 THEN 0 ELSE (k / n + {Z} * {Z} / (2 * n) - {Z} * sqrt(k / n * (1 - k / n) / n + {Z} * {Z} / (4 * n * n))) / (1 + {Z} * {Z} / n) END')} AS ci_low FROM c")
+@query(f"""WITH {LONG}, c AS (SELECT run, arm, count(*) FILTER (value >= 0.5)::DOUBLE AS k, count(value)::DOUBLE AS n, avg(value) AS point FROM long GROUP BY ALL)
+SELECT run, arm, n::BIGINT AS n, {R6.format('point')} AS point, {R6.format('k / n')} AS share, {R6.format('CASE WHEN k = 0 THEN 0 ELSE ' + BOUND.format(z=Z, s='-') + ' END')} AS ci_low, {R6.format('CASE WHEN k = n THEN 1 ELSE ' + BOUND.format(z=Z, s='+') + ' END')} AS ci_high, 'wilson' AS method FROM c""")
 def a18_arm_summary(spark, d):
+    """Mean of each arm, and the share of values of one half or more with its interval."""
     c = long(spark, d).groupBy("run", "arm").agg(F.count(F.when(F.col("value") >= 0.5, 1)).alias("k"), F.count("value").alias("n"), F.avg("value").alias("point"))
-    return c.select("run", "arm", "n", settle("point").alias("point"), settle(T.wilson_interval(F.col("k"), F.col("n"))[0]).alias("ci_low"))
+    low, high = T.wilson_interval(F.col("k"), F.col("n"))
+    return c.select("run", "arm", "n", settle("point").alias("point"), settle(F.col("k") / F.col("n")).alias("share"), settle(low).alias("ci_low"), settle(high).alias("ci_high"), F.lit("wilson").alias("method"))
 
 
 @query(f"WITH {ARMS} SELECT run, count(*) AS n, " + ", ".join(f"{R6.format(f'avg({a})')} AS {a}" for a in ("baseline", "control", "selected", "ceiling")) + " FROM arms GROUP BY run")

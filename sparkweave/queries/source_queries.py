@@ -110,9 +110,14 @@ def pf11_display_samples(spark, d):
     return rows.filter("n <= 3 or k <= 2 or k > n - 1").select("conv_id", "turn", (F.col("n") - F.least("n", F.lit(3))).alias("hidden"))
 
 
-@query("SELECT o_orderpriority AS run, max(o_orderkey) FILTER (o_orderdate = m) AS latest FROM orders JOIN (SELECT o_orderpriority, max(o_orderdate) AS m FROM orders GROUP BY 1) USING (o_orderpriority) GROUP BY 1")
+@query("""WITH r AS (SELECT l_orderkey AS k, count(*) AS lines, bool_or(l_returnflag = 'R') AS control FROM lineitem GROUP BY 1)
+SELECT o_orderpriority AS run, max((o_orderdate, o_orderkey))[2] AS latest, count(*) AS candidates FROM orders JOIN r ON k = o_orderkey WHERE lines = 3 AND control GROUP BY 1""")
 def pf12_resolve_runs(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run")).agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("x")).select("run", F.col("x.o_orderkey").alias("latest"))
+    """The latest order of each priority among those with three lines, one of them returned (which stands for the control arm)."""
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"), F.bool_or(F.col("l_returnflag") == "R").alias("control"))
+    rows = table(spark, d, "orders").join(lines.filter("lines = 3 and control"), "o_orderkey", "left_semi")
+    found = rows.groupBy(F.col("o_orderpriority").alias("run")).agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("x"), F.count(F.lit(1)).alias("candidates"))
+    return found.select("run", F.col("x.o_orderkey").alias("latest"), "candidates")
 
 
 @query("SELECT lang, bool_or(quality IS NOT NULL) AS has_quality, bool_or(toxic = 1) AS has_toxic FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang")

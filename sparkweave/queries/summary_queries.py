@@ -34,16 +34,18 @@ def a14_filter_recall_summary(spark, d):
     return r.agg(settle(1 - F.sum("pruned_true") / F.sum("true_junctions")).alias("recall"), F.count(F.when(F.col("pruned_true") > 0, 1)).alias("with_loss"), F.sum("pruned_total").alias("pruned_total"))
 
 
-STRENGTH = EDGES + ", n AS (SELECT seq_id, any_value(grp) AS grp, count(*) AS n FROM prim GROUP BY seq_id), c AS (SELECT seq_id, count(*) AS c FROM edges GROUP BY seq_id), x AS (SELECT grp, coalesce(c, 0) AS c, CASE WHEN n > 1 THEN coalesce(c, 0) / (n - 1)::DOUBLE END AS share FROM n LEFT JOIN c USING (seq_id))"
+STRENGTH = RECALL + ", n AS (SELECT seq_id, any_value(grp) AS grp, count(*) AS n FROM prim GROUP BY seq_id), c AS (SELECT seq_id, count(*) AS c FROM edges GROUP BY seq_id), x AS (SELECT grp, coalesce(c, 0) AS c, CASE WHEN n > 1 THEN coalesce(c, 0) / (n - 1)::DOUBLE END AS share, CASE WHEN n > 1 THEN pruned_total / (n * (n - 1))::DOUBLE * 100 ELSE 0 END AS pruned FROM n LEFT JOIN c USING (seq_id) JOIN (SELECT seq_id, pruned_total FROM recall) USING (seq_id))"
 
 
-@query(f"WITH {STRENGTH} SELECT grp, {R6.format('avg(c)')} AS mean_edges, {R6.format('avg(share)')} AS mean_share FROM x GROUP BY grp")
+@query(f"WITH {STRENGTH} SELECT grp, {R6.format('avg(c)')} AS mean_edges, {R6.format('avg(share)')} AS mean_share, {R6.format('avg(pruned)')} AS mean_pruned_pct FROM x GROUP BY grp")
 def a16_overlap_strength(spark, d):
     f = frags(spark, d)
     n = S.primary(f).groupBy("seq_id", "grp").agg(F.count(F.lit(1)).alias("n"))
     c = E.confirmed_edges(f).groupBy("seq_id").agg(F.count(F.lit(1)).alias("c"))
-    x = n.join(c, "seq_id", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    return x.groupBy("grp").agg(settle(F.avg("c")).alias("mean_edges"), settle(F.avg(F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1)))).alias("mean_share"))
+    pruned = E.pruned_pct(E.filter_recall(S.primary(f)))
+    x = n.join(c, "seq_id", "left").withColumn("c", F.coalesce("c", F.lit(0))).join(pruned, "seq_id")
+    share = F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1))
+    return x.groupBy("grp").agg(settle(F.avg("c")).alias("mean_edges"), settle(F.avg(share)).alias("mean_share"), settle(F.avg("pruned_pct")).alias("mean_pruned_pct"))
 
 
 #: Edges that the first r replicas prove, r being the least replicas that do: that of the fragment which is split.
