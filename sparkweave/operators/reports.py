@@ -42,10 +42,13 @@ def stratify_by_bin(rows: DataFrame, by: list[str], value: str) -> DataFrame:
 
 
 def lift_over_baseline(rows: DataFrame, by: list[str], arm: str, baseline: str) -> DataFrame:
-    """Per bin: n, pairs where both are usable, their means and the mean paired difference."""
+    """Per bin, empty ones too: n, pairs where both are usable, their means and the mean paired difference."""
     a, b = finite(F.col(arm)), finite(F.col(baseline))
     both = a.isNotNull() & b.isNotNull()
-    return rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(both, 1)).alias("n_usable"), F.avg(F.when(both, a)).alias("arm_mean"), F.avg(F.when(both, b)).alias("baseline_mean"), F.avg(F.when(both, a - b)).alias("lift"))
+    found = rows.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(both, 1)).alias("n_usable"), F.avg(F.when(both, a)).alias("arm_mean"), F.avg(F.when(both, b)).alias("baseline_mean"), F.avg(F.when(both, a - b)).alias("lift"))
+    grid = rows.select(*by).distinct().join(F.broadcast(bins_table(rows.sparkSession)))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return grid.join(found, [*by, "bin"], "full").select(*by, "bin", none("n"), none("n_usable"), "arm_mean", "baseline_mean", "lift")
 
 
 def counts_with_zeros(rows: DataFrame, by: list[str], kind: str, kinds: list[str]) -> DataFrame:
@@ -106,9 +109,16 @@ def histogram(rows: DataFrame, by: list[str], value: str, bins: int) -> DataFram
 
 
 def binned_means(rows: DataFrame, by: list[str], x: str, y: str, width: int, last: int) -> DataFrame:
-    """Mean of y in bins (low, low + width] of x up to last; what lies beyond is counted as bin null."""
+    """Mean of y in bins (low, low + width] of x up to last, empty ones too; what lies beyond is counted as bin null."""
     bin_ = F.when(F.col(x) <= last, (F.ceil(F.col(x) / width) - 1) * width)
-    return rows.groupBy(*by, bin_.alias("low")).agg(F.count(F.lit(1)).alias("n"), nanmean(F.col(y)).alias("mean"))
+    found = rows.groupBy(*by, bin_.alias("low")).agg(F.count(F.lit(1)).alias("n"), nanmean(F.col(y)).alias("mean"))
+    lows = F.array(*(F.lit(x).cast("long") for x in [*range(0, last, width), None]))
+    grid = rows.select(*by).distinct().select(*by, F.explode(lows).alias("low"))
+    same = F.col("low").eqNullSafe(F.col("__low"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    met = grid.join(found.withColumnsRenamed({c: f"__{c}" for c in [*by, "low"]}), same, "left")
+    return met.select(*by, "low", F.coalesce("n", F.lit(0)).alias("n"), "mean")
 
 
 def gain_histogram(rows: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -79,7 +79,7 @@ def a5_stratify_by_bin(spark, d):
 LIFT = "SELECT run, bin, count(*) AS n, count(baseline) AS n_usable, {am} AS arm_mean, {bm} AS baseline_mean, {l} AS lift FROM arms GROUP BY ALL".format(am=R6.format("avg(selected) FILTER (baseline IS NOT NULL)"), bm=R6.format("avg(baseline)"), l=R6.format("avg(selected - baseline)"))
 
 
-@query(f"WITH {ARMS} {LIFT}")
+@query(f"WITH {ARMS}, {BIN_GRID}, l AS ({LIFT}), g AS (SELECT DISTINCT run, b.bin FROM arms CROSS JOIN bins b) SELECT run, bin, coalesce(n, 0) AS n, coalesce(n_usable, 0) AS n_usable, arm_mean, baseline_mean, lift FROM g FULL JOIN l USING (run, bin)")
 def a6_lift_over_baseline(spark, d):
     x = A.lift_over_baseline(arms(spark, d), ["run"], "selected", "baseline")
     return x.select("run", "bin", "n", "n_usable", settle("arm_mean").alias("arm_mean"), settle("baseline_mean").alias("baseline_mean"), settle("lift").alias("lift"))
@@ -186,9 +186,10 @@ def a28_pool_coverage(spark, d):
     return rows.groupBy("lang").agg(settle(F.countDistinct("labelled") / F.countDistinct("doc_id")).alias("coverage"))
 
 
-@query(f"WITH {ARMS} SELECT run, CASE WHEN n <= 8 THEN ((ceil(n / 2.0::DOUBLE) - 1) * 2)::BIGINT END AS low, count(*) AS n, {R6.format('avg(baseline)')} AS mean FROM arms GROUP BY ALL")
+@query(f"""WITH {ARMS}, c AS (SELECT run, CASE WHEN n <= 12 THEN ((ceil(n / 2.0::DOUBLE) - 1) * 2)::BIGINT END AS low, count(*) AS n, {R6.format('avg(baseline)')} AS mean FROM arms GROUP BY ALL),
+g AS (SELECT run, unnest([0, 2, 4, 6, 8, 10, NULL]::BIGINT[]) AS low FROM (SELECT DISTINCT run FROM arms)) SELECT g.run, g.low, coalesce(n, 0) AS n, mean FROM g LEFT JOIN c ON c.run = g.run AND c.low IS NOT DISTINCT FROM g.low""")
 def a29_binned_metric_means(spark, d):
-    return A.binned_means(arms(spark, d).withColumnRenamed("n", "frags"), ["run"], "frags", "baseline", 2, 8).select("run", "low", "n", settle("mean").alias("mean"))
+    return A.binned_means(arms(spark, d).withColumnRenamed("n", "frags"), ["run"], "frags", "baseline", 2, 12).select("run", "low", "n", settle("mean").alias("mean"))
 
 
 HIST = "e AS (SELECT run, min(value) AS lo, CASE WHEN max(value) > min(value) THEN (max(value) - min(value)) / {n} ELSE 1e-6 END AS width FROM {src} WHERE value IS NOT NULL GROUP BY run), c AS (SELECT run, least(floor((value - lo) / width), {n} - 1)::BIGINT AS bin, count(*) AS c FROM {src} JOIN e USING (run) WHERE value IS NOT NULL GROUP BY ALL)"

@@ -47,6 +47,36 @@ def test_junction_ranks_against_brute_force(spark):
     assert M.junction_ranking(rows, edges, edges.filter("i < 2")).first().junctions == n - 3
 
 
+def test_diagnostics_keep_every_sample(spark):
+    """A sample that its fragments do not tile, and one without fragments, keep their rows; confirmed neighbours are counted apart."""
+    targets = spark.createDataFrame([(1, "AKBRC"), (2, "AKX"), (3, "")], "seq_id long, seq string")
+    pieces = [(1, "x", 0, "BR"), (1, "x", 1, "AK"), (1, "x", 2, "C"), (2, "x", 0, "AK"), (2, "x", 1, "Y")]
+    p = spark.createDataFrame(pieces, "seq_id long, grp string, idx int, fragment string")
+    scores = spark.createDataFrame([(1, i, j, float(10 * i + j)) for i in range(3) for j in range(3) if i != j], "seq_id long, i int, j int, score double")
+    edges = spark.createDataFrame([(1, 1, 0)], "seq_id long, i int, j int")
+    found = {r.seq_id: r for r in M.sample_diagnostics(targets, p, scores, edges).collect()}
+    assert [(k, r.fragments, r.recovered, r.junctions, r.excluded) for k, r in sorted(found.items())] == [(1, 3, True, 1, 1), (2, 2, False, 0, 0), (3, 0, False, 0, 0)]
+    assert found[1].top1 == 1.0 and found[2].mrr is None and found[3].recall is None
+
+
+def test_metric_intervals_by_kind(spark):
+    """Binary metrics have the score interval, the others the bootstrap's; constants and single values say so."""
+    rng = random.Random(19)
+    values = [rng.gauss(5, 1) for _ in range(60)]
+    rows = [("a", "exact", i, float(i < 15)) for i in range(60)] + [("a", "value", i, v) for i, v in enumerate(values)]
+    rows += [("b", "value", i, 2.0) for i in range(4)] + [("c", "value", 0, 7.0)]
+    df = spark.createDataFrame(rows, "g string, metric string, idx int, x double")
+    found = {(r.g, r.metric): r for r in T.metric_interval(df, ["g"], "idx", "x", ["exact"], 300).collect()}
+    exact, value = found["a", "exact"], found["a", "value"]
+    p, n, z = 0.25, 60, T.Z95
+    half = z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    assert exact.high - exact.low == pytest.approx(2 * half) and exact.method == "wilson"
+    mean = sum(values) / n
+    error = math.sqrt(sum((v - mean) ** 2 for v in values)) / n
+    assert value.method == "bca" and value.low == pytest.approx(mean - z * error, abs=error) and value.high == pytest.approx(mean + z * error, abs=error)
+    assert (found["b", "value"].low, found["b", "value"].high) == (2.0, 2.0) and math.isnan(found["c", "value"].low)
+
+
 def test_filter_recall_counts_match_pairs(spark):
     p = prim(spark, ["MAK", "PVR", "LLG", "PR"])
     r = E.filter_recall(p).first()
