@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, debruijn, hmm, mixing, near_vectors, simhash, suffix_array, token_counts, toxicity, va_search
+from sparkweave.llm import bpe, collocations, debruijn, hmm, mixing, near_vectors, simhash, suffix_array, token_counts, toxicity, va_search
 from sparkweave.llm.common import read
 
 
@@ -57,6 +57,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read(spark, sf_dir, "documents"), *_vocabulary())
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), least=100, limit=2000)
+
+
 #: All pairs within a label, and reachability through links by recursion.
 OP1_SQL = """
 WITH RECURSIVE v AS (
@@ -85,10 +89,31 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+#: Every run of one to five words spelt out and counted.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS total FROM words GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+runs AS (SELECT lang, w[i : i + n - 1] AS w, n FROM starts, range(1, 6) t(n) WHERE i + n - 1 <= len(w)),
+f AS MATERIALIZED (SELECT lang, w, any_value(n) AS n, count(*)::HUGEINT AS f FROM runs GROUP BY lang, w HAVING count(*) >= 100),
+cuts AS (SELECT lang, w, n, f AS a, unnest(range(1, n)) AS k FROM f WHERE n > 1),
+parts AS (
+  SELECT c.lang, c.w, c.n, c.a, c.k, x.f AS l, y.f AS r, total, (1000 * c.a * total) // (x.f * y.f) AS score
+  FROM cuts c JOIN totals USING (lang) JOIN f x ON x.lang = c.lang AND x.w = c.w[1 : k] JOIN f y ON y.lang = c.lang AND y.w = c.w[k + 1 : c.n]),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, w ORDER BY score, k) AS place FROM parts),
+absorbed AS (SELECT lang, w[1 : n - 1] AS w, f AS a FROM f WHERE n > 2 UNION SELECT lang, w[2 : n], f FROM f WHERE n > 2),
+kept AS (SELECT lang, array_to_string(w, ' ') AS phrase, a, l, r, total, score FROM best ANTI JOIN absorbed USING (lang, w, a) WHERE place = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_vectors, op2_debruijn, op3_token_counts, op4_simhash, op5_hmm, op6_mixing, op7_va_search, op8_suffix_array, op9_toxicity, op10_byte_bpe)}
+    return {f.__name__: f for f in (op1_near_vectors, op2_debruijn, op3_token_counts, op4_simhash, op5_hmm, op6_mixing, op7_va_search, op8_suffix_array, op9_toxicity, op10_byte_bpe, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op7_va_search": OP7_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op7_va_search": OP7_SQL, "op13_collocations": OP13_SQL}
