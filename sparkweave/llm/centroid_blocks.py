@@ -155,9 +155,12 @@ def sums(blocks: DataFrame, centroids: np.ndarray) -> dict[int, tuple[int, Decim
             names=["cluster", "n", "total", "added"],
         )
 
-    parts = blocks.mapInArrow(partial, "cluster int, n long, total decimal(38,0), added array<long>")
-    whole = parts.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), *(F.sum(F.col("added")[i]).alias(f"s{i}") for i in range(dims)))
-    return {row["cluster"]: (row["n"], row["total"], [row[f"s{i}"] for i in range(dims)]) for row in whole.filter("n > 0").collect()}
+    parts = blocks.mapInArrow(partial, "cluster int, n long, total decimal(38,0), added array<long>").filter("n > 0")
+    each = parts.select("cluster", "n", "total", F.posexplode("added").alias("i", "s")).groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("s").alias("s"))
+    out: dict[int, tuple[int, Decimal, list[int]]] = {}
+    for row in each.collect():
+        out.setdefault(row["cluster"], (row["n"], row["total"], [0] * dims))[2][row["i"]] = row["s"]
+    return out
 
 
 def first_centroids(vectors: DataFrame, k: int, seed: int) -> np.ndarray:
