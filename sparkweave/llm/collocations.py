@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from sparkweave.llm.common import LOWER, Scratch, mixed, word_hashes, word_spans
 
 #: Bytes of text that a numpy step handles.
-STEP = 4_000_000
+STEP = 1_000_000
 
 #: The longest phrase, and the largest table of bits that is broadcast for one level (32 MB).
 LONGEST, FILTER_BITS = 5, 1 << 28
 
 #: Fingerprints, or phrases, that a task combines before it passes them on.
-COMBINED, SPELT = 4_000_000, 200_000
+COMBINED, SPELT = 2_000_000, 200_000
 
 #: Languages up to which their totals are broadcast.
 FEW_LANGS = 10_000
@@ -177,9 +177,10 @@ def counted(tokens: DataFrame, first: int, last: int, filters: dict, least: int)
         sizes = dict.fromkeys(held, 0)
 
         def emptied(n: int) -> pa.RecordBatch:
-            prints = np.sort(np.concatenate(held[n]))
-            begins = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+            prints = np.concatenate(held[n])
             held[n], sizes[n] = [], 0
+            prints.sort()
+            begins = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
             counts = np.diff(np.append(begins, len(prints)))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), n, np.int32)), pa.array(prints[begins].view(np.int64)), pa.array(counts, pa.int64())], names=["n", "print", "c"])
 
