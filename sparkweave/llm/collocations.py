@@ -42,7 +42,7 @@ STEP = 1_000_000
 LONGEST, FILTER_BITS = 5, 1 << 28
 
 #: Fingerprints, or phrases, that a task combines before it passes them on.
-COMBINED, SPELT = 2_000_000, 200_000
+COMBINED, SPELT = 1_500_000, 300_000
 
 #: Languages up to which their totals are broadcast.
 FEW_LANGS = 10_000
@@ -257,9 +257,11 @@ def spelt_phrases(docs: DataFrame, filters: dict, least: int) -> DataFrame:
         bits = {n: x.value for n, x in filters.items()}
         held: list[pa.Table] = []
 
+        def combined() -> pa.Table:
+            return pa.concat_tables(held).group_by(["lang", "n", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "n", "phrase", "f"])
+
         def emptied() -> Iterator[pa.RecordBatch]:
-            table = pa.concat_tables(held).group_by(["lang", "n", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "n", "phrase", "f"])
-            held.clear()
+            table = held.pop()
             yield from table.set_column(2, "phrase", table["phrase"].cast(pa.binary()).cast(pa.string())).to_batches(max_chunksize=10_000)
 
         for batch in batches:
@@ -271,9 +273,12 @@ def spelt_phrases(docs: DataFrame, filters: dict, least: int) -> DataFrame:
                     if mine:
                         firsts, counts = _groups(ids, places[:mine], prints[:mine], n)
                         held.append(pa.table({"lang": pa.repeat(lang, len(firsts)), "n": pa.array(np.full(len(firsts), n, np.int32)), "phrase": _spelt(raw, begins[firsts], ends[firsts + n - 1]), "f": counts}))
-                if sum(map(len, held)) > SPELT:
-                    yield from emptied()
+                if sum(map(len, held[1:])) > SPELT:
+                    held = [combined()]
+                    if len(held[0]) > 2 * SPELT:
+                        yield from emptied()
         if held:
+            held = [combined()]
             yield from emptied()
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
