@@ -41,8 +41,8 @@ STEP = 1_000_000
 #: The longest phrase, and the largest table of bits that is broadcast for one level (32 MB).
 LONGEST, FILTER_BITS = 5, 1 << 28
 
-#: Fingerprints, or phrases, that a task combines before it passes them on.
-COMBINED, SPELT = 1_500_000, 300_000
+#: Fingerprints, or phrases, that a task combines before it passes them on, and rows that it passes on at a time.
+COMBINED, SPELT, PASSED = 1_500_000, 300_000, 20_000
 
 #: Languages up to which their totals are broadcast.
 FEW_LANGS = 10_000
@@ -176,13 +176,16 @@ def counted(tokens: DataFrame, first: int, last: int, filters: dict, least: int)
         held: dict[int, list[np.ndarray]] = {n: [] for n in range(first, last + 1)}
         sizes = dict.fromkeys(held, 0)
 
-        def emptied(n: int) -> pa.RecordBatch:
+        def emptied(n: int) -> Iterator[pa.RecordBatch]:
             prints = np.concatenate(held[n])
             held[n], sizes[n] = [], 0
             prints.sort()
             begins = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
             counts = np.diff(np.append(begins, len(prints)))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(begins), n, np.int32)), pa.array(prints[begins].view(np.int64)), pa.array(counts, pa.int64())], names=["n", "print", "c"])
+            for start in range(0, len(begins), PASSED):
+                own = slice(start, start + PASSED)
+                some = begins[own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(prints[some].view(np.int64)), pa.array(counts[own], pa.int64())], names=["n", "print", "c"])
 
         for batch in batches:
             for lang, own, packed in zip(batch.column("lang"), batch.column("own"), batch.column("tokens"), strict=True):
@@ -192,10 +195,10 @@ def counted(tokens: DataFrame, first: int, last: int, filters: dict, least: int)
                         held[n].append(prints[: np.searchsorted(places, own.as_py())])
                         sizes[n] += len(held[n][-1])
                         if sizes[n] > COMBINED:
-                            yield emptied(n)
+                            yield from emptied(n)
         for n, size in sizes.items():
             if size:
-                yield emptied(n)
+                yield from emptied(n)
 
     return tokens.select("lang", "own", "tokens").mapInArrow(count, "n int, print long, c long").groupBy("n", "print").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("n", "print")
 
