@@ -184,3 +184,31 @@ def long_values(values: DataFrame) -> DataFrame:
     """seq_id, arm, metric, value."""
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS))
     return values.select(*(c for c in values.columns if c not in METRICS), F.explode(pairs).alias("x")).select("*", "x.metric", "x.value").drop("x")
+
+
+def arms_present(values: DataFrame, by: list[str]) -> DataFrame:
+    """by and arms: those with any value, in the order of the ladder."""
+    used = F.greatest(*(F.col(m).isNotNull() for m in METRICS))
+    marks = values.groupBy(*by).agg(*(F.bool_or((F.col("arm") == arm) & used).alias(arm) for arm in ARMS))
+    return marks.select(*by, F.filter(F.array(*(F.when(F.col(arm), F.lit(arm)) for arm in ARMS)), lambda x: x.isNotNull()).alias("arms"))
+
+
+def lever_behaviour(tried: DataFrame, by: list[str]) -> DataFrame:
+    """tried: by, seq_id, iteration, levers (map). by, lever, changes, steps, change_share, n_values, counts (map of value to iterations).
+
+    Levers are exploded once. A step is an iteration after a sample's first; it changes a lever whose value differs from
+    the one before, a lever that one of them lacks included.
+    """
+    pairs = tried.select(*by, "seq_id", F.array_sort(F.transform(F.map_entries("levers"), lambda e: e["key"])).alias("names"), "iteration", "levers")
+    gathered = pairs.groupBy(*by, "seq_id").agg(F.array_sort(F.collect_list(F.struct("iteration", F.map_entries("levers").alias("levers")))).alias("h"))
+    h = F.transform("h", lambda x: F.map_from_entries(x["levers"]))
+    steps = F.size("h") - 1
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("h", lambda x: F.transform(x["levers"], lambda e: e["key"])))))
+    rows = gathered.select(*by, steps.alias("steps"), h.alias("h"), F.explode(names).alias("lever"))
+    values = F.transform("h", lambda m: F.try_element_at(m, F.col("lever")))
+    moved = F.zip_with(F.slice("v", F.lit(1), F.col("steps")), F.slice("v", F.lit(2), F.col("steps")), lambda a, b: (~a.eqNullSafe(b)).cast("int"))
+    rows = rows.withColumn("v", values).withColumn("changes", F.when(F.col("steps") > 0, F.aggregate(moved, F.lit(0), lambda a, x: a + x)).otherwise(0))
+    shares = rows.groupBy(*by, "lever").agg(F.sum("changes").alias("changes"), F.sum("steps").alias("steps"))
+    counts = rows.select(*by, "lever", F.explode("v").alias("value")).filter("value is not null").groupBy(*by, "lever", "value").agg(F.count(F.lit(1)).alias("n"))
+    listed = counts.groupBy(*by, "lever").agg(F.count(F.lit(1)).alias("n_values"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias("counts"))
+    return shares.join(listed, [*by, "lever"]).withColumn("change_share", F.when(F.col("steps") > 0, F.col("changes") / F.col("steps")))

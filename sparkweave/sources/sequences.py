@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,27 @@ def once(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[tuple, list[DataFrame]] = {}
+
+
+def _status(spark: SparkSession, path: str):
+    """The file system's entry of a path; None where there is nothing."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(at) if system.exists(at) else None
+
+
+def once_a_session(spark: SparkSession, source: str, make: Callable[[], list[DataFrame]]) -> list[DataFrame]:
+    """Tables that make() writes with once(), kept for later queries of the session while source and they are unchanged."""
+    entry = _status(spark, source)
+    key = (spark.sparkContext.applicationId, make.__qualname__, source, entry.getModificationTime(), entry.getLen())
+    found = _KEPT.get(key)
+    if found is None or not all(_status(spark, f) for df in found for f in df.inputFiles()[:1]):
+        found = _KEPT[key] = make()
+    return found
+
+
 def sequences(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """seq_id, doc_id, grp, seq: the letters, upper-cased, of each run of words of a text. A map over the scan.
 
