@@ -30,6 +30,22 @@ def confirmed_edges(fragments: DataFrame) -> DataFrame:
     return halves.join(left, ["seq_id", "l"]).join(right, ["seq_id", "r"]).select("seq_id", "i", "j").distinct()
 
 
+def edges_in_rows(cut: DataFrame) -> DataFrame:
+    """The same from whole sequences (what segment.cut_rows returns), without any shuffle.
+
+    Different fragments are split at each length that a primary fragment has, and both halves are looked up in the
+    sequence's own primary fragments, the last of equal ones first. A fragment and a length give one pair of strings,
+    so no edge comes twice.
+    """
+    primary = F.col("pieces")[0]
+    whole = F.array_distinct(F.flatten("pieces"))
+    rows = cut.select("seq_id", "grp", F.reverse(primary).alias("last_first"), F.array_distinct(F.transform(primary, lambda x: F.length(x))).alias("sizes"), F.explode(whole).alias("fragment"))
+    halves = rows.select("seq_id", "grp", "last_first", "fragment", F.explode("sizes").alias("n")).filter(F.col("n") < F.length("fragment"))
+    place = lambda x: F.array_position("last_first", x)
+    found = halves.select("seq_id", "grp", F.size("last_first").alias("k"), place(F.substr("fragment", F.lit(1), F.col("n"))).alias("l"), place(F.substr("fragment", F.col("n") + 1, F.length("fragment"))).alias("r"))
+    return found.filter("l > 0 and r > 0").select("seq_id", "grp", (F.col("k") - F.col("l")).cast("int").alias("i"), (F.col("k") - F.col("r")).cast("int").alias("j"))
+
+
 def ordered_pairs(prim: DataFrame) -> DataFrame:
     """seq_id, i, j, a, b: all ordered pairs of different places. Quadratic in a sequence's fragments, which sequences bound."""
     a = prim.select("seq_id", F.col("idx").alias("i"), F.col("fragment").alias("a"))

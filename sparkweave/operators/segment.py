@@ -18,19 +18,20 @@ def draw(*parts: Column | int | str) -> Column:
     return F.conv(F.substring(F.md5(named), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
 
 
+#: Where each rule cuts, as an empty match between residues.
+PATTERNS = {"trypsin": "(?<=[KR])(?!P)", "lys_c": "(?<=K)", "asp_n": "(?=D)", "glu_c": "(?<=[DE])"}
+
+
 def cleavage_sites(seq: Column, rule: str = "trypsin") -> Column:
-    """Positions 0..length where the rule cuts: before the residue at that place, counting from 0."""
-    at = lambda p: F.substr(seq, p, F.lit(1))
-    tests = {
-        "trypsin": lambda p: at(p).isin("K", "R") & (at(p + 1) != "P"),
-        "lys_c": lambda p: at(p) == "K",
-        "asp_n": lambda p: at(p + 1) == "D",
-        "glu_c": lambda p: at(p).isin("D", "E"),
-    }
-    first = 0 if rule == "asp_n" else 1
-    last = F.length(seq) - (1 if rule == "asp_n" else 0)
-    test = tests[rule]
-    return F.filter(F.sequence(F.lit(first), last), lambda p: (p > 0) & test(p) if rule != "asp_n" else (F.substr(seq, p + 1, F.lit(1)) == "D"))
+    """Positions 0..length where the rule cuts: before the residue at that place, counting from 0.
+
+    One split finds the pieces; the sites are the running sums of their lengths, the last left out.
+    """
+    pieces = F.split(seq, PATTERNS[rule])
+    none = F.array().cast("array<int>")
+    ends = F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), none.alias("ends")), lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["ends"], F.array(s["at"] + F.length(x))).alias("ends")))["ends"]
+    # A cut before the first residue gives no piece.
+    return F.when(seq.startswith("D"), F.concat(F.array(F.lit(0)), ends)).otherwise(ends) if rule == "asp_n" else ends
 
 
 def missed_cleavage_prob(seq: Column, pos: Column, ratio: float) -> Column:
@@ -49,6 +50,18 @@ def segment(seqs: DataFrame, rule: str = "trypsin", ratio: float = 0.3, replicas
     return out.select("seq_id", "grp", "replica", "pos", F.col("piece.start").alias("start"), F.substr("seq", F.col("piece.start") + 1, F.col("piece.size")).alias("fragment"))
 
 
+def cut_rows(seqs: DataFrame, rule: str = "trypsin", ratio: float = 0.3, replicas: int = 3, seed: int = 42) -> DataFrame:
+    """seq_id, grp, pieces: the fragments of every replica as an array of arrays, in the row of the sequence. A map."""
+    sited = seqs.select("seq_id", "grp", "seq", cleavage_sites(F.col("seq"), rule).alias("sites"))
+
+    def replica(r: Column) -> Column:
+        kept = F.filter("sites", lambda p: draw(seed, F.col("seq_id"), r, p) > missed_cleavage_prob(F.col("seq"), p, ratio))
+        spans = F.zip_with(F.concat(F.array(F.lit(0)), kept), F.concat(kept, F.array(F.length("seq"))), lambda b, e: F.struct(b.alias("b"), (e - b).alias("size")))
+        return F.transform(F.filter(spans, lambda x: x["size"] > 0), lambda x: F.substr(F.col("seq"), x["b"] + 1, x["size"]))
+
+    return sited.select("seq_id", "grp", F.transform(F.sequence(F.lit(0), F.lit(replicas - 1)), replica).alias("pieces"))
+
+
 def primary(fragments: DataFrame) -> DataFrame:
     """Fragments of replica 0; idx is their place."""
     return fragments.filter("replica = 0").select("seq_id", "grp", F.col("pos").alias("idx"), "fragment")

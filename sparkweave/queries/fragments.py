@@ -20,13 +20,21 @@ def frags(spark: SparkSession, d: str) -> DataFrame:
     return Q.once(S.segment(seqs(spark, d), "trypsin", 0.3, 3, 42), "fragments")
 
 
+def primaries(spark: SparkSession, d: str) -> DataFrame:
+    """The primary fragments alone: one replica, cut where it is used."""
+    return S.primary(S.segment(seqs(spark, d), "trypsin", 0.3, 1, 42))
+
+
+def proved(spark: SparkSession, d: str) -> DataFrame:
+    """seq_id, grp, i, j of the edges that three replicas prove, without a shuffle."""
+    return E.edges_in_rows(S.cut_rows(seqs(spark, d), "trypsin", 0.3, 3, 42))
+
+
 @query(
     f"WITH {EDGES} SELECT grp, count(*) AS n_edges, count(DISTINCT seq_id) AS n_seqs, sum(i * 31 + j)::BIGINT AS checksum FROM edges JOIN (SELECT DISTINCT seq_id, grp FROM seqs) USING (seq_id) GROUP BY grp"
 )
 def entry_confirmed_edges(spark, d):
-    s = seqs(spark, d)
-    edges = E.confirmed_edges(frags(spark, d)).join(s.select("seq_id", "grp"), "seq_id")
-    return edges.groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("seq_id").alias("n_seqs"), F.sum(F.col("i") * 31 + F.col("j")).alias("checksum"))
+    return proved(spark, d).groupBy("grp").agg(F.count(F.lit(1)).alias("n_edges"), F.countDistinct("seq_id").alias("n_seqs"), F.sum(F.col("i") * 31 + F.col("j")).alias("checksum"))
 
 
 def _rule_sql(condition: str, last: str = "length(seq) + 1") -> str:
@@ -133,25 +141,30 @@ PAIRS, UNPROVED_PAIRS = EDGES + _PAIRS, FRAGS + _PAIRS
 
 @query(f"WITH {EDGES} SELECT seq_id, i, j FROM edges")
 def j1_confirmed_edges(spark, d):
+    return proved(spark, d).select("seq_id", "i", "j")
+
+
+@query(f"WITH {EDGES} SELECT seq_id, i, j FROM edges")
+def j1_confirmed_edges_of_a_table(spark, d):
+    """The same from a table of fragments, where sequences are not at hand."""
     return E.confirmed_edges(frags(spark, d))
 
 
 @query(f"WITH {PAIRS} SELECT seq_id, count(*) AS n_pairs, sum(i * 7 + j * 13)::BIGINT AS checksum FROM pairs GROUP BY seq_id")
 def j2_ordered_pairs(spark, d):
-    pairs = E.ordered_pairs(S.primary(frags(spark, d)))
+    pairs = E.ordered_pairs(primaries(spark, d))
     return pairs.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("i") * 7 + F.col("j") * 13).alias("checksum"))
 
 
 @query(f"WITH {PAIRS} SELECT seq_id, count(*) AS n_unscored, sum(i * 7 + j * 13)::BIGINT AS checksum FROM (SELECT seq_id, i, j FROM pairs EXCEPT SELECT * FROM edges) GROUP BY seq_id")
 def j3_unscored_pairs(spark, d):
-    f = frags(spark, d)
-    left = E.unscored_pairs(E.ordered_pairs(S.primary(f)), E.confirmed_edges(f))
+    left = E.unscored_pairs(E.ordered_pairs(primaries(spark, d)), proved(spark, d).select("seq_id", "i", "j"))
     return left.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_unscored"), F.sum(F.col("i") * 7 + F.col("j") * 13).alias("checksum"))
 
 
 @query(f"WITH {EDGES} SELECT seq_id, i, count(*)::INTEGER AS n_successors, string_agg(j, ',' ORDER BY j) AS successors FROM edges GROUP BY ALL")
 def j4_confirmed_successors(spark, d):
-    s = E.confirmed_successors(E.confirmed_edges(frags(spark, d)))
+    s = E.confirmed_successors(proved(spark, d))
     return s.select("seq_id", "i", F.size("successors").alias("n_successors"), F.array_join(F.transform("successors", lambda x: x.cast("string")), ",").alias("successors"))
 
 
@@ -165,15 +178,14 @@ SEAM = PAIRS + ", scores AS (SELECT seq_id, i, j, (length(a) * 3 + length(b) * 2
 
 @query(f"WITH {SEAM}, s AS (SELECT seq_id, i, j, CASE WHEN (i + j) % 3 = 0 THEN -score ELSE score END AS score FROM scores) SELECT seq_id, count(*) AS n, sum(score) AS total FROM s GROUP BY seq_id")
 def j5_merge_scores(spark, d):
-    old = seam_score(E.ordered_pairs(S.primary(frags(spark, d))))
+    old = seam_score(E.ordered_pairs(primaries(spark, d)))
     new = old.filter((F.col("i") + F.col("j")) % 3 == 0).select("seq_id", "i", "j", (-F.col("score")).alias("score"))
     return E.merge_scores(old, new).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"))
 
 
 @query(f"WITH {SEAM}, s AS (SELECT s.seq_id, s.i, s.j, e.i IS NOT NULL AS confirmed, CASE WHEN e.i IS NOT NULL THEN 1000.0::DOUBLE ELSE score END AS score FROM scores s LEFT JOIN edges e ON e.seq_id = s.seq_id AND e.i = s.i AND e.j = s.j) SELECT seq_id, sum(score) AS total, count(*) FILTER (confirmed) AS n_confirmed FROM s GROUP BY seq_id")
 def j6_apply_confirmed(spark, d):
-    f = frags(spark, d)
-    s = E.apply_confirmed(seam_score(E.ordered_pairs(S.primary(f))), E.confirmed_edges(f))
+    s = E.apply_confirmed(seam_score(E.ordered_pairs(primaries(spark, d))), proved(spark, d).select("seq_id", "i", "j"))
     return s.groupBy("seq_id").agg(F.sum("score").alias("total"), F.count(F.when(F.col("confirmed"), 1)).alias("n_confirmed"))
 
 
@@ -190,14 +202,12 @@ consec AS MATERIALIZED (SELECT * FROM (SELECT seq_id, place, idx AS i, lead(idx)
 r AS (SELECT seq_id, count(*) AS realised FROM (SELECT DISTINCT seq_id, i, j FROM consec) JOIN edges USING (seq_id, i, j) GROUP BY seq_id)
 SELECT seq_id, coalesce(realised, 0) AS realised, coalesce(total, 0) AS total, CASE WHEN total > 0 AND n >= 2 THEN coalesce(realised, 0) / total::DOUBLE END AS agreement FROM n LEFT JOIN t USING (seq_id) LEFT JOIN r USING (seq_id)""")
 def j7_confirmed_agreement(spark, d):
-    f = frags(spark, d)
-    return E.confirmed_agreement(shuffled_order(S.primary(f)), E.confirmed_edges(f))
+    return E.confirmed_agreement(shuffled_order(primaries(spark, d)), proved(spark, d).select("seq_id", "i", "j"))
 
 
 @query(f"WITH {ORDERED} SELECT seq_id, place::INTEGER AS place, i, j FROM consec c WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.seq_id = c.seq_id AND e.i = c.i AND e.j = c.j)")
 def j8_unconfirmed_junctions(spark, d):
-    f = frags(spark, d)
-    return E.unconfirmed_junctions(shuffled_order(S.primary(f)), E.confirmed_edges(f))
+    return E.unconfirmed_junctions(shuffled_order(primaries(spark, d)), proved(spark, d).select("seq_id", "i", "j"))
 
 
 PRUNED = f""", tj AS (SELECT seq_id, idx, fragment, lead(fragment) OVER (PARTITION BY seq_id ORDER BY idx) AS nxt FROM prim),
@@ -209,24 +219,25 @@ RECALL = PAIRS + PRUNED
 
 @query(f"WITH {RECALL} SELECT * FROM recall")
 def j9_filter_recall(spark, d):
-    return E.filter_recall(S.primary(frags(spark, d)))
+    return E.filter_recall(primaries(spark, d))
 
 
-@query(f"WITH {UNPROVED_PAIRS} SELECT seq_id, i, j FROM pairs WHERE {IMPOSSIBLE.format('a', 'b')}")
+@query(f"WITH {UNPROVED_PAIRS} SELECT seq_id, count(*) AS n_impossible, sum(i * 7 + j * 13)::BIGINT AS checksum FROM pairs WHERE {IMPOSSIBLE.format('a', 'b')} GROUP BY seq_id")
 def pf5_impossible_pairs(spark, d):
-    return E.ordered_pairs(S.primary(frags(spark, d))).filter(E.impossible(F.col("a"), F.col("b"))).select("seq_id", "i", "j")
+    ruled_out = E.ordered_pairs(primaries(spark, d)).filter(E.impossible(F.col("a"), F.col("b")))
+    return ruled_out.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_impossible"), F.sum(F.col("i") * 7 + F.col("j") * 13).alias("checksum"))
 
 
 @query(f"WITH {FRAGS} SELECT seq_id, idx, regexp_matches(fragment, '[KR][^P]') AS missed FROM prim")
 def pf6_missed_cleavage(spark, d):
-    return S.primary(frags(spark, d)).select("seq_id", "idx", E.missed_cleavage_flag(F.col("fragment")).alias("missed"))
+    return primaries(spark, d).select("seq_id", "idx", E.missed_cleavage_flag(F.col("fragment")).alias("missed"))
 
 
 @query(f"WITH {FRAGS} SELECT seq_id, idx, fragment FROM prim WHERE fragment LIKE 'M%'")
 def pf7_start_candidates(spark, d):
-    return S.primary(frags(spark, d)).filter(F.col("fragment").startswith("M")).select("seq_id", "idx", "fragment")
+    return primaries(spark, d).filter(F.col("fragment").startswith("M")).select("seq_id", "idx", "fragment")
 
 
 @query(f"WITH {RECALL} SELECT seq_id, CASE WHEN n > 1 THEN pruned_total / (n * (n - 1))::DOUBLE * 100 ELSE 0 END AS pruned_pct FROM recall")
 def m17_pruned_pct(spark, d):
-    return E.pruned_pct(E.filter_recall(S.primary(frags(spark, d))))
+    return E.pruned_pct(E.filter_recall(primaries(spark, d)))

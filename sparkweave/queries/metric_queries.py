@@ -9,7 +9,7 @@ from sparkweave.operators import edges as E
 from sparkweave.operators import metrics as M
 from sparkweave.operators import segment as S
 from sparkweave.queries.base import FRAGS, query
-from sparkweave.queries.fragments import ORDERED, frags, seqs, shuffled_order
+from sparkweave.queries.fragments import ORDERED, frags, primaries, seqs, shuffled_order
 from sparkweave.queries.searches import SCORED, scored
 from sparkweave.sources import sequences as Q
 from sparkweave.sources.sequences import table
@@ -24,9 +24,9 @@ made AS MATERIALIZED (SELECT seq_id, string_agg(fragment, '' ORDER BY place) AS
 
 def orders(spark, d):
     """Sequences, primary fragments, the seeded and the true order with fragments, and what the seeded one makes."""
-    s = Q.once(seqs(spark, d), "sequences")
-    prim = S.primary(Q.once(S.segment(s, "trypsin", 0.3, 3, 42), "fragments"))
-    predicted = Q.once(M.with_text(shuffled_order(prim), prim).select("seq_id", "place", "fragment"), "order")
+    s = seqs(spark, d)
+    prim = Q.once(primaries(spark, d), "primary")
+    predicted = S.shuffle_fragments(prim, 7).select("seq_id", "place", "fragment")
     true = prim.select("seq_id", F.col("idx").alias("place"), "fragment")
     made = predicted.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "fragment"))), lambda x: x["fragment"]), "").alias("reconstruction"))
     return s, prim, predicted, true, made
@@ -154,7 +154,7 @@ def m10_pooled_concordance(spark, d):
 
 @query(f"WITH {ORDERS} SELECT seq_id, arg_min(idx, place) = 0 AS n_terminal_correct FROM pred GROUP BY seq_id")
 def m11_n_terminal_correct(spark, d):
-    order = shuffled_order(S.primary(frags(spark, d)))
+    order = shuffled_order(primaries(spark, d))
     return order.groupBy("seq_id").agg((F.min_by("idx", "place") == 0).alias("n_terminal_correct"))
 
 
@@ -197,5 +197,5 @@ def m14_fragment_count(spark, d):
 
 @query(f"WITH {FRAGS}, n AS (SELECT seq_id, count(*) AS n FROM prim GROUP BY seq_id) SELECT seq_id, CASE WHEN n < 2 THEN '<2' WHEN n <= 4 THEN '2-4' WHEN n <= 9 THEN '5-9' WHEN n <= 19 THEN '10-19' WHEN n <= 49 THEN '20-49' ELSE '50+' END AS bin FROM n")
 def m15_fragment_bin(spark, d):
-    n = S.primary(frags(spark, d)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
+    n = primaries(spark, d).groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"))
     return n.select("seq_id", M.fragment_bin(F.col("n")).alias("bin"))

@@ -10,7 +10,7 @@ from sparkweave.operators import scoring as C
 from sparkweave.operators import search as O
 from sparkweave.operators import segment as S
 from sparkweave.queries.base import DRAW, IMPOSSIBLE, query
-from sparkweave.queries.fragments import ORDERED, PAIRS, UNPROVED_PAIRS, frags, seqs, shuffled_order
+from sparkweave.queries.fragments import ORDERED, PAIRS, UNPROVED_PAIRS, frags, primaries, proved, seqs, shuffled_order
 from sparkweave.sources import sequences as Q
 
 MODEL = """,
@@ -32,22 +32,30 @@ FULL = SCORED + f""", flagged AS MATERIALIZED (SELECT s.seq_id, s.i, s.j, CASE W
 
 
 def scored(spark, d, window: int = 3):
-    pairs = E.ordered_pairs(S.primary(frags(spark, d)))
+    pairs = E.ordered_pairs(primaries(spark, d))
     return C.score_pairs(C.junction_targets(pairs, window), C.residue_model(seqs(spark, d)))
 
 
 def flagged(spark, d):
     """Scores with confirmed pairs at the sentinel, and which pairs cleavage rules out."""
-    f = frags(spark, d)
-    pairs = E.ordered_pairs(S.primary(f))
+    prim = Q.once(primaries(spark, d), "primary")
+    pairs = E.ordered_pairs(prim)
     marks = pairs.select("seq_id", "i", "j", E.impossible(F.col("a"), F.col("b")).alias("impossible"))
-    rows = E.apply_confirmed(scored(spark, d), E.confirmed_edges(f)).join(marks, ["seq_id", "i", "j"])
-    return Q.once(rows, "scores"), S.primary(f)
+    scores = C.score_pairs(C.junction_targets(pairs, 3), C.residue_model(seqs(spark, d)))
+    rows = E.apply_confirmed(scores, proved(spark, d)).join(marks, ["seq_id", "i", "j"])
+    return Q.once(rows, "scores"), prim
 
 
-@query(f"WITH {UNPROVED_PAIRS}, t AS (SELECT *, unnest(range(0, least(3, length(b)))) AS p FROM pairs) SELECT seq_id, i, j, p::INTEGER AS p, a || substr(b, 1, p) AS \"left\", substr(b, p + 2) AS \"right\", substr(b, p + 1, 1) AS target FROM t")
+_HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query(f"""WITH {UNPROVED_PAIRS}, t AS (SELECT *, unnest(range(0, least(3, length(b)))) AS p FROM pairs)
+SELECT seq_id, count(*) AS n_targets, sum(i * 7 + j * 13 + p)::BIGINT AS checksum, sum({_HEX.format("concat_ws('|', a || substr(b, 1, p), substr(b, p + 2), substr(b, p + 1, 1))")})::BIGINT AS texts FROM t GROUP BY seq_id""")
 def sc1_junction_targets(spark, d):
-    return C.junction_targets(E.ordered_pairs(S.primary(frags(spark, d))), 3)
+    """All targets of all pairs; their texts as a sum of digests."""
+    targets = C.junction_targets(E.ordered_pairs(primaries(spark, d)), 3)
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", "left", "right", "target")), 1, 8), 16, 10).cast("long")
+    return targets.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n_targets"), F.sum(F.col("i") * 7 + F.col("j") * 13 + F.col("p")).alias("checksum"), F.sum(digest).alias("texts"))
 
 
 @query(f"WITH {PAIRS}{MODEL} SELECT * FROM model")
@@ -124,7 +132,7 @@ def sc9_first_residue_probability(spark, d):
 
 @query(f"WITH {SCORED}, r AS (SELECT s.seq_id, s.score, length(p.b) AS len FROM scores s JOIN pairs p USING (seq_id, i, j)) SELECT seq_id, round(sum(score * len) / sum(len) + 1e-10::DOUBLE, 6) AS weighted_mean FROM r GROUP BY seq_id")
 def sc10_length_weighted_mean(spark, d):
-    sizes = S.primary(frags(spark, d)).select("seq_id", F.col("idx").alias("j"), F.length("fragment").alias("len"))
+    sizes = primaries(spark, d).select("seq_id", F.col("idx").alias("j"), F.length("fragment").alias("len"))
     return C.length_weighted_mean(scored(spark, d).join(sizes, ["seq_id", "j"]), "seq_id", "score", "len").select("seq_id", settle("weighted_mean").alias("weighted_mean"))
 
 
@@ -203,7 +211,7 @@ def o6_search_diagnostics(spark, d):
     m = links.groupBy("seq_id").agg(settle(F.avg("score")).alias("mean_junction_score"), F.count(F.when(F.col("confirmed"), 1)).alias("realised"))
     t = scores.filter("confirmed").groupBy("seq_id").agg(F.count(F.lit(1)).alias("total"))
     # An edge from a fragment to its own double is confirmed though it is no pair.
-    loops = E.confirmed_edges(frags(spark, d)).filter("i = j").groupBy("seq_id").agg(F.count(F.lit(1)).alias("loops"))
+    loops = proved(spark, d).filter("i = j").groupBy("seq_id").agg(F.count(F.lit(1)).alias("loops"))
     out = paths.select("seq_id", "forced").join(m, "seq_id", "left").join(t, "seq_id", "left").join(loops, "seq_id", "left")
     return out.select("seq_id", "forced", F.coalesce("realised", F.lit(0)).alias("realised"), (F.coalesce("total", F.lit(0)) + F.coalesce("loops", F.lit(0))).alias("total"), "mean_junction_score")
 
@@ -218,7 +226,7 @@ def o7_assemble(spark, d):
 
 @query(f"WITH {ORDERED} SELECT seq_id, idx, place::INTEGER AS place FROM ord")
 def o8_random_order(spark, d):
-    return shuffled_order(S.primary(frags(spark, d)))
+    return shuffled_order(primaries(spark, d))
 
 
 # Candidates: the lines of an order are its iterations

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.operators import segment as S
 from sparkweave.queries.base import SEQS, query
-from sparkweave.queries.fragments import MIXED, frags, seqs
+from sparkweave.queries.fragments import MIXED, frags, primaries, seqs
 from sparkweave.sources import sequences as Q
 from sparkweave.sources.sequences import table
 
@@ -130,7 +130,7 @@ def pf13_arms_present(spark, d):
 def pf17_shape_predictors(spark, d):
     from sparkweave.functions.rounding import settle
 
-    n = S.primary(frags(spark, d)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("fragments"))
+    n = primaries(spark, d).groupBy("seq_id").agg(F.count(F.lit(1)).alias("fragments"))
     return seqs(spark, d).join(n, "seq_id").select("seq_id", "fragments", settle(F.length("seq") / F.col("fragments")).alias("mean_length"), F.length("seq").cast("long").alias("length"))
 
 

@@ -11,7 +11,7 @@ from sparkweave.operators import metrics as M
 from sparkweave.operators import search as O
 from sparkweave.operators import segment as S
 from sparkweave.queries.base import DRAW, EDGES, FRAGS, query
-from sparkweave.queries.fragments import PRUNED, RECALL, frags, seqs
+from sparkweave.queries.fragments import PRUNED, RECALL, frags, primaries, seqs
 from sparkweave.queries.report_queries import ARMS, arms
 from sparkweave.queries.searches import GRID, SCORED, combo_grid, scored
 from sparkweave.sources.sequences import table
@@ -23,14 +23,14 @@ R6 = "round({} + 1e-10::DOUBLE, 6)"
 r AS (SELECT seq_id, avg((rank <= 1)::INTEGER) AS top1, avg((rank <= 3)::INTEGER) AS top3, avg(1.0::DOUBLE / rank) AS mrr, count(*) AS junctions FROM k WHERE j = i + 1 GROUP BY seq_id)
 SELECT count(*) AS n, {R6.format('avg(top1)')} AS top1, {R6.format('avg(top3)')} AS top3, {R6.format('avg(mrr)')} AS mrr, sum(junctions)::BIGINT AS junctions FROM r""")
 def a13_junction_ranking_summary(spark, d):
-    true = E.consecutive(S.primary(frags(spark, d)).select("seq_id", F.col("idx").alias("place"), "idx")).select("seq_id", "i", "j")
+    true = E.consecutive(primaries(spark, d).select("seq_id", F.col("idx").alias("place"), "idx")).select("seq_id", "i", "j")
     r = M.junction_ranking(scored(spark, d), true)
     return r.agg(F.count(F.lit(1)).alias("n"), settle(F.avg("top1")).alias("top1"), settle(F.avg("top3")).alias("top3"), settle(F.avg("mrr")).alias("mrr"), F.sum("junctions").alias("junctions"))
 
 
 @query(f"WITH {RECALL} SELECT {R6.format('1 - sum(pruned_true) / sum(true_junctions)::DOUBLE')} AS recall, count(*) FILTER (pruned_true > 0) AS with_loss, sum(pruned_total)::BIGINT AS pruned_total FROM recall")
 def a14_filter_recall_summary(spark, d):
-    r = E.filter_recall(S.primary(frags(spark, d)))
+    r = E.filter_recall(primaries(spark, d))
     return r.agg(settle(1 - F.sum("pruned_true") / F.sum("true_junctions")).alias("recall"), F.count(F.when(F.col("pruned_true") > 0, 1)).alias("with_loss"), F.sum("pruned_total").alias("pruned_total"))
 
 
