@@ -39,11 +39,22 @@ def missed_cleavage_prob(seq: Column, pos: Column, ratio: float) -> Column:
     return F.when((pos > 0) & (F.substr(seq, pos, F.lit(1)) == "K"), F.least(F.lit(ratio * 1.5), F.lit(1.0))).otherwise(F.lit(float(ratio)))
 
 
+def _kept(seq: Column, sites: Column, prefix: Column, ratio: float) -> Column:
+    """The sites whose draw is above their probability of being missed; prefix holds the draw's other parts.
+
+    A draw is the first 32 bits of a digest, so it is above a probability exactly if the digest's text is above that
+    probability's digits: no number is made of it.
+    """
+    above = lambda p: F.lit(f"{int(min(p, 1.0) * 2**32):08x}" + "f" * 24 if p < 1 else "g")
+    high, low = above(ratio * 1.5), above(float(ratio))
+    return F.filter(sites, lambda p: F.md5(F.concat(prefix, p.cast("string"))) > F.when((p > 0) & (F.substr(seq, p, F.lit(1)) == "K"), high).otherwise(low))
+
+
 def segment(seqs: DataFrame, rule: str = "trypsin", ratio: float = 0.3, replicas: int = 3, seed: int = 42) -> DataFrame:
     """seq_id, grp, replica, pos, start, fragment: the non-empty pieces between the cuts that were not missed."""
     rows = seqs.select("seq_id", "grp", "seq", cleavage_sites(F.col("seq"), rule).alias("sites"), F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))).alias("replica"))
-    kept = F.filter("sites", lambda p: draw(seed, F.col("seq_id"), F.col("replica"), p) > missed_cleavage_prob(F.col("seq"), p, ratio))
-    cut = rows.withColumn("cuts", kept)
+    rows = rows.withColumn("prefix", F.concat(F.lit(f"{seed}|"), F.col("seq_id").cast("string"), F.lit("|"), F.col("replica").cast("string"), F.lit("|")))
+    cut = rows.select("seq_id", "grp", "seq", "replica", F.explode(F.array(_kept(F.col("seq"), F.col("sites"), F.col("prefix"), ratio))).alias("cuts"))
     begins, ends = F.concat(F.array(F.lit(0)), "cuts"), F.concat("cuts", F.array(F.length("seq")))
     pieces = F.filter(F.zip_with(begins, ends, lambda b, e: F.struct(b.alias("start"), (e - b).alias("size"))), lambda x: x["size"] > 0)
     out = cut.select("seq_id", "grp", "seq", "replica", F.posexplode(pieces).alias("pos", "piece"))
@@ -52,14 +63,18 @@ def segment(seqs: DataFrame, rule: str = "trypsin", ratio: float = 0.3, replicas
 
 def cut_rows(seqs: DataFrame, rule: str = "trypsin", ratio: float = 0.3, replicas: int = 3, seed: int = 42) -> DataFrame:
     """seq_id, grp, pieces: the fragments of every replica as an array of arrays, in the row of the sequence. A map."""
-    sited = seqs.select("seq_id", "grp", "seq", cleavage_sites(F.col("seq"), rule).alias("sites"))
+    sited = seqs.select("seq_id", "grp", "seq", F.explode(F.array(cleavage_sites(F.col("seq"), rule))).alias("sites"))
 
     def replica(r: Column) -> Column:
-        kept = F.filter("sites", lambda p: draw(seed, F.col("seq_id"), r, p) > missed_cleavage_prob(F.col("seq"), p, ratio))
+        kept = F.get("kept", r)
         spans = F.zip_with(F.concat(F.array(F.lit(0)), kept), F.concat(kept, F.array(F.length("seq"))), lambda b, e: F.struct(b.alias("b"), (e - b).alias("size")))
         return F.transform(F.filter(spans, lambda x: x["size"] > 0), lambda x: F.substr(F.col("seq"), x["b"] + 1, x["size"]))
 
-    return sited.select("seq_id", "grp", F.transform(F.sequence(F.lit(0), F.lit(replicas - 1)), replica).alias("pieces"))
+    # Exploding an array of one keeps Spark from repeating the cutting in each expression that reads the pieces.
+    sited = sited.withColumn("prefix", F.concat(F.lit(f"{seed}|"), F.col("seq_id").cast("string"), F.lit("|")))
+    kept = [_kept(F.col("seq"), F.col("sites"), F.concat("prefix", F.lit(f"{r}|")), ratio) for r in range(replicas)]
+    sited = sited.select("seq_id", "grp", "seq", F.explode(F.array(F.array(*kept))).alias("kept"))
+    return sited.select("seq_id", "grp", F.explode(F.array(F.array(*(replica(F.lit(r)) for r in range(replicas))))).alias("pieces"))
 
 
 def primary(fragments: DataFrame) -> DataFrame:
