@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions.rounding import settle
 
+from sparkweave.operators.ranges import ranked, running
 from sparkweave.operators.segment import draw
 
 
@@ -87,20 +88,17 @@ def wilcoxon_signed_rank(rows: DataFrame, a: str, b: str, by: list[str]) -> Data
     """n_pairs, n_nonzero, n_positive, n_negative, w_plus, w_minus, ties, median_delta and p of paired columns.
 
     Zero differences are dropped; exact p without ties up to 50 differences, else the normal approximation with
-    tie and continuity corrections. Differences are rounded to nine digits, so that equal ones tie. Ranks need
-    an order per group: a group is first aggregated to its distinct absolute differences.
+    tie and continuity corrections. Differences are rounded to nine digits, so that equal ones tie. A group
+    is aggregated to its distinct differences first; ranks then come from ranges of them.
     """
     d = F.round(F.col(a) - F.col(b), 9)
     pairs = rows.filter(finite(F.col(a)).isNotNull() & finite(F.col(b)).isNotNull()).select(*by, d.alias("d"))
     values = pairs.groupBy(*by, "d").agg(F.count(F.lit(1)).alias("c"))
-    through = Window.partitionBy(*by).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    all_of = Window.partitionBy(*by)
-    placed = values.withColumn("up_to", F.sum("c").over(through)).withColumn("n_all", F.sum("c").over(all_of))
-    medians = placed.filter(F.col("up_to") > F.floor(F.col("n_all") / 2)).groupBy(*by).agg(F.min("d").alias("median_delta"))
+    placed = running(values, by, "d", ["c"])
+    middle = F.floor(F.col("all_c") / 2)
+    medians = placed.filter((F.col("before_c") <= middle) & (middle < F.col("before_c") + F.col("c"))).select(*by, F.col("d").alias("median_delta"))
     sizes = values.filter("d <> 0").groupBy(*by, F.abs("d").alias("size")).agg(F.sum("c").alias("tie"), F.sum(F.when(F.col("d") > 0, F.col("c")).otherwise(0)).alias("plus"))
-    before = Window.partitionBy(*by).orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = sizes.withColumn("rank", F.sum("tie").over(before) - F.col("tie") + (F.col("tie") + 1) / 2)
-    sums = ranked.groupBy(*by).agg(
+    sums = ranked(sizes, by, "size", "tie").groupBy(*by).agg(
         F.sum("tie").alias("n_nonzero"),
         F.sum("plus").alias("n_positive"),
         F.sum(F.col("rank") * F.col("plus")).alias("w_plus"),
@@ -142,13 +140,12 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
     def ranks(name: str) -> DataFrame:
         counts = pairs.groupBy(*by, name).agg(F.sum("c").alias("t"))
-        up_to = F.sum("t").over(Window.partitionBy(*by).orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select(*by, name, (up_to - F.col("t") + (F.col("t") + 1) / 2).alias(f"r{name}"))
+        return ranked(counts, by, name, "t").select(*by, name, F.col("rank").alias(f"r{name}"))
 
-    ranked = pairs.join(ranks("x"), [*by, "x"]).join(ranks("y"), [*by, "y"])
+    both = pairs.join(ranks("x"), [*by, "x"]).join(ranks("y"), [*by, "y"])
     s = lambda e: F.sum(F.col("c") * e)
     rx, ry = F.col("rx"), F.col("ry")
-    sums = ranked.groupBy(*by).agg(F.sum("c").alias("n"), s(rx).alias("sx"), s(ry).alias("sy"), s(rx * rx).alias("sxx"), s(ry * ry).alias("syy"), s(rx * ry).alias("sxy"))
+    sums = both.groupBy(*by).agg(F.sum("c").alias("n"), s(rx).alias("sx"), s(ry).alias("sy"), s(rx * rx).alias("sxx"), s(ry * ry).alias("syy"), s(rx * ry).alias("sxy"))
     n = F.col("n")
     vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
     rho = F.when((n >= 4) & (vx > 0) & (vy > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy))
@@ -194,7 +191,7 @@ def bca_bootstrap(rows: DataFrame, by: list[str], idx: str, value: str, resample
     skew = rows.join(point, by).groupBy(*by).agg(F.sum(F.pow(dev, F.lit(3))).alias("d3"), F.sum(dev * dev).alias("d2"))
     acceleration = F.when(F.col("d2") > 0, F.col("d3") / (6 * F.pow("d2", F.lit(1.5)))).otherwise(0.0)
     sorted_means = means.groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("m"))
-    out = point.join(skew, by).join(sorted_means, by).withColumn("share", F.size(F.filter("m", lambda v: v < F.col("point"))) / resamples)
+    out = point.join(skew, by).join(sorted_means, by).withColumn("share", F.size(F.filter("m", lambda v: settle(v, 9) < settle(F.col("point"), 9))) / resamples)
     alpha = 1 - confidence
     out = out.withColumn("a", acceleration).withColumn("z0", normal_quantile(F.col("share")))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.operators import edges as E
-
+from sparkweave.operators.ranges import pair_orders
 
 
 def exact_match(a: Column, b: Column) -> Column:
@@ -150,16 +150,11 @@ def rank_concordance(candidates: DataFrame) -> DataFrame:
 
 
 def pooled_concordance(candidates: DataFrame, key: str) -> DataFrame:
-    """The same over all candidates of a group, by counting in value order instead of pairing.
-
-    Rows are first aggregated by (validity, quality); pairs of distinct values are then counted by a join of
-    these bounded tables, whose values should be rounded.
-    """
-    rows = candidates.filter(~F.isnan("validity") & (F.abs("validity") < float("inf"))).groupBy(key, "validity", "quality").agg(F.count(F.lit(1)).alias("n"))
-    a = rows.select(key, F.col("validity").alias("v1"), F.col("quality").alias("q1"), F.col("n").alias("n1"))
-    b = rows.select(key, F.col("validity").alias("v2"), F.col("quality").alias("q2"), F.col("n").alias("n2"))
-    pairs = a.join(b, key).filter("v1 < v2 and q1 <> q2")
-    return pairs.groupBy(key).agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs"), (F.sum(F.when(F.col("q1") > F.col("q2"), F.col("n1") * F.col("n2")).otherwise(0)) / F.sum(F.col("n1") * F.col("n2"))).alias("concordance"))
+    """The same over all candidates of a group, by counting pairs while merging, without pairing (ranges.pair_orders)."""
+    rows = candidates.filter(~F.isnan("validity") & (F.abs("validity") < float("inf")))
+    found = pair_orders(rows, [key], "validity", "quality")
+    total = F.col("same") + F.col("opposite")
+    return found.filter(total > 0).select(key, total.alias("pairs"), (F.col("opposite") / total).alias("concordance"))
 
 
 def breakpoints(n: Column, apa: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions.stats import finite
 from sparkweave.operators.metrics import BINS
+from sparkweave.operators.ranges import quantiles, running
 
 
 def nanmean(x: Column) -> Column:
@@ -17,15 +18,23 @@ def nanmean(x: Column) -> Column:
 def distribution_stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, population sd, min, quartiles and max of finite values."""
     x = finite(F.col(value))
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), q.alias("q"), F.max(x).alias("max"))
-    return out.select(*by, "n", "mean", "sd", "min", *(F.get("q", i).alias(name) for i, name in enumerate(("p25", "median", "p75"))), "max")
+    out = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return _beside(out, quantiles(rows, by, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}), by).select(*by, "n", "mean", "sd", "min", "p25", "median", "p75", "max")
+
+
+def _beside(out: DataFrame, found: DataFrame, by: list[str]) -> DataFrame:
+    """out with the other columns of found, joined by the groups; a null group is a group."""
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return out.join(found.drop("n").withColumnsRenamed({c: f"__{c}" for c in by}), same, "left")
 
 
 def describe_group(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, median (of the middle two), sample sd, min and max."""
     x = F.col(value)
-    return rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.percentile(x, 0.5).alias("median"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    out = rows.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"))
+    return _beside(out, quantiles(rows, by, value, {"median": 0.5}), by).select(*by, "n", "mean", "median", "sd", "min", "max")
 
 
 def bins_table(spark) -> DataFrame:
@@ -60,11 +69,6 @@ def counts_with_zeros(rows: DataFrame, by: list[str], kind: str, kinds: list[str
     return out.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*by)))
 
 
-def upper_median(values: Column) -> Column:
-    """The upper of the middle two: the element at floor(n / 2), counted from 0. For bounded groups."""
-    return F.get(F.array_sort(F.collect_list(values)), F.floor(F.count(values) / 2).cast("int"))
-
-
 def ceiling_gap(rows: DataFrame, by: list[str], ceiling: str, chosen: str) -> DataFrame:
     gap = F.col(ceiling) - F.col(chosen)
     return rows.groupBy(*by).agg(F.count(gap).alias("n"), F.avg(gap).alias("mean_gap"), F.count(F.when(gap > 1e-12, 1)).alias("n_gap"))
@@ -72,7 +76,8 @@ def ceiling_gap(rows: DataFrame, by: list[str], ceiling: str, chosen: str) -> Da
 
 def median_split(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Mean of y up to the median of x, less that above; null under four rows or with an empty side."""
-    middle = rows.groupBy(*by).agg(F.percentile(F.col(x), 0.5).alias("__m"), F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    middle = _beside(sizes, quantiles(rows, by, x, {"__m": 0.5}), by).select(*by, "__m", "n")
     low, high = F.when(F.col(x) <= F.col("__m"), F.col(y)), F.when(F.col(x) > F.col("__m"), F.col(y))
     out = rows.join(middle, by).groupBy(*by).agg(F.max("n").alias("n"), F.avg(low).alias("low_mean"), F.avg(high).alias("high_mean"))
     return out.withColumn("difference", F.when(F.col("n") >= 4, F.col("low_mean") - F.col("high_mean")))
@@ -92,8 +97,7 @@ def common_language_effect(rows: DataFrame, group: str, a: str, b: str, value: s
     """P(a > b) + P(a = b) / 2 within bins that have least rows of each, from rank sums of distinct values, without pairs."""
     of = lambda g: F.count(F.when(F.col(group) == g, 1))
     values = rows.filter(F.col(group).isin(a, b)).groupBy("bin", value).agg(of(a).alias("ca"), of(b).alias("cb"))
-    below = F.sum("cb").over(Window.partitionBy("bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    wins = values.withColumn("wins", F.col("ca") * (F.coalesce(below, F.lit(0)) + F.col("cb") / 2))
+    wins = running(values, ["bin"], value, ["cb"]).withColumn("wins", F.col("ca") * (F.col("before_cb") + F.col("cb") / 2))
     bins = wins.groupBy("bin").agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"), F.sum("wins").alias("wins")).filter((F.col("na") >= least) & (F.col("nb") >= least))
     return bins.agg((F.sum("wins") / F.sum(F.col("na") * F.col("nb"))).alias("effect"), F.count(F.lit(1)).alias("bins"))
 

@@ -9,6 +9,7 @@ from sparkweave.functions import stats as T
 from sparkweave.functions.rounding import settle
 from sparkweave.operators import metrics as M
 from sparkweave.operators import reports as A
+from sparkweave.operators.ranges import order_statistics
 from sparkweave.queries.base import query
 from sparkweave.queries.metric_queries import KIND, SAMPLE, samples
 from sparkweave.sources.sequences import table
@@ -103,10 +104,8 @@ def a8_nterm_analysis(spark, d):
 @query(f"WITH {SAMPLE}, b AS (SELECT grp, {R6.format('(n - 1) * (1 - apa)')} AS b, 1 - apa AS x FROM sample WHERE n >= 2) SELECT grp, count(*) AS n, {R6.format('avg(b)')} AS mean, list_sort(list(b))[count(*) // 2 + 1] AS median, min(b) AS min, max(b) AS max, {R6.format('avg(x)')} AS normalised, count(*) FILTER (b < 0.5) AS zeros FROM b GROUP BY grp")
 def a9_breakpoint_stats(spark, d):
     s = samples(spark, d).filter("n >= 2").withColumn("b", settle(M.breakpoints(F.col("n"), F.col("apa"))))
-    # The upper median without gathering a group: the first value whose running count passes half.
-    values = s.groupBy("grp", "b").agg(F.count(F.lit(1)).alias("c"))
-    placed = values.withColumn("up_to", F.sum("c").over(Window.partitionBy("grp").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("c").over(Window.partitionBy("grp")))
-    middle = placed.filter(F.col("up_to") > F.floor(F.col("all") / 2)).groupBy("grp").agg(F.min("b").alias("median"))
+    # The upper of the middle two.
+    middle = order_statistics(s, ["grp"], "b", {"median": F.floor(F.col("n") / 2)}).drop("n")
     out = s.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), settle(F.avg("b")).alias("mean"), F.min("b").alias("min"), F.max("b").alias("max"), settle(F.avg(1 - F.col("apa"))).alias("normalised"), F.count(F.when(F.col("b") < 0.5, 1)).alias("zeros"))
     return out.join(middle, "grp")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkweave.functions import stats as T
 from sparkweave.functions.rounding import settle
 from sparkweave.operators import reports as A
+from sparkweave.operators.ranges import quantiles
 from sparkweave.queries.base import DRAW, query
 from sparkweave.sources.sequences import table
 
@@ -32,8 +33,8 @@ def t1_wilson_interval(spark, d):
 
 @query(f"SELECT l_returnflag, {R6.format('quantile_cont(l_extendedprice, 0.05)')} AS p05, {R6.format('quantile_cont(l_extendedprice, 0.5)')} AS p50, {R6.format('quantile_cont(l_extendedprice, 0.95)')} AS p95 FROM lineitem GROUP BY 1")
 def t4_percentile(spark, d):
-    q = F.percentile("l_extendedprice", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(q.alias("q")).select("l_returnflag", *(settle(F.get("q", i)).alias(n) for i, n in enumerate(("p05", "p50", "p95"))))
+    q = quantiles(table(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    return q.select("l_returnflag", *(settle(n).alias(n) for n in ("p05", "p50", "p95")))
 
 
 @query(f"""WITH c AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 0) AS n10, count(*) FILTER (quality = 0 AND toxic = 1) AS n01, count(*) FILTER (quality = 1 AND toxic = 1) AS n11, count(*) FILTER (quality = 0 AND toxic = 0) AS n00 FROM labels JOIN documents USING (doc_id) GROUP BY lang)
@@ -163,7 +164,7 @@ def bca(replicates: int = 200) -> str:
 dv AS (SELECT g, s / n - CASE WHEN n > 1 THEN (s - x) / (n - 1) END AS dev FROM v JOIN pt USING (g)),
 ac AS (SELECT g, CASE WHEN sum(dev * dev) > 0 THEN sum(dev * dev * dev) / (6 * pow(sum(dev * dev), 1.5)) ELSE 0 END AS a FROM dv GROUP BY g),
 ms AS (SELECT g, list(mean ORDER BY mean) AS m FROM bm GROUP BY g),
-sh AS (SELECT g, n, point, small, large, a, m, len(list_filter(m, lambda y: y < point)) / {replicates}::DOUBLE AS share FROM pt JOIN ac USING (g) JOIN ms USING (g)),
+sh AS (SELECT g, n, point, small, large, a, m, len(list_filter(m, lambda y: round(y + 1e-13::DOUBLE, 9) < round(point + 1e-13::DOUBLE, 9))) / {replicates}::DOUBLE AS share FROM pt JOIN ac USING (g) JOIN ms USING (g)),
 z0 AS (SELECT *, {halving} AS z0 FROM sh), zs AS (SELECT *, {end.format('(-' + Z + ')')} AS z_low, {end.format(Z)} AS z_high FROM z0),
 qs AS (SELECT *, {phi('z_low')} AS q_low, {phi('z_high')} AS q_high, CASE WHEN share <= 0 OR share >= 1 THEN 'percentile (BCa z0 undefined)' WHEN z_low IS NULL OR z_high IS NULL THEN 'percentile (BCa acceleration unstable)' ELSE '' END AS plain FROM zs),
 bca AS (SELECT g, n, {R6.format('point')} AS point, {R6.format(value('q_low', '0.025::DOUBLE'))} AS low, {R6.format(value('q_high', '0.975::DOUBLE'))} AS high,

@@ -10,6 +10,7 @@ from sparkweave.operators import edges as E
 from sparkweave.operators import metrics as M
 from sparkweave.operators import search as O
 from sparkweave.operators import segment as S
+from sparkweave.operators.ranges import order_statistics
 from sparkweave.queries.base import DRAW, EDGES, FRAGS, query
 from sparkweave.queries.fragments import PRUNED, RECALL, frags, primaries, seqs
 from sparkweave.queries.report_queries import ARMS, arms
@@ -96,8 +97,7 @@ def a31_clipped_density(spark, d):
     """Lengths capped at the 99th percentile (a listed value), as a density in 15 bins; empty bins left out."""
     x = table(spark, d, "documents").filter("n_chars is not null").select(F.col("n_chars").cast("double").alias("x"))
     values = x.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    through = values.withColumn("up_to", F.sum("c").over(Window.orderBy("x"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    cap = through.filter(F.col("up_to") > F.floor(0.99 * (F.col("n") - 1))).agg(F.min("x").alias("cap"), F.max("n").alias("n"))
+    cap = order_statistics(x, [], "x", {"cap": F.floor(0.99 * (F.col("n") - 1))})
     clipped = values.join(F.broadcast(cap)).select(F.least("x", "cap").alias("x"), "c", "n")
     ends = clipped.agg(F.min("x").alias("lo"), ((F.max("x") - F.min("x")) / 15).alias("width"))
     bins = clipped.join(F.broadcast(ends)).groupBy(F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(14)).alias("bin"), "n", "width").agg(F.sum("c").alias("count"))
