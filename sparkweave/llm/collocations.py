@@ -36,13 +36,13 @@ from pyspark.sql import functions as F
 from sparkweave.llm.common import LOWER, Scratch, mixed, word_hashes, word_spans
 
 #: Bytes of text that a numpy step handles.
-STEP = 1_000_000
+STEP = 500_000
 
 #: The longest phrase, and the largest table of bits that is broadcast for one level (32 MB).
 LONGEST, FILTER_BITS = 5, 1 << 28
 
 #: Fingerprints, or phrases, that a task combines before it passes them on, and rows that it passes on at a time.
-COMBINED, SPELT, PASSED = 1_500_000, 300_000, 20_000
+COMBINED, SPELT, PASSED = 1_000_000, 300_000, 20_000
 
 #: Languages up to which their totals are broadcast.
 FEW_LANGS = 10_000
@@ -59,7 +59,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         _POWERS[:] = []
         for base in (_BASE, pow(_BASE, -1, 2**64)):
             steps = np.full(size, base, np.uint64)
@@ -180,7 +180,7 @@ def counted(tokens: DataFrame, first: int, last: int, filters: dict, least: int)
             prints = np.concatenate(held[n])
             held[n], sizes[n] = [], 0
             prints.sort()
-            begins = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+            begins = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])).astype(np.int32)
             counts = np.diff(np.append(begins, len(prints)))
             for start in range(0, len(begins), PASSED):
                 own = slice(start, start + PASSED)
@@ -265,6 +265,7 @@ def spelt_phrases(docs: DataFrame, filters: dict, least: int) -> DataFrame:
 
         def emptied() -> Iterator[pa.RecordBatch]:
             table = held.pop()
+            pa.default_memory_pool().release_unused()
             yield from table.set_column(2, "phrase", table["phrase"].cast(pa.binary()).cast(pa.string())).to_batches(max_chunksize=10_000)
 
         for batch in batches:

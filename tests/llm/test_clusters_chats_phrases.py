@@ -157,7 +157,7 @@ def test_a_text_above_the_step_is_cut_without_losing_or_doubling(spark):
     got = {r.phrase: r.f for r in phrases.frequent_phrases(spark.createDataFrame([("en", text)], "lang string, text string"), 100)[0].collect()}
     assert got["new york times are here"] == 200_000 and got["now new york times are"] == 199_999 and got["new"] == 200_000
     parts = list(phrases._parts(np.frombuffer(text.encode(), np.uint8)))
-    assert len(parts) == 6 and sum(own for _, own in parts) == len(text)
+    assert len(parts) == 12 and sum(own for _, own in parts) == len(text)
 
 
 def test_one_word_above_the_step(spark):
