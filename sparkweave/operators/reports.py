@@ -69,6 +69,14 @@ def counts_with_zeros(rows: DataFrame, by: list[str], kind: str, kinds: list[str
     return out.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(*by)))
 
 
+def display_samples(rows: DataFrame, by: list[str], order: str, limit: int = 30, head: int = 15, tail: int = 5) -> DataFrame:
+    """All rows of groups up to limit, else the first head and the last tail; hidden is how many are left out."""
+    placed = running(rows.withColumn("__one", F.lit(1)), by, order, ["__one"])
+    k, n = F.col("before___one"), F.col("all___one")
+    shown = placed.filter((n <= limit) | (k < head) | (k >= n - tail))
+    return shown.withColumn("hidden", F.when(n > limit, n - head - tail).otherwise(0)).drop("__one", "before___one", "all___one")
+
+
 def ceiling_gap(rows: DataFrame, by: list[str], ceiling: str, chosen: str) -> DataFrame:
     gap = F.col(ceiling) - F.col(chosen)
     return rows.groupBy(*by).agg(F.count(gap).alias("n"), F.avg(gap).alias("mean_gap"), F.count(F.when(gap > 1e-12, 1)).alias("n_gap"))

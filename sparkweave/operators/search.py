@@ -126,10 +126,14 @@ def lever_grid(spark, space: dict[str, list]) -> DataFrame:
     """All combinations of the axes' values, numbered; an empty axis is an error."""
     if not space or any(not values for values in space.values()):
         raise ValueError("every axis needs a value")
-    grid = spark.range(1).select(*(F.array(*map(F.lit, values)).alias(name) for name, values in space.items()))
-    for name in space:
-        grid = grid.withColumn(name, F.explode(name))
-    return grid
+    return crossed(spark.range(1), space).drop("id")
+
+
+def crossed(rows: DataFrame, space: dict[str, list]) -> DataFrame:
+    """Every row with every combination of the axes' values, as further columns."""
+    for name, values in space.items():
+        rows = rows.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    return rows
 
 
 def combo_overrides(combos: DataFrame, base: dict) -> DataFrame:

@@ -263,8 +263,15 @@ def o10_ceiling(spark, d):
 GRID = "grid AS (SELECT w || '/' || m || '/' || b AS combo FROM (VALUES (1), (3), (5)) a(w), (VALUES ('beam'), ('greedy')) s(m), (VALUES (5), (25)) t(b))"
 
 
+SPACE = {"w": [1, 3, 5], "m": ["beam", "greedy"], "b": [5, 25]}
+
+
+def combo_name():
+    return F.concat_ws("/", F.col("w").cast("string"), "m", F.col("b").cast("string"))
+
+
 def combo_grid(spark):
-    return O.lever_grid(spark, {"w": [1, 3, 5], "m": ["beam", "greedy"], "b": [5, 25]}), F.concat_ws("/", F.col("w").cast("string"), "m", F.col("b").cast("string"))
+    return O.lever_grid(spark, SPACE), combo_name()
 
 
 @query(f"WITH {GRID}, s AS (SELECT o_orderkey AS sample FROM orders), r AS (SELECT sample, combo, row_number() OVER (PARTITION BY sample ORDER BY {DRAW.format('42, sample, combo')}, combo) + 1 AS iteration FROM s, grid WHERE combo <> '3/greedy/25') SELECT sample, iteration::INTEGER AS iteration, combo FROM r WHERE iteration <= 5 UNION ALL SELECT sample, 1, '3/greedy/25' FROM s")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkweave.operators import segment as S
+from sparkweave.operators import reports as A
 from sparkweave.queries.base import SEQS, query
 from sparkweave.queries.fragments import MIXED, frags, primaries, seqs
 from sparkweave.sources import sequences as Q
@@ -110,6 +111,12 @@ def pf11_display_samples(spark, d):
     return rows.filter("n <= 3 or k <= 2 or k > n - 1").select("conv_id", "turn", (F.col("n") - F.least("n", F.lit(3))).alias("hidden"))
 
 
+@query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT user_id, event_id, CASE WHEN n > 30 THEN n - 20 ELSE 0 END AS hidden FROM r WHERE n <= 30 OR k <= 15 OR k > n - 5")
+def pf11_display_thirty(spark, d):
+    """Up to 30 events of a user, else the first 15 and the last 5."""
+    return A.display_samples(table(spark, d, "events").select("user_id", "event_id"), ["user_id"], "event_id")
+
+
 @query("""WITH r AS (SELECT l_orderkey AS k, count(*) AS lines, bool_or(l_returnflag = 'R') AS control FROM lineitem GROUP BY 1)
 SELECT o_orderpriority AS run, max((o_orderdate, o_orderkey))[2] AS latest, count(*) AS candidates FROM orders JOIN r ON k = o_orderkey WHERE lines = 3 AND control GROUP BY 1""")
 def pf12_resolve_runs(spark, d):

@@ -14,7 +14,7 @@ from sparkweave.operators.ranges import order_statistics
 from sparkweave.queries.base import DRAW, EDGES, FRAGS, query
 from sparkweave.queries.fragments import PRUNED, RECALL, frags, primaries, seqs
 from sparkweave.queries.report_queries import ARMS, arms
-from sparkweave.queries.searches import GRID, SCORED, combo_grid, scored
+from sparkweave.queries.searches import GRID, SCORED, SPACE, combo_grid, combo_name, scored
 from sparkweave.sources.sequences import table
 
 R6 = "round({} + 1e-10::DOUBLE, 6)"
@@ -120,9 +120,8 @@ def a39_per_sample_summary(spark, d):
 @query(f"WITH {GRID}, o AS (SELECT DISTINCT l_linenumber AS extra FROM lineitem) SELECT combo, extra FROM grid, o")
 def j13_lever_grid(spark, d):
     """The grid of levers, crossed with a further axis of few values that the data give."""
-    grid, name = combo_grid(spark)
-    extra = [r.extra for r in table(spark, d, "lineitem").select(F.col("l_linenumber").alias("extra")).distinct().collect()]
-    return grid.select(name.alias("combo"), F.explode(F.array(*map(F.lit, sorted(extra)))).alias("extra"))
+    extra = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("extra")).distinct()
+    return O.crossed(extra, SPACE).select(combo_name().alias("combo"), "extra")
 
 
 @query(f"WITH s AS (SELECT DISTINCT o_orderpriority AS combo FROM orders) SELECT (row_number() OVER (ORDER BY {DRAW.format('42, combo')}, combo))::INTEGER AS iteration, combo FROM s")
