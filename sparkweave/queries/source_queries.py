@@ -89,6 +89,13 @@ def pf4_alphabet_profile(spark, d):
     return seqs(spark, d).groupBy("grp").agg(F.count(F.when(inside, 1)).alias("inside"), F.count(F.when(~inside, 1)).alias("outside"))
 
 
+@query(f"WITH {SEQS}, l AS (SELECT DISTINCT grp, unnest(string_split(seq, '')) AS letter FROM seqs) SELECT grp, string_agg(letter, '' ORDER BY letter) AS letters FROM l GROUP BY grp")
+def pf4_letters_seen(spark, d):
+    """The letters of each language's sequences, in order."""
+    letters = seqs(spark, d).select("grp", F.explode(F.array_distinct(F.split("seq", ""))).alias("letter")).filter("letter <> ''").distinct()
+    return letters.groupBy("grp").agg(F.array_join(F.array_sort(F.collect_set("letter")), "").alias("letters"))
+
+
 @query("SELECT l_returnflag, count(*) AS n, count(CASE WHEN l_discount > 0 AND l_tax > 0 THEN 1 END) AS usable FROM lineitem GROUP BY 1")
 def pf8_clean_pairs(spark, d):
     from sparkweave.functions.stats import finite
