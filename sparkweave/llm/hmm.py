@@ -38,7 +38,7 @@ BLOCK_BYTES = 8_000_000
 STATES, OWN, ENDINGS, SEGMENT = 8, 1500, 1024, 1024
 #: Tokens whose forward and backward rows are held at a time.
 CHUNK_TOKENS = 250_000
-ROUNDS = 5
+ROUNDS = 8
 #: Class numbers: the end, then endings, then words of their own.
 END, CLASSES = 0, 1 + ENDINGS + OWN
 
