@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from sparkweave.functions.rounding import settle
 
-from sparkweave.operators.ranges import ranked, running
+from sparkweave.operators.ranges import ranked, running, value_counts
+from sparkweave.operators.resampling import MEAN, Statistic, beside, replicates
 from sparkweave.operators.segment import draw
+from sparkweave.sources.sequences import once
 
 
 #: Degrees of freedom up to which Student's series is summed.
@@ -191,9 +193,18 @@ def bca_bootstrap(rows: DataFrame, by: list[str], idx: str, value: str, resample
     skew = rows.join(point, by).groupBy(*by).agg(F.sum(F.pow(dev, F.lit(3))).alias("d3"), F.sum(dev * dev).alias("d2"))
     acceleration = F.when(F.col("d2") > 0, F.col("d3") / (6 * F.pow("d2", F.lit(1.5)))).otherwise(0.0)
     sorted_means = means.groupBy(*by).agg(F.array_sort(F.collect_list("mean")).alias("m"))
-    out = point.join(skew, by).join(sorted_means, by).withColumn("share", F.size(F.filter("m", lambda v: settle(v, 9) < settle(F.col("point"), 9))) / resamples)
+    return corrected_interval(share_below(point.join(skew, by).join(sorted_means, by).withColumn("a", acceleration), resamples), by, resamples, confidence)
+
+
+def share_below(out: DataFrame, resamples: int) -> DataFrame:
+    """Adds share, the part of the resamples m whose statistic is below the point; both are settled first."""
+    return out.withColumn("share", F.size(F.filter("m", lambda v: settle(v, 9) < settle(F.col("point"), 9))) / resamples)
+
+
+def corrected_interval(out: DataFrame, by: list[str], resamples: int, confidence: float) -> DataFrame:
+    """The interval from out: by, n, point, least, most, the acceleration a, share, and m, the sorted statistics of the resamples."""
     alpha = 1 - confidence
-    out = out.withColumn("a", acceleration).withColumn("z0", normal_quantile(F.col("share")))
+    out = out.withColumn("z0", normal_quantile(F.col("share")))
 
     def adjusted(z: float) -> Column:
         num = F.col("z0") + z
@@ -212,6 +223,22 @@ def bca_bootstrap(rows: DataFrame, by: list[str], idx: str, value: str, resample
     return out.select(*by, "n", "point", end(lo, alpha / 2).alias("low"), end(hi, 1 - alpha / 2).alias("high"), method.alias("method"))
 
 
+def bca_interval(rows: DataFrame, by: list[str], value: str, statistic: Statistic = MEAN, resamples: int = 10_000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
+    """by, n, point, low, high, method for any statistic of weighted values; resamples are drawn as counts of distinct values.
+
+    Non-finite values are left out; a group without values gives no row. A statistic without an acceleration gets a
+    bias-corrected interval, with the same method labels.
+    """
+    counts = once(value_counts(rows, by, value), "counts")
+    sizes = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+    point = statistic.of(counts, by, value, "c").withColumnRenamed("theta", "point")
+    found = replicates(counts, by, value, statistic, resamples, seed).groupBy(*by).agg(F.sort_array(F.collect_list("theta")).alias("m"))  # resamples numbers
+    out = beside(beside(sizes, point, by), found, by)
+    out = beside(out, statistic.acceleration(counts, by, value), by) if statistic.acceleration else out.withColumn("a", F.lit(0.0))
+    # Written before the folds of the normal distribution, which would count the resamples again in every step.
+    return corrected_interval(once(share_below(out.fillna(0.0, ["a"]), resamples), "shares"), by, resamples, confidence)
+
+
 def metric_interval(rows: DataFrame, by: list[str], idx: str, value: str, binary: list[str], resamples: int = 1000, seed: int = 42) -> DataFrame:
     """rows: by, metric, idx, value. by, metric, n, point, low, high, method: the score interval for binary metrics
     (values 0 and 1), the bootstrap's for the others. idx numbers a group's values of a metric from 0."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkweave.functions import stats as T
 from sparkweave.functions.rounding import settle
 from sparkweave.operators import reports as A
+from sparkweave.operators import resampling as R
 from sparkweave.operators.ranges import quantiles
 from sparkweave.queries.base import DRAW, query
 from sparkweave.sources.sequences import table
@@ -154,15 +155,20 @@ bm AS (SELECT g, replicate, avg(x) AS mean FROM dr JOIN v USING (g, idx) GROUP B
 
 
 def bca(replicates: int = 200) -> str:
-    """bca (g, n, point, low, high, method) from v and the replicates of boot; z0 comes from 60 halvings of [-8, 8]."""
+    """bca from v and the replicates of boot."""
+    return boot(replicates) + f""", pt AS (SELECT g, count(*) AS n, avg(x) AS point, sum(x) AS s, min(x) AS small, max(x) AS large FROM v GROUP BY g),
+dv AS (SELECT g, s / n - CASE WHEN n > 1 THEN (s - x) / (n - 1) END AS dev FROM v JOIN pt USING (g)),
+ac AS (SELECT g, CASE WHEN sum(dev * dev) > 0 THEN sum(dev * dev * dev) / (6 * pow(sum(dev * dev), 1.5)) ELSE 0 END AS a FROM dv GROUP BY g)""" + corrected(replicates)
+
+
+def corrected(replicates: int) -> str:
+    """bca (g, n, point, low, high, method) from pt, ac and the replicates bm; z0 comes from 60 halvings of [-8, 8]."""
     halving = f"list_reduce(list_concat([0::DOUBLE], list_transform(range(1, 61), lambda h: 8 / pow(2, h))), lambda y, step: y + CASE WHEN ({phi('y')}) < share THEN step ELSE -step END)"
     end = "CASE WHEN 1 - a * (z0 + {0}) > 0 THEN z0 + (z0 + {0}) / (1 - a * (z0 + {0})) END"
     place = "m[floor({0} * {1})::INTEGER + 1] + (m[least(floor({0} * {1})::INTEGER + 2, {2})] - m[floor({0} * {1})::INTEGER + 1]) * ({0} * {1} - floor({0} * {1}))"
     at = lambda q: place.format(q, replicates - 1, replicates)
     value = lambda q, p: f"CASE WHEN n < 2 THEN 'nan'::DOUBLE WHEN small = large THEN point WHEN plain = '' THEN {at(q)} ELSE {at(p)} END"
-    return boot(replicates) + f""", pt AS (SELECT g, count(*) AS n, avg(x) AS point, sum(x) AS s, min(x) AS small, max(x) AS large FROM v GROUP BY g),
-dv AS (SELECT g, s / n - CASE WHEN n > 1 THEN (s - x) / (n - 1) END AS dev FROM v JOIN pt USING (g)),
-ac AS (SELECT g, CASE WHEN sum(dev * dev) > 0 THEN sum(dev * dev * dev) / (6 * pow(sum(dev * dev), 1.5)) ELSE 0 END AS a FROM dv GROUP BY g),
+    return f""",
 ms AS (SELECT g, list(mean ORDER BY mean) AS m FROM bm GROUP BY g),
 sh AS (SELECT g, n, point, small, large, a, m, len(list_filter(m, lambda y: round(y + 1e-13::DOUBLE, 9) < round(point + 1e-13::DOUBLE, 9))) / {replicates}::DOUBLE AS share FROM pt JOIN ac USING (g) JOIN ms USING (g)),
 z0 AS (SELECT *, {halving} AS z0 FROM sh), zs AS (SELECT *, {end.format('(-' + Z + ')')} AS z_low, {end.format(Z)} AS z_high FROM z0),
@@ -186,6 +192,90 @@ def t2_bca_bootstrap(spark, d):
     return b.select("g", "n", settle("point").alias("point"), settle("low").alias("low"), settle("high").alias("high"), "method")
 
 
+def mixed(x: str) -> str:
+    """The 32-bit mixing function of the tree's draws."""
+    for _ in range(2):
+        x = f"((xor({x}, ({x}) >> 16) * 73244475) & 4294967295)"
+    return f"xor({x}, {x} >> 16)"
+
+
+#: Log of the chance that k of times draws from c rows fall on l of them, with and without replacement.
+BINOMIAL = "lgamma(times + 1) - lgamma(k + 1) - lgamma(times - k + 1) + k * ln(l / c::DOUBLE) + (times - k) * ln((c - l) / c::DOUBLE)"
+CHOOSE = "lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1)"
+HYPERGEOMETRIC = f"{CHOOSE.format('l', 'k')} + {CHOOSE.format('(c - l)', '(times - k)')} - ({CHOOSE.format('c', 'times')})"
+
+
+def tree(draws: int, replace: bool) -> str:
+    """dealt (g, x, draw, times) from cells (g, x, c) and m (g, m): every split is looked up in its whole distribution."""
+    span = "range(0, times + 1)" if replace else "range(greatest(0, times - (c - l)), least(times, l) + 1)"
+    possible = "" if replace else "AND times <= c"
+    return f""",
+numbered AS MATERIALIZED (SELECT g, x, c, row_number() OVER (PARTITION BY g ORDER BY x) - 1 AS number FROM cells),
+top AS (SELECT greatest(1, ceil(log2(max(number) + 1)))::BIGINT AS top FROM numbered),
+nodes AS MATERIALIZED (SELECT g, height, number >> height AS node, sum(c)::BIGINT AS c FROM (SELECT g, number, c, unnest(range(0, top + 1)) AS height FROM numbered, top) GROUP BY ALL),
+splits AS MATERIALIZED (
+  SELECT p.g, p.height, p.node, p.c, coalesce(l.c, 0) AS l, ('0x' || substr(md5(concat_ws('|', 42, p.g, p.height, p.node)), 1, 8))::BIGINT AS base
+  FROM nodes p LEFT JOIN nodes l ON l.g = p.g AND l.height = p.height - 1 AND l.node = 2 * p.node WHERE p.height > 0),
+sized AS (SELECT DISTINCT l, c, times FROM (SELECT l, c, unnest(range(1, m + 1)) AS times FROM splits JOIN m USING (g) WHERE l > 0 AND l < c) WHERE true {possible}),
+chances AS (SELECT *, exp({BINOMIAL if replace else HYPERGEOMETRIC}) AS p FROM (SELECT l, c, times, unnest({span}) AS k FROM sized)),
+law AS MATERIALIZED (
+  SELECT l, c, times, min(k) AS low, max(k) AS high, list(f ORDER BY k) AS reached
+  FROM (SELECT *, sum(p) OVER (PARTITION BY l, c, times ORDER BY k) AS f FROM chances) GROUP BY l, c, times),
+rep AS (SELECT range AS draw, {mixed('(range + 1)')} AS h FROM range({draws})),
+split AS (
+  SELECT m.g, top AS height, 0::BIGINT AS node, draw, h, m::BIGINT AS times FROM m, top, rep
+  UNION ALL
+  SELECT g, height - 1, 2 * node + side, draw, h, CASE WHEN side = 0 THEN b ELSE times - b END FROM (
+    SELECT g, height, node, draw, h, times,
+      CASE WHEN l = 0 THEN 0 WHEN l = c THEN times ELSE least(high, low + len(list_filter(reached, lambda y: y <= u))) END AS b
+    FROM (
+      SELECT t.*, s.l, s.c, w.low, w.high, w.reached, {mixed('xor(t.h, s.base)')} / 4294967296::DOUBLE AS u
+      FROM split t JOIN splits s ON s.g = t.g AND s.height = t.height AND s.node = t.node
+      LEFT JOIN law w ON w.l = s.l AND w.c = s.c AND w.times = t.times)), (VALUES (0), (1)) e(side)
+  WHERE CASE WHEN side = 0 THEN b ELSE times - b END > 0),
+dealt AS (SELECT s.g, n.x, s.draw, s.times FROM split s JOIN numbered n ON n.g = s.g AND n.number = s.node WHERE s.height = 0)"""
+
+
+RESAMPLED = f"WITH RECURSIVE {SUPPLIERS}, cells AS (SELECT g, x, count(*) AS c FROM v GROUP BY ALL), m AS (SELECT g, count(*) AS m FROM v GROUP BY g)" + tree(10_000, True)
+
+
+@query(f"""{RESAMPLED}, bm AS (SELECT g, draw, sum(times * x) / sum(times) AS mean FROM dealt GROUP BY ALL),
+pt AS (SELECT g, count(*) AS n, avg(x) AS point, min(x) AS small, max(x) AS large FROM v GROUP BY g),
+dv AS (SELECT v.g, (x - point) / (n - 1) AS dev FROM v JOIN pt USING (g) WHERE n > 1),
+ac AS (SELECT pt.g, coalesce(CASE WHEN sum(dev * dev) > 0 THEN sum(dev * dev * dev) / (6 * pow(sum(dev * dev), 1.5)) END, 0) AS a FROM pt LEFT JOIN dv ON dv.g = pt.g GROUP BY pt.g)
+{corrected(10_000)} SELECT * FROM bca""")
+def t2_bca_by_counts(spark, d):
+    """Intervals of each nation's mean balance from 10,000 resamples, drawn as counts of distinct values."""
+    b = T.bca_interval(by_nation(spark, d), ["g"], "x", R.MEAN, 10_000, 42)
+    return b.select("g", "n", settle("point").alias("point"), settle("low").alias("low"), settle("high").alias("high"), "method")
+
+
+@query(f"""{RESAMPLED}, placed AS (SELECT g, draw, x, times, sum(times) OVER (PARTITION BY g, draw ORDER BY x) - times AS before, sum(times) OVER (PARTITION BY g, draw) AS n FROM dealt),
+bm AS (SELECT g, draw, (max(x) FILTER (before <= (n - 1) // 2 AND (n - 1) // 2 < before + times) + max(x) FILTER (before <= n // 2 AND n // 2 < before + times)) / 2 AS mean FROM placed GROUP BY ALL),
+pt AS (SELECT g, count(*) AS n, median(x) AS point, min(x) AS small, max(x) AS large FROM v GROUP BY g),
+lo AS (SELECT a.g, a.idx, median(b.x) AS theta FROM v a JOIN v b ON a.g = b.g AND a.idx <> b.idx GROUP BY ALL),
+dv AS (SELECT g, avg(theta) OVER (PARTITION BY g) - theta AS dev FROM lo),
+ac AS (SELECT pt.g, coalesce(CASE WHEN sum(dev * dev) > 0 THEN sum(dev * dev * dev) / (6 * pow(sum(dev * dev), 1.5)) END, 0) AS a FROM pt LEFT JOIN dv ON dv.g = pt.g GROUP BY pt.g)
+{corrected(10_000)} SELECT * FROM bca""")
+def t2_bca_of_median(spark, d):
+    """The same resamples with the median as the statistic."""
+    b = T.bca_interval(by_nation(spark, d), ["g"], "x", R.MEDIAN, 10_000, 42)
+    return b.select("g", "n", settle("point").alias("point"), settle("low").alias("low"), settle("high").alias("high"), "method")
+
+
+GAP = "sum(((s - {0}) / na - {0} / nb) * (na + nb)) / sum(na + nb)"
+
+
+@query(f"""WITH RECURSIVE {GROUPS}, bins AS (SELECT bin AS g, count(*) FILTER (grp = 'en') AS na, count(*) FILTER (grp = 'fr') AS nb, sum(value) AS s, sum(value) FILTER (grp = 'fr') AS sb FROM g GROUP BY bin HAVING na >= 3 AND nb >= 3),
+cells AS (SELECT bin AS g, value AS x, count(*) AS c FROM g WHERE bin IN (SELECT g FROM bins) GROUP BY ALL), m AS (SELECT g, nb AS m FROM bins){tree(10_000, False)},
+o AS (SELECT {GAP.format('sb')} AS observed, count(*) AS bins FROM bins), sums AS (SELECT g, draw, sum(times * x) AS ds FROM dealt GROUP BY ALL), gaps AS (SELECT draw, {GAP.format('ds')} AS gap FROM sums JOIN bins USING (g) GROUP BY draw)
+SELECT {R6.format('any_value(observed)')} AS observed, any_value(bins) AS bins, {R6.format('(count(*) FILTER (abs(gap) >= abs(observed) - 1e-9) + 1) / 10001.0::DOUBLE')} AS p FROM gaps, o""")
+def t13_permutation_by_counts(spark, d):
+    """The gap of two languages within bins of length against 10,000 new deals of their labels, drawn as counts of distinct values."""
+    p = R.permuted_gap(two_groups(spark, d), "grp", "en", "fr", "value", 10_000, 42)
+    return p.select(settle("observed").alias("observed"), "bins", settle("p").alias("p"))
+
+
 @query(f"WITH {SUPPLIERS}, s AS (SELECT g, count(*) AS n, sum(x) AS s FROM v GROUP BY g), l AS (SELECT g, s / n - (s - x) / (n - 1) AS dev FROM v JOIN s USING (g) WHERE n > 1) SELECT g, {R6.format('CASE WHEN sum(dev * dev) > 0 THEN sum(dev * dev * dev) / (6 * pow(sum(dev * dev), 1.5)) ELSE 0 END')} AS acceleration FROM l GROUP BY g")
 def t3_jackknife_acceleration(spark, d):
     rows = by_nation(spark, d)
