@@ -3,7 +3,8 @@
 Features of a text are the hashed words, pairs of neighbouring words and pairs with one word between
 (after lower-casing A-Z, words being runs of ASCII letters and digits and of all other characters that are
 not ASCII), each counted once for a text. Hashes have 64 bits, so long texts do not meet strangers' features.
-Only features in enough documents of the sample are included, as is usual with FTRL.
+Only features in at least MIN_DOCS documents of the sample are included, as is usual with FTRL; the number is
+the same at every size, and L1 does the rest.
 
 Training uses a bounded sample of labelled rows: all rows whose hash of doc_id is under a threshold that
 makes about SAMPLE_ROWS of them (all, if there are fewer). The sample is spread over shards of about SHARD_ROWS rows. In each
@@ -31,8 +32,8 @@ from sparkweave.llm.common import LOWER, Scratch, documents_rows, few_rows, mixe
 #: The bound on labelled rows in training.
 SAMPLE_ROWS = 20_000
 SHARD_ROWS, ROUNDS = 5_000, 8
-#: Documents of the sample that must hold a feature, at the full sample.
-MIN_DOCS = 12
+#: Documents of the sample that must hold a feature, whatever the sample's size.
+MIN_DOCS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: The intercept where there is no label to learn from.
 NO_LABELS = -700.0
@@ -110,9 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, min_d
         yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums)], names=["feature", "n"])
 
     n_rows = rows.count()
-    least = max(3, round(min_docs * n_rows / SAMPLE_ROWS))
-    counted = rows.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    included = np.sort(np.array([r.feature for r in counted.select("feature").collect()], np.int64).view(np.uint64))  # bounded by the sample
+    counted = rows.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    included = np.sort(counted.select("feature").toArrow().column("feature").to_numpy().view(np.uint64))  # bounded by the sample
 
     vocabulary = spark.sparkContext.broadcast(included)
 
