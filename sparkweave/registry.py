@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkweave.queries import candidate_queries, fragments, metric_queries, report_queries, run_queries, searches, source_queries, stat_queries, summary_queries  # noqa: F401
+from sparkweave.queries import candidate_queries, fragments, metric_queries, report_queries, run_queries, searches, source_queries, stat_queries, summary_queries, table_queries  # noqa: F401
 from sparkweave.queries.base import ORACLE, QUERIES
 
 
