@@ -3,8 +3,8 @@
 Features of a text are the hashed words, pairs of neighbouring words and pairs with one word between
 (after lower-casing A-Z, words being runs of ASCII letters and digits and of all other characters that are
 not ASCII), each counted once for a text. Hashes have 64 bits, so long texts do not meet strangers' features.
-Only features in at least MIN_DOCS documents of the sample are included, as is usual with FTRL; the number is
-the same at every size, and L1 does the rest.
+Only features in at least MIN_DOCS documents of the sample whose association with the label reaches LEAST_G2
+are included; both are the same at every size, and L1 does the rest.
 
 Training uses a bounded sample of labelled rows: all rows whose hash of doc_id is under a threshold that
 makes about SAMPLE_ROWS of them (all, if there are fewer). The sample is spread over shards of about SHARD_ROWS rows. In each
@@ -34,6 +34,8 @@ SAMPLE_ROWS = 20_000
 SHARD_ROWS, ROUNDS = 5_000, 8
 #: Documents of the sample that must hold a feature, whatever the sample's size.
 MIN_DOCS = 3
+#: Likelihood ratio of a feature and the label that is included: chi-squared's 0.999 at one degree of freedom.
+LEAST_G2 = 10.83
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: The intercept where there is no label to learn from.
 NO_LABELS = -700.0
@@ -82,6 +84,13 @@ class Ftrl:
         self.n[i] = n + g * g
 
 
+def _likelihood_ratio(n: Column, t: Column, n_rows: int, n_toxic: int) -> Column:
+    """Twice the log likelihood ratio of n documents with a feature, t of them toxic, among n_rows with n_toxic."""
+    term = lambda seen, row, column: F.when((seen > 0) & (row > 0) & (column > 0), seen * F.log(seen * float(n_rows) / (row * column))).otherwise(0.0)
+    clean = F.lit(n_rows - n_toxic)
+    return 2 * (term(t, n, F.lit(n_toxic)) + term(n - t, n, clean) + term(n_toxic - t, n_rows - n, F.lit(n_toxic)) + term(clean - n + t, n_rows - n, clean))
+
+
 def _sample(labels: DataFrame, learn: Column) -> DataFrame:
     """About SAMPLE_ROWS of the labelled rows that may be learnt from: doc_id, toxic."""
     usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
@@ -101,17 +110,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, min_d
     rows = scratch.table(rows.withColumn("shard", F.pmod(order, F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", order, "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        known, sums, toxic_sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in few_rows(batches, "text"):
             found = [distinct_features(t) for t in batch.column("text").to_pylist()]
-            values, counts = np.unique(np.concatenate(found or [known]), return_counts=True)
-            merged, place = np.unique(np.concatenate([known, values]), return_inverse=True)
-            sums = np.bincount(place, np.concatenate([sums, counts]), len(merged)).astype(np.int64)
+            labels_of = np.repeat(batch.column("toxic").to_numpy().astype(np.int64), [len(f) for f in found])
+            merged, place = np.unique(np.concatenate([known, *found]), return_inverse=True)
+            sums = np.bincount(place, np.concatenate([sums, np.ones(len(labels_of), np.int64)]), len(merged)).astype(np.int64)
+            toxic_sums = np.bincount(place, np.concatenate([toxic_sums, labels_of]), len(merged)).astype(np.int64)
             known = merged
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums)], names=["feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums), pa.array(toxic_sums)], names=["feature", "n", "t"])
 
-    n_rows = rows.count()
-    counted = rows.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
+    n_rows, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
+    sums = rows.select(F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(count, "feature long, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    counted = sums.filter((F.col("n") >= min_docs) & (_likelihood_ratio(F.col("n"), F.col("t"), n_rows, n_toxic) >= LEAST_G2))
     included = np.sort(counted.select("feature").toArrow().column("feature").to_numpy().view(np.uint64))  # bounded by the sample
 
     vocabulary = spark.sparkContext.broadcast(included)
