@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkweave.operators import segment as S
 from sparkweave.operators import reports as A
 from sparkweave.queries.base import SEQS, query
-from sparkweave.queries.fragments import MIXED, frags, primaries, seqs
+from sparkweave.queries.fragments import MIXED, cut, frags, primaries, seqs
 from sparkweave.sources import sequences as Q
 from sparkweave.sources.sequences import table
 
@@ -27,9 +27,8 @@ def io1_fasta_round_trip(spark, d):
 
 @query(f"WITH {MIXED}, u AS (SELECT seq_id, string_agg(fragment, ',' ORDER BY place) AS fragments, count(*)::INTEGER AS num_fragments FROM placed GROUP BY seq_id) SELECT seq_id, seq AS target, md5(fragments) AS fragments_md5, num_fragments FROM seqs JOIN u USING (seq_id)")
 def io3_fragment_jsonl_round_trip(spark, d):
-    s = seqs(spark, d)
     path = Q.shared_folder(spark, "fragments")
-    Q.fragment_jsonl_sink(S.assemble_records(S.segment(s, "trypsin", 0.3, 3, 42), s, 42), path)
+    Q.fragment_jsonl_sink(S.records_in_rows(cut(spark, d), 42), path)
     return Q.fragment_jsonl_scan(spark, path).select("seq_id", "target", F.md5(F.array_join("fragments", ",")).alias("fragments_md5"), "num_fragments")
 
 

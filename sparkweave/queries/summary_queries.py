@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from sparkweave.functions.rounding import settle
 from sparkweave.operators import edges as E
 from sparkweave.operators import metrics as M
+from sparkweave.operators import scoring as C
 from sparkweave.operators import search as O
 from sparkweave.operators import segment as S
 from sparkweave.operators.ranges import order_statistics
 from sparkweave.queries.base import DRAW, EDGES, FRAGS, query
-from sparkweave.queries.fragments import PRUNED, RECALL, frags, primaries, seqs
+from sparkweave.queries.fragments import PRUNED, RECALL, cut, primaries
 from sparkweave.queries.report_queries import ARMS, arms
-from sparkweave.queries.searches import GRID, SCORED, SPACE, combo_grid, combo_name, scored
+from sparkweave.queries.searches import GRID, SCORED, SPACE, combo_grid, combo_name, model, scored_pairs
+from sparkweave.sources import sequences as Q
 from sparkweave.sources.sequences import table
 
 R6 = "round({} + 1e-10::DOUBLE, 6)"
@@ -24,8 +26,7 @@ R6 = "round({} + 1e-10::DOUBLE, 6)"
 r AS (SELECT seq_id, avg((rank <= 1)::INTEGER) AS top1, avg((rank <= 3)::INTEGER) AS top3, avg(1.0::DOUBLE / rank) AS mrr, count(*) AS junctions FROM k WHERE j = i + 1 GROUP BY seq_id)
 SELECT count(*) AS n, {R6.format('avg(top1)')} AS top1, {R6.format('avg(top3)')} AS top3, {R6.format('avg(mrr)')} AS mrr, sum(junctions)::BIGINT AS junctions FROM r""")
 def a13_junction_ranking_summary(spark, d):
-    true = E.consecutive(primaries(spark, d).select("seq_id", F.col("idx").alias("place"), "idx")).select("seq_id", "i", "j")
-    r = M.junction_ranking(scored(spark, d), true)
+    r = M.rank_summary(M.ranked_pairs(scored_pairs(spark, d, spread=True).select("seq_id", "i", "j", "score")).filter(F.col("j") == F.col("i") + 1))
     return r.agg(F.count(F.lit(1)).alias("n"), settle(F.avg("top1")).alias("top1"), settle(F.avg("top3")).alias("top3"), settle(F.avg("mrr")).alias("mrr"), F.sum("junctions").alias("junctions"))
 
 
@@ -40,11 +41,10 @@ STRENGTH = RECALL + ", n AS (SELECT seq_id, any_value(grp) AS grp, count(*) AS n
 
 @query(f"WITH {STRENGTH} SELECT grp, {R6.format('avg(c)')} AS mean_edges, {R6.format('avg(share)')} AS mean_share, {R6.format('avg(pruned)')} AS mean_pruned_pct FROM x GROUP BY grp")
 def a16_overlap_strength(spark, d):
-    f = frags(spark, d)
-    n = S.primary(f).groupBy("seq_id", "grp").agg(F.count(F.lit(1)).alias("n"))
-    c = E.confirmed_edges(f).groupBy("seq_id").agg(F.count(F.lit(1)).alias("c"))
-    pruned = E.pruned_pct(E.filter_recall(S.primary(f)))
-    x = n.join(c, "seq_id", "left").withColumn("c", F.coalesce("c", F.lit(0))).join(pruned, "seq_id")
+    primary, whole = F.col("pieces")[0], F.array_distinct(F.flatten("pieces"))
+    x = cut(spark, d).filter("seq_id is not null").select("seq_id", "grp", F.size(primary).alias("n"), F.size(E.edges_of(primary, whole)).alias("c"), E.pruned_in_row(primary).alias("pruned_total"))
+    pairs = F.col("n").cast("long") * (F.col("n") - 1)
+    x = x.withColumn("pruned_pct", F.when(pairs > 0, F.col("pruned_total") / pairs * 100).otherwise(0.0))
     share = F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1))
     return x.groupBy("grp").agg(settle(F.avg("c")).alias("mean_edges"), settle(F.avg(share)).alias("mean_share"), settle(F.avg("pruned_pct")).alias("mean_pruned_pct"))
 
@@ -63,11 +63,9 @@ c AS (SELECT seq_id, r.range AS replicas, count(*) AS c FROM proved JOIN range(2
 @query(f"WITH {SCALED} SELECT grp, r.range::INTEGER AS replicas, count(*) AS sequences, coalesce(sum(c), 0)::BIGINT AS edges, {R6.format('avg(coalesce(c, 0))')} AS mean_edges, {R6.format('avg(CASE WHEN n > 1 THEN coalesce(c, 0) / (n - 1)::DOUBLE END)')} AS mean_share FROM n CROSS JOIN range(2, 4) r LEFT JOIN c ON c.seq_id = n.seq_id AND c.replicas = r.range GROUP BY ALL")
 def a24_replica_scaling(spark, d):
     """What two and three replicas confirm in each group."""
-    f = frags(spark, d)
-    n = S.primary(f).groupBy("seq_id", "grp").agg(F.count(F.lit(1)).alias("n"))
-    found = [E.confirmed_edges(f.filter(F.col("replica") < r)).groupBy("seq_id").agg(F.count(F.lit(1)).alias("c")).withColumn("replicas", F.lit(r)) for r in (2, 3)]
-    sizes = n.select("*", F.explode(F.array(F.lit(2), F.lit(3))).alias("replicas"))
-    x = sizes.join(found[0].union(found[1]), ["seq_id", "replicas"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    primary = F.col("pieces")[0]
+    of = lambda r: F.struct(F.lit(r).alias("replicas"), F.size(E.edges_of(primary, F.array_distinct(F.flatten(F.slice("pieces", F.lit(1), F.lit(r)))))).alias("c"))
+    x = cut(spark, d).select("grp", F.size(primary).alias("n"), F.explode(F.array(of(2), of(3))).alias("x")).select("grp", "n", "x.*")
     share = F.when(F.col("n") > 1, F.col("c") / (F.col("n") - 1))
     return x.groupBy("grp", "replicas").agg(F.count(F.lit(1)).alias("sequences"), F.sum("c").alias("edges"), settle(F.avg("c")).alias("mean_edges"), settle(F.avg(share)).alias("mean_share"))
 
@@ -85,8 +83,17 @@ m AS (SELECT seq_id, avg((rank <= 1)::INTEGER) FILTER (NOT confirmed) AS top1, a
 
 @query(f"WITH RECURSIVE {DIAGNOSED} SELECT seq_id, coalesce(n, 0) AS fragments, ok.path IS NOT NULL AS recovered, {R6.format('top1')} AS top1, {R6.format('top3')} AS top3, {R6.format('mrr')} AS mrr, coalesce(junctions, 0) AS junctions, coalesce(excluded, 0) AS excluded, {R6.format('recall')} AS recall, pruned_total FROM seqs LEFT JOIN recall USING (seq_id) LEFT JOIN ok USING (seq_id) LEFT JOIN m USING (seq_id)")
 def m16_sample_diagnostics(spark, d):
-    f = frags(spark, d)
-    rows = M.sample_diagnostics(seqs(spark, d), S.primary(f), scored(spark, d), E.confirmed_edges(f))
+    kept = Q.once(cut(spark, d), "cut")
+    prim = kept.select("seq_id", "grp", F.posexplode(F.col("pieces")[0]).alias("idx", "fragment"))
+    s = kept.select("seq_id", F.array_join(F.col("pieces")[0], "").alias("seq"))
+    paths = Q.once(M.recover_true_order(s, prim).filter("path is not null").select("seq_id", "path"), "paths")
+    # A pair is a true one if its places follow each other in the recovered path, which lies in the row of the sequence.
+    rows = S.spread(kept.join(paths, "seq_id", "left").select("seq_id", "grp", "pieces", "path"))
+    pairs = C.with_mean(E.pairs_in_rows(rows, "path"), model(spark, d), C.junction_grams(3))
+    at = lambda x: F.array_position("path", F.col(x))
+    ranked = M.ranked_pairs(pairs.select("seq_id", "i", "j", "score", "confirmed", (F.col("path").isNotNull() & (at("j") == at("i") + 1)).alias("follows"))).filter("follows")
+    excluded = ranked.filter("confirmed").groupBy("seq_id").agg(F.count(F.lit(1)).alias("excluded"))
+    rows = M.diagnosed(s, prim, paths, M.rank_summary(ranked.filter(~F.col("confirmed"))), excluded)
     return rows.select("seq_id", "fragments", "recovered", *(settle(c).alias(c) for c in ("top1", "top3", "mrr")), "junctions", "excluded", settle("recall").alias("recall"), "pruned_total")
 
 

@@ -1,9 +1,14 @@
 """What is computed in the rows of sequences, against the tables of fragments, and queries that return all of their rows."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from sparkweave import registry
 from sparkweave.operators import edges as E
+from sparkweave.operators import metrics as M
 from sparkweave.operators import scoring as C
 from sparkweave.operators import segment as S
+from sparkweave.queries import metric_queries
 from sparkweave.sources import sequences as Q
 
 TEXTS = ["Make kernels KRILL Moku RAKP " * 12, "krab keep kale rust mork risk " * 9, "Plain text without much", "", None, "K", "MK MK R"]
@@ -32,7 +37,59 @@ def test_targets_are_returned_row_by_row(spark, tmp_path):
 def test_pairs_in_rows_are_those_of_the_tables(spark, tmp_path):
     _, f, cut = fragments(spark, documents(spark, tmp_path))
     pairs = E.pairs_in_rows(cut)
-    assert sorted(map(tuple, pairs.select("seq_id", "i", "j", "a", "b").collect())) == sorted(map(tuple, E.ordered_pairs(S.primary(f)).collect()))
+    assert sorted(map(tuple, pairs.select("seq_id", "i", "j", "a", "b").collect())) == sorted(map(tuple, E.ordered_pairs(S.primary(f)).select("seq_id", "i", "j", "a", "b").collect()))
     edges = E.confirmed_edges(f).filter("i <> j")
     assert sorted(map(tuple, pairs.filter("confirmed").select("seq_id", "i", "j").collect())) == sorted(map(tuple, edges.collect()))
     assert edges.count() > 0
+
+
+def moves(spark, df):
+    """What is dealt by more than a sequence's number, or in how many steps: the exchanges of the plan that carry rows."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line or "Exchange rangepartitioning" in line]
+
+
+def test_pairs_are_scored_and_grouped_without_moving(spark, tmp_path):
+    """No query deals pairs: scores need no exchange, and what groups them deals sequences once."""
+    d = documents(spark, tmp_path)
+    q = registry.queries()
+    for name in ("sc3_score_pairs", "sc8_two_sided", "sc9_first_residue_probability", "j7_confirmed_agreement", "j8_unconfirmed_junctions", "m2_qgram_similarity", "m8_compute_all", "sg9_shuffle_fragments", "sg11_multi_rule", "sg12_assemble_records"):
+        assert not [x for x in moves(spark, q[name](spark, d)) if "hashpartitioning(seq_id#" not in x or ", j#" in x], name
+    for name in ("o1_start_fragment", "o2_greedy_order", "o3_beam_order_soft", "m9_junction_ranking"):
+        assert not [x for x in moves(spark, q[name](spark, d)) if "j#" in x and "seq_id" in x and "idx" not in x], name
+
+
+def test_scores_in_rows_are_those_of_the_tables(spark, tmp_path):
+    d = documents(spark, tmp_path)
+    s, f, cut = fragments(spark, d)
+    model, pairs = C.residue_model(s), E.ordered_pairs(S.primary(f))
+    for window in (1, 3, 5):
+        wanted = C.score_pairs(C.junction_targets(pairs, window), model)
+        found = C.with_mean(E.pairs_in_rows(cut), model, C.junction_grams(window)).select("seq_id", "i", "j", "score")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+    wanted = C.score_pairs(C.two_sided_targets(pairs), model)
+    assert sorted(map(tuple, C.with_mean(E.pairs_in_rows(cut), model, C.two_sided_grams()).select("seq_id", "i", "j", "score").collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_orders_in_rows_are_measured_as_in_tables(spark, tmp_path):
+    d = documents(spark, tmp_path)
+    s, f, cut = fragments(spark, d)
+    prim = S.primary(f)
+    order = S.shuffle_fragments(prim, 7)
+    predicted, true = order.select("seq_id", "place", "fragment"), prim.select("seq_id", F.col("idx").alias("place"), "fragment")
+    rows = metric_queries.order_rows(spark, d)
+    wanted = M.compute_all(s.select("seq_id", "seq"), predicted, true, rows.select("seq_id", "reconstruction"))
+    names = ["seq_id", "exact_match", "similarity", "edit_similarity", "apa", "lcr", "tau"]
+    found = {r.seq_id: r for r in M.order_metrics(rows).select(names).collect()}
+    for r in wanted.select(names).collect():
+        assert tuple(found.pop(r.seq_id)) == pytest.approx(tuple(r))
+    assert not found
+    edges, steps = E.confirmed_edges(f), E.order_in_row(cut)
+    wanted = E.confirmed_agreement(order.select("seq_id", "place", "idx"), edges)
+    assert sorted(map(str, steps.select("seq_id", *E.agreement_in_row()).collect())) == sorted(map(str, wanted.select("seq_id", "realised", "total", "agreement").collect()))
+
+
+def test_edges_of_a_table_keep_its_places(spark):
+    rows = [(1, 0, 4, "AK"), (1, 0, 7, "BR"), (1, 0, 9, "AK"), (1, 1, 0, "AKBR"), (1, 1, 1, "BRAK"), (2, 0, 0, "CK"), (2, 1, 0, "AKBR")]
+    found = E.confirmed_edges(spark.createDataFrame(rows, "seq_id long, replica int, pos int, fragment string"))
+    assert sorted(map(tuple, found.collect())) == [(1, 7, 9), (1, 9, 7)]
