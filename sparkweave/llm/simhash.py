@@ -365,6 +365,26 @@ def proposed_edges(classes: DataFrame, patterns: np.ndarray, total: int, lanes:
     return ordered.mapInArrow(compare, "u long, v long, differ long").distinct()
 
 
+def index_edges(classes: DataFrame, lanes: int, radius: int, scratch: Scratch) -> DataFrame:
+    """u, v, differ: what connects the classes (rep, bits) whose fingerprints the Gray-order index links at most radius bits apart.
+
+    The fingerprint is the first lane. Classes that share one hang on its least; differ is counted over all lanes.
+    """
+    digits = F.hex("bits")  # bytes of a lane stand least first
+    lane = lambda k: F.concat(*(F.substring(digits, 16 * k + 2 * x + 1, 2) for x in reversed(range(8))))
+    words = F.array(*(F.conv(lane(k), 16, -10).cast("long") for k in range(lanes)))
+    keyed = scratch.table(classes.select("rep", words.alias("lanes")).withColumn("fp", F.col("lanes")[0]))
+    first = scratch.table(keyed.groupBy("fp").agg(F.min("rep").alias("rep")).withColumn("more", F.lit(b"")))
+    near = linked_edges(first, radius, scratch)
+    of = lambda name: first.select(F.col("fp").alias(name), F.col("rep").alias(f"{name}_rep"))
+    across = near.join(of("u"), "u").join(of("v"), "v").select(F.least("u_rep", "v_rep").alias("u"), F.greatest("u_rep", "v_rep").alias("v"))
+    inside = keyed.join(first.select("fp", F.col("rep").alias("first")), "fp").filter("rep <> first").select(F.col("first").alias("u"), F.col("rep").alias("v"))
+    side = lambda name: keyed.select(F.col("rep").alias(name), F.col("lanes").alias(f"{name}_lanes"))
+    both = across.union(inside).distinct().join(side("u"), "u").join(side("v"), "v")
+    differ = F.aggregate(F.zip_with("u_lanes", "v_lanes", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    return both.select("u", "v", differ.cast("long").alias("differ"))
+
+
 def nearest_edges(edges: DataFrame, few: int = 4) -> DataFrame:
     """u, v: for each node the edges with the fewest differing bits, few of them."""
     both = edges.union(edges.select("v", "u", "differ"))
@@ -487,14 +507,15 @@ def unsettled_links(edges: DataFrame, links: DataFrame, sets: DataFrame, similar
     return _met(packed, pairs, ("reps", "parts", "sizes", "shingles")).mapInArrow(compare, "u long, v long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lanes: int = 4, radius: int = 2) -> DataFrame:
     """doc_id, version (xxhash64 of the text), component, component_id (the component's least doc_id): groups of
     texts linked by a Jaccard similarity of word shingles, one row for each row of docs.
 
-    Texts with the same set of shingles are one class. Fingerprints of the sets in four lanes (256 bits) propose
-    links: at this similarity a bit differs with a probability p that follows from the angle between two sets,
-    and the radius lies 3.2 standard deviations above the mean. That is too wide for the Gray-order index to
-    prune, so patterns of some of the bits, in several tables, say what is compared. Links are then checked
+    Texts with the same set of shingles are one class. Operator 4's Gray-order index links the fingerprints of the
+    sets at radius bits. It is complete at that radius, but texts at this similarity differ in more bits: each with
+    a probability p that follows from the angle between two sets, so that a radius of 3.2 standard deviations above
+    the mean is too wide for the index to prune. For these links fingerprints in four lanes (256 bits) are met by
+    patterns of some of the bits, in several tables, besides the index's links. All links are then checked
     exactly: the nearest proposals first, then, inside what proposals connect, all pairs that the confirmed
     links don't connect.
     """
@@ -505,7 +526,9 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, lan
     classes = hashed.groupBy("key").agg(F.min("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     classes = scratch.table(classes.withColumn("rep", F.monotonically_increasing_id()))
     known = classes.filter("doc_id is not null")
-    edges = scratch.table(proposed_edges(known, plan_patterns(known.count(), p, lanes), total, lanes, scratch))
+    near = index_edges(known, lanes, radius, scratch)
+    wide = proposed_edges(known, plan_patterns(known.count(), p, lanes), total, lanes, scratch)
+    edges = scratch.table(near.union(wide).distinct())
     ends = edges.select(F.col("u").alias("rep")).union(edges.select(F.col("v").alias("rep"))).distinct()
     sets = shingle_sets(docs, classes.select("rep", "doc_id", "key").join(ends, "rep"), words, scratch)
     links = scratch.table(confirmed(nearest_edges(edges), sets, similarity))
