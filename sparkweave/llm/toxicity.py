@@ -36,6 +36,8 @@ SHARD_ROWS, ROUNDS = 5_000, 8
 MIN_DOCS = 3
 #: Likelihood ratio of a feature and the label that is included: chi-squared's 0.999 at one degree of freedom.
 LEAST_G2 = 10.83
+#: Bytes of text whose features are counted together, features sent at a time, and tasks that count a shard.
+COUNT_BYTES, COUNT_ROWS, COUNT_TASKS = 500_000, 32_768, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.0
 #: The intercept where there is no label to learn from.
 NO_LABELS = -700.0
@@ -110,18 +112,19 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, min_d
     rows = scratch.table(rows.withColumn("shard", F.pmod(order, F.lit(shards))).repartition(shards, "shard").sortWithinPartitions("shard", order, "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums, toxic_sums = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in few_rows(batches, "text"):
+        for batch in few_rows(batches, "text", COUNT_BYTES):
             found = [distinct_features(t) for t in batch.column("text").to_pylist()]
-            labels_of = np.repeat(batch.column("toxic").to_numpy().astype(np.int64), [len(f) for f in found])
-            merged, place = np.unique(np.concatenate([known, *found]), return_inverse=True)
-            sums = np.bincount(place, np.concatenate([sums, np.ones(len(labels_of), np.int64)]), len(merged)).astype(np.int64)
-            toxic_sums = np.bincount(place, np.concatenate([toxic_sums, labels_of]), len(merged)).astype(np.int64)
-            known = merged
-        yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), pa.array(sums), pa.array(toxic_sums)], names=["feature", "n", "t"])
+            labels_of = np.repeat(batch.column("toxic").to_numpy(), [len(f) for f in found])
+            known, place, sums = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            toxic_sums = np.bincount(place, labels_of, len(known)).astype(np.int64)
+            for start in range(0, len(known), COUNT_ROWS):
+                part = slice(start, start + COUNT_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(known[part].view(np.int64)), pa.array(sums[part]), pa.array(toxic_sums[part])], names=["feature", "n", "t"])
 
     n_rows, n_toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("long")), F.lit(0))).first()
-    sums = rows.select(F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(count, "feature long, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    # More tasks than shards, and counts of a slice at a time: neither a task nor a batch holds all features of a shard.
+    spread = rows.repartition(shards * COUNT_TASKS)
+    sums = spread.select(F.col("text"), (F.col("toxic") > 0).cast("int").alias("toxic")).mapInArrow(count, "feature long, n long, t long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
     counted = sums.filter((F.col("n") >= min_docs) & (_likelihood_ratio(F.col("n"), F.col("t"), n_rows, n_toxic) >= LEAST_G2))
     included = np.sort(counted.select("feature").toArrow().column("feature").to_numpy().view(np.uint64))  # bounded by the sample
 
