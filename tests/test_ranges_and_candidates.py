@@ -79,6 +79,34 @@ def test_edges_in_rows_equal_those_by_joins(spark):
     assert rows == sorted(tuple(r) for r in E.confirmed_edges(frags).collect()) and len(rows) == len(set(rows)) > 30
 
 
+def test_matrices_in_rows_equal_those_by_joins_and_nothing_moves(spark):
+    _, seqs, frags, prim = assembled(spark)
+    windows, model = (1, 3, 5), once(C.residue_model(seqs), "model")
+    edges = once(E.confirmed_edges(frags), "edges")
+    cut = S.cut_rows(seqs).select("seq_id", F.col("pieces")[0].alias("primary"), E.edges_of(F.col("pieces")[0], F.array_distinct(F.flatten("pieces"))).alias("edges"))
+    rows = K.matrix_rows(cut, model, windows)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    joined = {r.seq_id: r for r in K.gathered(K.score_table(prim, edges, model, windows), prim, edges, windows).collect()}
+    for r in rows.collect():
+        want = joined.pop(r.seq_id)
+        assert (r.n, r.pieces, r.starts, r.n_edges) == (want.n, want.pieces, want.starts, want.n_edges)
+        if r.n > 1:
+            assert r.matrix == want.matrix and r.incoming == want.incoming
+    assert not joined
+
+
+def test_measures_in_rows_equal_those_by_joins(spark):
+    _, seqs, _, prim = assembled(spark)
+    rows = once(S.cut_rows(seqs).select("seq_id", F.array_join(F.col("pieces")[0], "").alias("seq"), F.col("pieces")[0].alias("primary")), "rows")
+    combos = {"a": F.sequence(F.size("primary") - 1, F.lit(0)), "b": F.sequence(F.lit(0), F.size("primary") - 1), "c": F.sequence(F.size("primary") - 1, F.lit(0))}
+    each = rows.select("seq_id", "primary", F.explode(F.array(*(F.struct(F.lit(k).alias("combo"), path.alias("path"), F.lit(1).alias("placed")) for k, path in combos.items()))).alias("x")).select("seq_id", "primary", "x.*")
+    found = once(each.select("seq_id", "combo", "path", F.array_join(F.transform("path", lambda i: F.get("primary", i)), "").alias("reconstruction"), "placed"), "found")
+    got = K.measured_in_rows(found, rows)
+    columns = ["seq_id", "combo", "path", "reconstruction", "placed", *K.METRICS]
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(got.select(columns).collect()) == sorted(K.path_metrics(found, seqs, prim).select(columns).collect())
+
+
 def test_arms_and_records(spark):
     texts, seqs, frags, prim = assembled(spark)
     seqs = once(seqs, "seqs")
