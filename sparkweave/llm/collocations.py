@@ -152,24 +152,30 @@ def tokenised(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.insert(x, cuts, 0) for x in (hashes, begins, ends))
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    """lang, n_words, own, tokens: the words' hashes of many texts of one language; own of the tokens may start a phrase."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def word_totals(docs: DataFrame) -> DataFrame:
+    """lang, total: the words of each language."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            totals: dict[str, int] = {}
             for lang, raw, own in slices(batch):
-                hashes, begins, _ = tokenised(raw)
-                mine = int(np.flatnonzero((hashes != 0) & (begins < own)).max(initial=-1)) + 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang]), pa.array([int(np.count_nonzero(hashes[:mine]))], pa.int64()), pa.array([mine], pa.int64()), pa.array([hashes.tobytes()], pa.binary())],
-                    names=["lang", "n_words", "own", "tokens"],
-                )
+                begins, _, _ = word_spans(raw, np.array([0, len(raw)]), SEPARATOR)
+                totals[lang] = totals.get(lang, 0) + int(np.searchsorted(begins, own))
+            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["lang", "n_words"])
 
-    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tokenise, "lang string, n_words long, own long, tokens binary")
+    return _texts(docs).mapInArrow(count, "lang string, n_words long").filter("n_words > 0").groupBy("lang").agg(F.sum("n_words").alias("total"))
 
 
-def counted(tokens: DataFrame, first: int, last: int, filters: dict, least: int) -> DataFrame:
-    """n, print: the fingerprints of runs of first to last words that occur at least so often in their language."""
+def counted(docs: DataFrame, first: int, last: int, filters: dict, least: int) -> DataFrame:
+    """n, print: the fingerprints of runs of first to last words that occur at least so often in their language.
+
+    Each level hashes the words anew: as a table, the hashes of many texts are wide rows, of which a reader holds
+    thousands at once.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = {n: x.value for n, x in filters.items()}
@@ -188,11 +194,11 @@ def counted(tokens: DataFrame, first: int, last: int, filters: dict, least: int)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(prints[some].view(np.int64)), pa.array(counts[own], pa.int64())], names=["n", "print", "c"])
 
         for batch in batches:
-            for lang, own, packed in zip(batch.column("lang"), batch.column("own"), batch.column("tokens"), strict=True):
-                words = np.frombuffer(packed.as_buffer(), np.uint64)
-                for n, places, prints in runs(words, Fingerprints(words, lang.as_py()), bits, last):
+            for lang, raw, own in slices(batch):
+                words, begins, _ = tokenised(raw)
+                for n, places, prints in runs(words, Fingerprints(words, lang), bits, last):
                     if n >= first and len(places):
-                        held[n].append(prints[: np.searchsorted(places, own.as_py())])
+                        held[n].append(prints[: np.searchsorted(begins[places], own)])
                         sizes[n] += len(held[n][-1])
                         if sizes[n] > COMBINED:
                             yield from emptied(n)
@@ -200,7 +206,7 @@ def counted(tokens: DataFrame, first: int, last: int, filters: dict, least: int)
             if size:
                 yield from emptied(n)
 
-    return tokens.select("lang", "own", "tokens").mapInArrow(count, "n int, print long, c long").groupBy("n", "print").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("n", "print")
+    return _texts(docs).mapInArrow(count, "n int, print long, c long").groupBy("n", "print").agg(F.sum("c").alias("c")).filter(F.col("c") >= least).select("n", "print")
 
 
 def bit_tables(prints: DataFrame, lengths: range) -> dict:
@@ -285,20 +291,17 @@ def spelt_phrases(docs: DataFrame, filters: dict, least: int) -> DataFrame:
             held = [combined()]
             yield from emptied()
 
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(spell, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return _texts(docs).mapInArrow(spell, "lang string, n int, phrase string, f long").groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100) -> tuple[DataFrame, DataFrame]:
     """lang, n, phrase, f of the frequent runs of one to five words; and lang, total: the words of each language."""
     scratch = Scratch(docs.sparkSession, "collocations")
-    tokens = scratch.table(token_rows(docs))
     filters: dict = {}
     for first, last in ((1, 1), (2, 2), (3, 3), (4, LONGEST)):
-        prints = scratch.table(counted(tokens, first, last, filters, least))
+        prints = scratch.table(counted(docs, first, last, filters, least))
         filters |= bit_tables(prints, range(first, last + 1))
-    totals = tokens.groupBy("lang").agg(F.sum("n_words").alias("total"))
-    return scratch.table(spelt_phrases(docs, filters, least)), totals
+    return scratch.table(spelt_phrases(docs, filters, least)), scratch.table(word_totals(docs))
 
 
 def scored(phrases: DataFrame, totals: DataFrame) -> DataFrame:

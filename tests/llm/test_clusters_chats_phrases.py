@@ -160,6 +160,20 @@ def test_a_text_above_the_step_is_cut_without_losing_or_doubling(spark):
     assert len(parts) == 12 and sum(own for _, own in parts) == len(text)
 
 
+def test_no_table_of_phrases_has_wide_rows(spark, monkeypatch):
+    widths, kept = [], phrases.Scratch.table
+
+    def table(self, df):
+        out = kept(self, df)
+        widths.append(max((len(v) for r in out.collect() for v in r if isinstance(v, (str, bytes, bytearray))), default=0))
+        return out
+
+    monkeypatch.setattr(phrases.Scratch, "table", table)
+    docs = spark.createDataFrame([("en", f"new york times {i} are here " * 40) for i in range(300)], "lang string, text string").coalesce(1)
+    assert phrases.collocations(docs, 50, 10).count() > 0
+    assert len(widths) > 4 and max(widths) < 100
+
+
 def test_one_word_above_the_step(spark):
     rows = [("en", "x" * 9_000_000 + " a b"), ("en", "a b " * 5)]
     assert [(r.phrase, r.a) for r in phrases.collocations(spark.createDataFrame(rows, "lang string, text string"), 6, 9).collect()] == [("a b", 6)]
