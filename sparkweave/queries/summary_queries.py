@@ -6,17 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkweave.functions.rounding import settle
+from sparkweave.operators import candidates as K
 from sparkweave.operators import edges as E
 from sparkweave.operators import metrics as M
 from sparkweave.operators import scoring as C
 from sparkweave.operators import search as O
-from sparkweave.operators import segment as S
 from sparkweave.operators.ranges import order_statistics
 from sparkweave.queries.base import DRAW, EDGES, FRAGS, query
-from sparkweave.queries.fragments import PRUNED, RECALL, cut, primaries
+from sparkweave.queries.fragments import PRUNED, RECALL, cut, primaries, seqs
 from sparkweave.queries.report_queries import ARMS, arms
-from sparkweave.queries.searches import GRID, SCORED, SPACE, combo_grid, combo_name, model, scored_pairs
-from sparkweave.sources import sequences as Q
+from sparkweave.queries.searches import GRID, SCORED, SPACE, combo_grid, combo_name, true_ranks
 from sparkweave.sources.sequences import table
 
 R6 = "round({} + 1e-10::DOUBLE, 6)"
@@ -26,7 +25,7 @@ R6 = "round({} + 1e-10::DOUBLE, 6)"
 r AS (SELECT seq_id, avg((rank <= 1)::INTEGER) AS top1, avg((rank <= 3)::INTEGER) AS top3, avg(1.0::DOUBLE / rank) AS mrr, count(*) AS junctions FROM k WHERE j = i + 1 GROUP BY seq_id)
 SELECT count(*) AS n, {R6.format('avg(top1)')} AS top1, {R6.format('avg(top3)')} AS top3, {R6.format('avg(mrr)')} AS mrr, sum(junctions)::BIGINT AS junctions FROM r""")
 def a13_junction_ranking_summary(spark, d):
-    r = M.rank_summary(M.ranked_pairs(scored_pairs(spark, d, spread=True).select("seq_id", "i", "j", "score")).filter(F.col("j") == F.col("i") + 1))
+    r = true_ranks(spark, d).filter(F.size("ranks") > 0).select(*K.rank_means(F.col("ranks")))
     return r.agg(F.count(F.lit(1)).alias("n"), settle(F.avg("top1")).alias("top1"), settle(F.avg("top3")).alias("top3"), settle(F.avg("mrr")).alias("mrr"), F.sum("junctions").alias("junctions"))
 
 
@@ -83,18 +82,17 @@ m AS (SELECT seq_id, avg((rank <= 1)::INTEGER) FILTER (NOT confirmed) AS top1, a
 
 @query(f"WITH RECURSIVE {DIAGNOSED} SELECT seq_id, coalesce(n, 0) AS fragments, ok.path IS NOT NULL AS recovered, {R6.format('top1')} AS top1, {R6.format('top3')} AS top3, {R6.format('mrr')} AS mrr, coalesce(junctions, 0) AS junctions, coalesce(excluded, 0) AS excluded, {R6.format('recall')} AS recall, pruned_total FROM seqs LEFT JOIN recall USING (seq_id) LEFT JOIN ok USING (seq_id) LEFT JOIN m USING (seq_id)")
 def m16_sample_diagnostics(spark, d):
-    kept = Q.once(cut(spark, d), "cut")
-    prim = kept.select("seq_id", "grp", F.posexplode(F.col("pieces")[0]).alias("idx", "fragment"))
-    s = kept.select("seq_id", F.array_join(F.col("pieces")[0], "").alias("seq"))
-    paths = Q.once(M.recover_true_order(s, prim).filter("path is not null").select("seq_id", "path"), "paths")
-    # A pair is a true one if its places follow each other in the recovered path, which lies in the row of the sequence.
-    rows = S.spread(kept.join(paths, "seq_id", "left").select("seq_id", "grp", "pieces", "path"))
-    pairs = C.with_mean(E.pairs_in_rows(rows, "path"), model(spark, d), C.junction_grams(3))
-    at = lambda x: F.array_position("path", F.col(x))
-    ranked = M.ranked_pairs(pairs.select("seq_id", "i", "j", "score", "confirmed", (F.col("path").isNotNull() & (at("j") == at("i") + 1)).alias("follows"))).filter("follows")
-    excluded = ranked.filter("confirmed").groupBy("seq_id").agg(F.count(F.lit(1)).alias("excluded"))
-    rows = M.diagnosed(s, prim, paths, M.rank_summary(ranked.filter(~F.col("confirmed"))), excluded)
-    return rows.select("seq_id", "fragments", "recovered", *(settle(c).alias(c) for c in ("top1", "top3", "mrr")), "junctions", "excluded", settle("recall").alias("recall"), "pruned_total")
+    """Everything in the row of a sequence, so that neither its pairs nor its fragments move."""
+    rows = cut(spark, d).select("seq_id", F.col("pieces")[0].alias("primary"), F.array_distinct(F.flatten("pieces")).alias("whole"))
+    rows = M.true_order_in_row(rows.select("seq_id", "primary", E.edges_of(F.col("primary"), F.col("whole")).alias("edges")))
+    rows = K.ranked_path(rows.withColumn("recovered", F.col("path").isNotNull()), C.residue_model(seqs(spark, d)), 3, F.col("path"), "seq_id", "primary", "recovered")
+    means = K.rank_means(F.filter("ranks", lambda x: ~x["confirmed"]))
+    # A sequence of a document without a number has no fragments in the tables, whose keys are not null.
+    known = F.col("seq_id").isNotNull()
+    count = lambda c: F.when(known, c).otherwise(0).cast("long")
+    rows = rows.select("seq_id", count(F.size("primary")).alias("fragments"), (known & F.col("recovered")).alias("recovered"), *means, count(F.size(F.filter("ranks", lambda x: x["confirmed"]))).alias("excluded"), "primary")
+    shares = [F.when(known, settle(c)).alias(c) for c in ("top1", "top3", "mrr")]
+    return rows.select("seq_id", "fragments", "recovered", *shares, count(F.col("junctions")).alias("junctions"), "excluded", F.when(known, settle(E.recall_in_row(F.col("primary")))).alias("recall"), F.when(known, E.pruned_in_row(F.col("primary"))).alias("pruned_total"))
 
 
 @query("""WITH v AS (SELECT n_chars::DOUBLE AS x, row_number() OVER (ORDER BY n_chars) - 1 AS k, count(*) OVER () AS n FROM documents WHERE n_chars IS NOT NULL), c AS (SELECT x AS cap, n FROM v WHERE k = floor(0.99::DOUBLE * (n - 1))),
