@@ -125,6 +125,17 @@ def test_wilcoxon_worked_case(spark):
     assert r.p == pytest.approx(min(1, 2 * sum(s <= w for s in signs) / 64))
 
 
+def test_wilcoxon_of_millions_of_pairs(spark):
+    """The variance of three million differences does not fit a long."""
+    n = 3_000_000
+    d = spark.range(n).select(F.lit(0).alias("g"), F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.when(F.col("id") % 4 == 1, -1.0).otherwise(2.0)).alias("a"), F.lit(0.0).alias("b"))
+    r = T.wilcoxon_signed_rank(d, "a", "b", ["g"]).first()
+    assert (r.n_pairs, r.n_nonzero, r.n_positive, r.n_negative) == (n, n, n * 3 // 4, n // 4)
+    ones, twos = n * 3 // 4, n // 4
+    assert r.w_plus == n // 2 * (ones + 1) / 2 + twos * (ones + (twos + 1) / 2) and r.w_minus == n // 4 * (ones + 1) / 2
+    assert r.p == 0.0
+
+
 def test_normal_and_t(spark):
     z = spark.createDataFrame([(x,) for x in (-3.0, -0.5, 0.0, 1.0, 2.5)], "z double").select("z", T.normal_cdf(F.col("z")).alias("p"))
     for r in z.collect():
