@@ -76,7 +76,7 @@ def test_metrics_are_those_of_the_rows(rows):
     assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, each.filter(f"combo = '{len(SETTINGS)}'").select("seq_id", "path").collect()))
 
 
-def test_edit_distances_against_brute_force():
+def test_edit_distances_against_brute_force(spark):
     draw = random.Random(3)
     pairs = [("".join(draw.choice("ABC") for _ in range(n)), "".join(draw.choice("ABC") for _ in range(n))) for n in (1, 2, 63, 64, 65, 127, 128, 129, 200, 7, 7, 64)]
 
@@ -89,7 +89,12 @@ def test_edit_distances_against_brute_force():
         return line[-1]
 
     codes = [np.array([ord(x) - 65 for p in pairs for x in p[k]], np.int64) for k in (0, 1)]
-    assert B.distances(np.array([len(a) for a, _ in pairs]), *codes).tolist() == [brute(a, b) for a, b in pairs]
+    sizes = np.array([len(a) for a, _ in pairs])
+    assert B.distances(sizes, codes[0], sizes, codes[1]).tolist() == [brute(a, b) for a, b in pairs]
+    texts, targets = [["ABCÉ", None, "", "x" * 130 + "y"], None, ["same", "Same"], ["", "a"], ["a"]], ["ABÉ", "AB", "same", "", None]
+    got = B.similarities().func(pa.array(texts, pa.list_(pa.string())), pa.array(targets)).to_pylist()
+    wanted = [[None if a is None or t is None else 1.0 if a == t else 1 - brute(a, t) / max(len(a), len(t)) for a in x or []] for x, t in zip(texts, targets)]
+    assert got == wanted
 
 
 def test_grams_and_runs(spark):
