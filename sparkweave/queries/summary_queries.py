@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkweave.functions.rounding import settle
+from sparkweave.operators import batches as B
 from sparkweave.operators import candidates as K
 from sparkweave.operators import edges as E
 from sparkweave.operators import metrics as M
 from sparkweave.operators import scoring as C
 from sparkweave.operators import search as O
+from sparkweave.operators import segment as S
 from sparkweave.operators.ranges import order_statistics
 from sparkweave.queries.base import DRAW, EDGES, FRAGS, query
 from sparkweave.queries.fragments import PRUNED, RECALL, cut, primaries, seqs
@@ -83,8 +85,9 @@ m AS (SELECT seq_id, avg((rank <= 1)::INTEGER) FILTER (NOT confirmed) AS top1, a
 @query(f"WITH RECURSIVE {DIAGNOSED} SELECT seq_id, coalesce(n, 0) AS fragments, ok.path IS NOT NULL AS recovered, {R6.format('top1')} AS top1, {R6.format('top3')} AS top3, {R6.format('mrr')} AS mrr, coalesce(junctions, 0) AS junctions, coalesce(excluded, 0) AS excluded, {R6.format('recall')} AS recall, pruned_total FROM seqs LEFT JOIN recall USING (seq_id) LEFT JOIN ok USING (seq_id) LEFT JOIN m USING (seq_id)")
 def m16_sample_diagnostics(spark, d):
     """Everything in the row of a sequence, so that neither its pairs nor its fragments move."""
-    rows = cut(spark, d).select("seq_id", F.col("pieces")[0].alias("primary"), F.array_distinct(F.flatten("pieces")).alias("whole"))
-    rows = M.true_order_in_row(rows.select("seq_id", "primary", E.edges_of(F.col("primary"), F.col("whole")).alias("edges")))
+    # A sequence without a number is cut as number 0; none of its fragments counts.
+    pieces = B.cut_and_proved(0.3, 3, 42)(F.coalesce("seq_id", F.lit(0)), "seq")
+    rows = M.true_order_in_row(S.spread(seqs(spark, d)).select("seq_id", pieces.alias("cut")).select("seq_id", "cut.primary", "cut.edges"))
     rows = K.ranked_path(rows.withColumn("recovered", F.col("path").isNotNull()), C.residue_model(seqs(spark, d)), 3, F.col("path"), "seq_id", "primary", "recovered")
     means = K.rank_means(F.filter("ranks", lambda x: ~x["confirmed"]))
     # A sequence of a document without a number has no fragments in the tables, whose keys are not null.

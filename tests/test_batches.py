@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkweave.operators import batches as B
 from sparkweave.operators import candidates as K
 from sparkweave.operators import edges as E
+from sparkweave.operators import metrics as M
 from sparkweave.operators import scoring as C
 from sparkweave.operators import segment as S
 from sparkweave.sources import sequences as Q
@@ -104,3 +105,19 @@ def test_grams_and_runs(spark):
     spaced = "a1b\x0bc\x1cd e f\tG\r\n"
     got = spark.createDataFrame([(spaced,), ("",), (None,), (" \t",)], "text string").select(Q.letters_of_runs(2)("text").alias("runs")).collect()
     assert [r.runs for r in got] == [["ABCD", "EFG"], [], [], []]
+
+
+def test_ranks_and_true_orders_need_no_folds(rows):
+    """m16's parts: the true order as recover_true_order finds it, and each true neighbour's rank by brute force."""
+    prim = rows.select("seq_id", F.posexplode("primary").alias("idx", "fragment"))
+    wanted = M.recover_true_order(rows.select("seq_id", "seq"), prim)
+    found = M.true_order_in_row(rows.select("seq_id", "primary"))
+    assert sorted(map(tuple, found.select("seq_id", "path").collect())) == sorted(map(tuple, wanted.select("seq_id", "path").collect()))
+    model = once(C.residue_model(rows), "model")
+    matrix = {r.seq_id: r.matrix for r in K.matrix_rows(rows, model, (3,)).collect()}
+    ranked = K.ranked_path(rows, model, 3, F.sequence(F.lit(0), F.size("primary") - 1), "seq_id")
+    assert "aggregate(" not in ranked._jdf.queryExecution().executedPlan().toString()
+    for r in ranked.collect():
+        lines = [{x.j: x for x in line} for line in matrix[r.seq_id]]
+        brute = [(1 + sum(x.scores[0] > lines[i][i + 1].scores[0] for x in lines[i].values()), lines[i][i + 1].confirmed) for i in range(len(lines) - 1)]
+        assert [tuple(x) for x in r.ranks] == brute
